@@ -6,9 +6,10 @@ marked required.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roostline import config
@@ -20,62 +21,77 @@ CURRENCY_MARKS = "$\u00a3\u20ac,\u00a0 "
 _DIGITS = "[0-9]+(?:_[0-9]+)*"
 _WHOLE = f"^[+-]?{_DIGITS}$"
 _DECIMAL = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-_BATH_COUNT = r"^([0-9]+(?:\.[0-9]+)?) (?:shared |private )?baths?$"
+_BATH_COUNT = r"^[0-9]+(?:\.[0-9]+)? (?:shared |private )?baths?$"
 _HALF_BATH = r"^(?:shared |private )?half-bath$"
 
 
 class Parsed(NamedTuple):
-    """A typed value and whether the text behind it has to be refused."""
+    """How to read a value, and how to tell from the read value that the text is refused.
+
+    The second part takes the column the value was stored in, so nothing is parsed twice.
+    """
 
     value: Column
-    bad: Column
+    bad: Callable[[Column], Column]
 
 
 def required(rule: Parsed) -> Parsed:
-    return Parsed(rule.value, rule.bad | rule.value.isNull())
+    return Parsed(rule.value, lambda v: v.isNull() | rule.bad(v))
 
 
 def within(rule: Parsed, low=None, high=None) -> Parsed:
     """Refuse values outside the closed range."""
-    bad = rule.bad
-    if low is not None:
-        bad = bad | F.coalesce(rule.value < low, F.lit(False))
-    if high is not None:
-        bad = bad | F.coalesce(rule.value > high, F.lit(False))
+
+    def bad(v: Column) -> Column:
+        out = rule.bad(v)
+        if low is not None:
+            out = out | F.coalesce(v < low, F.lit(False))
+        if high is not None:
+            out = out | F.coalesce(v > high, F.lit(False))
+        return out
+
     return Parsed(rule.value, bad)
 
 
+def _unless_blank(text: Column, value: Column) -> Parsed:
+    """Blank text is missing; other text has to give a value."""
+    return Parsed(value, lambda v: v.isNull() & (text != ""))
+
+
 def whole_number(col: Column, fits: tuple[int, int] = config.INT8_RANGE) -> Parsed:
     text = stripped(col)
     value = F.when(text.rlike(_WHOLE), F.translate(text, "_", "")).try_cast("bigint")
-    value = F.when(value.between(*fits), value)
-    return Parsed(value, (text != "") & value.isNull())
+    if fits != config.INT8_RANGE:
+        value = F.nullif(F.greatest(F.least(value, F.lit(fits[1] + 1)), F.lit(fits[0] - 1)), F.lit(fits[1] + 1))
+        value = F.nullif(value, F.lit(fits[0] - 1))
+    return _unless_blank(text, value)
 
 
 def finite_number(col: Column, largest: float | None = None) -> Parsed:
     text = stripped(col)
     value = F.when(text.rlike(_DECIMAL), F.translate(text, "_", "")).try_cast("double")
     limit = largest if largest is not None else 1.7976931348623157e308
-    value = F.when(F.abs(value) <= F.lit(limit), value)
-    return Parsed(value, (text != "") & value.isNull())
+    return Parsed(value, lambda v: (v.isNull() & (text != "")) | F.coalesce(F.abs(v) > F.lit(limit), F.lit(False)))
 
 
 def price(col: Column) -> Parsed:
     """A decorated, non-negative amount; blank stays unknown instead of free."""
     text = stripped(col)
     number = finite_number(F.translate(text, CURRENCY_MARKS, ""), config.FLOAT4_MAX)
-    bad = (text != "") & (number.value.isNull() | (number.value < 0))
-    return Parsed(number.value, bad)
+    return Parsed(
+        number.value,
+        lambda v: (v.isNull() & (text != ""))
+        | F.coalesce((v < 0) | (v > F.lit(config.FLOAT4_MAX)), F.lit(False)),
+    )
 
 
 def bath_count(col: Column) -> Parsed:
     """Worded bathroom counts, with a half-bath worth 0.5."""
-    text = single_spaced(F.lower(stripped(col)))
-    counted = F.regexp_extract(text, _BATH_COUNT, 1)
+    text = single_spaced(F.lower(col))
     value = F.when(text.rlike(_HALF_BATH), F.lit(0.5)).when(
-        counted != "", counted.try_cast("double")
+        text.rlike(_BATH_COUNT), F.substring_index(text, " ", 1).try_cast("double")
     )
-    return Parsed(value, (text != "") & value.isNull())
+    return _unless_blank(stripped(col), value)
 
 
 def flag(col: Column) -> Parsed:
@@ -83,7 +99,7 @@ def flag(col: Column) -> Parsed:
     value = F.when(text.isin("t", "true"), F.lit(True)).when(
         text.isin("f", "false"), F.lit(False)
     )
-    return Parsed(value, (text != "") & value.isNull())
+    return _unless_blank(text, value)
 
 
 def iso_date(col: Column) -> Parsed:
@@ -93,23 +109,26 @@ def iso_date(col: Column) -> Parsed:
     value = F.when(
         dashed.rlike("^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(dashed, "yyyy-MM-dd")
     )
-    return Parsed(value, value.isNull())
+    return Parsed(value, lambda v: v.isNull())
 
 
 def words(col: Column) -> Parsed:
     """Trimmed text; blank is missing and a NUL byte is refused."""
-    text = stripped(col)
-    return Parsed(F.when(text != "", text), has_nul(text))
-
-
-def name_list(col: Column) -> Parsed:
-    """A JSON list of strings as ``array<struct<name, key>>``, first spelling of a key kept."""
-    text = stripped(col)
-    json = F.try_parse_json(text)
-    shape = F.schema_of_variant(json)
-    strings = F.try_variant_get(json, "$", "array<string>")
-    is_list = shape.isin("ARRAY<STRING>", "ARRAY<VOID>")
-    is_list = is_list & ~F.exists(strings, lambda s: s.isNull())
-    usable = F.when(text == "", F.array().cast("array<string>")).when(is_list, strings)
-    bad = usable.isNull() | F.exists(usable, has_nul)
-    return Parsed(distinct_names(usable), F.coalesce(bad, F.lit(True)))
+    return Parsed(F.nullif(stripped(col), F.lit("")), lambda v: F.coalesce(has_nul(v), F.lit(False)))
+
+
+def name_list(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with a JSON list of strings as ``array<struct<name, key>>`` in ``out``.
+
+    NULL where the text is refused: no JSON, no list, an entry that is no string, or a
+    NUL byte. Each step is a column of its own, so that the text is parsed once.
+    """
+    text = stripped(F.col(column))
+    steps = rows.withColumn("_json", F.try_parse_json(text))
+    strings = F.try_variant_get("_json", "$", "array<string>")
+    is_list = F.schema_of_variant("_json").isin("ARRAY<STRING>", "ARRAY<VOID>")
+    listed = F.when(is_list, strings).when(text == "", F.array().cast("array<string>"))
+    steps = steps.withColumn("_strings", listed)
+    usable = ~F.exists("_strings", lambda s: s.isNull() | has_nul(s))
+    steps = steps.withColumn("_strings", F.when(usable, F.col("_strings")))
+    return distinct_names(steps, "_strings", out).drop("_json", "_strings")

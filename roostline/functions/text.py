@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,6 @@ WHITESPACE = (
     + "".join(map(chr, range(0x2000, 0x200B)))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-_RUN = f"[{WHITESPACE}]+"
-
-
 def stripped(col: Column) -> Column:
     """``col`` without surrounding whitespace; a missing value becomes an empty string."""
     return F.btrim(F.coalesce(col, F.lit("")), F.lit(WHITESPACE))
@@ -25,7 +22,8 @@ def stripped(col: Column) -> Column:
 
 def single_spaced(col: Column) -> Column:
     """Runs of whitespace become one space and the ends are trimmed."""
-    return F.trim(F.regexp_replace(col, _RUN, " "))
+    spaced = F.trim(F.translate(col, WHITESPACE, " " * len(WHITESPACE)))
+    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
 
 
 def has_nul(col: Column) -> Column:
@@ -58,19 +56,25 @@ def _distinct_unicode(lists: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("name", pa.string()), ("key", pa.string())])))
 
 
-def distinct_names(strings: Column) -> Column:
-    """``array<struct<name, key>>``: display form and comparison key, first spelling of a key.
+def distinct_names(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with ``out`` = ``array<struct<name, key>>``: display form and comparison key.
 
-    ASCII text is its own NFKC form and folds by ``lower``, so such rows stay in the
-    JVM; only lists with other characters are handed to Python.
+    The first spelling of a key is kept. ASCII text is its own NFKC form and folds by
+    ``lower``, so such rows stay in the JVM; only lists with other characters are handed
+    to Python.
     """
-    joined = F.array_join(strings, "", "")
-    ascii_only = F.octet_length(joined) == F.char_length(joined)
-    names = F.filter(F.transform(strings, single_spaced), lambda n: n != "")
-    keys = F.transform(names, F.lower)
-    pairs = F.transform(names, lambda n: F.struct(n.alias("name"), F.lower(n).alias("key")))
-    native = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.when(ascii_only, native).otherwise(_distinct_unicode(F.when(~ascii_only, strings)))
+    joined = F.array_join(column, "", "")
+    steps = rows.withColumn("_ascii", F.octet_length(joined) == F.char_length(joined))
+    steps = steps.withColumn("_folded", _distinct_unicode(F.when(~F.col("_ascii"), F.col(column))))
+    steps = steps.withColumn("_names", F.when(F.col("_ascii"), F.transform(column, single_spaced)))
+    steps = steps.withColumn("_keys", F.transform("_names", F.lower))
+    pairs = F.arrays_zip(F.col("_names").alias("name"), F.col("_keys").alias("key"))
+    native = F.filter(
+        pairs, lambda p, i: (p["name"] != "") & (F.array_position("_keys", p["key"]) == i + 1)
+    )
+    return steps.withColumn(out, F.coalesce(native, F.col("_folded"))).drop(
+        "_ascii", "_folded", "_names", "_keys"
+    )
 
 
 # Choices of this library. They find likely names by their surroundings and miss others.

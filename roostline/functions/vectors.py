@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roostline import config
 
@@ -24,7 +25,8 @@ def matrix(lists: pa.Array) -> np.ndarray:
 
 def distances(cosines: np.ndarray) -> np.ndarray:
     """``1 - cos`` at the precision distances are compared with."""
-    return np.round(1.0 - cosines, config.DISTANCE_DECIMALS)
+    # Adding zero turns a rounded minus zero into zero.
+    return np.round(1.0 - cosines, config.DISTANCE_DECIMALS) + 0.0
 
 
 def _with_nulls(valid: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -33,7 +35,7 @@ def _with_nulls(valid: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.array(out, mask=~valid)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _pair_distance(left: pa.Array, right: pa.Array) -> pa.Array:
     valid = np.array(left.is_valid()) & np.array(right.is_valid())
     keep = pa.array(valid)
@@ -52,7 +54,7 @@ def distance_to(vector: Column, query: Sequence[float]) -> Column:
     unit = np.asarray(query, dtype=np.float64)
     unit = unit / np.linalg.norm(unit)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def distance(vectors: pa.Array) -> pa.Array:
         valid = np.array(vectors.is_valid())
         rows = matrix(vectors.filter(pa.array(valid)))

@@ -286,7 +286,7 @@ def _prepared(sets: DataFrame) -> DataFrame:
         {"_south": box.south, "_north": box.north, "_west": box.west, "_east": box.east}
     )
     return out.withColumns(
-        {f: F.coalesce(F.col(f), F.array().cast("array<int>")) for f in ANY_OF}
+        {f: F.array_distinct(F.coalesce(F.col(f), F.array().cast("array<int>"))) for f in ANY_OF}
         | {"amenities": F.coalesce(F.col("amenities"), F.array().cast("array<string>"))}
     )
 
@@ -425,7 +425,7 @@ def profile_counts(listings: DataFrame, sets: DataFrame, max_cuts: int = 128) ->
     kept = ["neighbourhood_id", *[c for c in ANY_OF.values() if c not in empties and c != "neighbourhood_id"]]
     if used["amenities"]:
         wanted = sets.select(F.explode("amenities").alias("a")).agg(F.collect_set("a").alias("w"))
-        groups["amenities"] = F.array_sort(F.array_intersect("amenities", wanted.scalar()))
+        groups["amenities"] = F.sort_array(F.array_intersect("amenities", wanted.scalar()))
     else:
         empties["amenities"] = F.array().cast("array<string>")
     if used["near"]:

@@ -26,10 +26,10 @@ def _listing_rules() -> Sequence[_Rule]:
     longitude = rules.required(rules.finite_number(c("longitude")))
     worded = rules.bath_count(c("bathrooms_text"))
     counted = rules.finite_number(c("bathrooms"), wide)
-    baths = Parsed(
-        F.coalesce(worded.value, counted.value), worded.value.isNull() & counted.bad
+    either = Parsed(
+        F.coalesce(F.col("_bathrooms_text"), counted.value),
+        lambda v: F.col("_bathrooms_text").isNull() & counted.bad(v),
     )
-    amenities = rules.name_list(c("amenities"))
     return (
         ("id", "source_listing_id", rules.required(rules.whole_number(c("id")))),
         ("name", "name", rules.required(rules.words(c("name")))),
@@ -40,10 +40,10 @@ def _listing_rules() -> Sequence[_Rule]:
         ),
         ("room_type", "room_type", rules.required(rules.words(c("room_type")))),
         ("property_type", "property_type", rules.required(rules.words(c("property_type")))),
-        ("latitude", None, latitude),
-        ("longitude", None, longitude),
-        ("latitude", "latitude", rules.within(latitude, -90.0, 90.0)),
-        ("longitude", "longitude", rules.within(longitude, -180.0, 180.0)),
+        ("latitude", "latitude", latitude),
+        ("longitude", "longitude", longitude),
+        ("latitude", None, rules.within(latitude, -90.0, 90.0)),
+        ("longitude", None, rules.within(longitude, -180.0, 180.0)),
         (
             "accommodates",
             "accommodates",
@@ -65,8 +65,8 @@ def _listing_rules() -> Sequence[_Rule]:
                 rules.required(rules.whole_number(c("number_of_reviews"), config.INT4_RANGE)), 0
             ),
         ),
-        ("bathrooms_text", None, worded),
-        ("bathrooms", "bathrooms", baths),
+        ("bathrooms_text", "_bathrooms_text", worded),
+        ("bathrooms", "bathrooms", either),
         ("description", "description", rules.words(c("description"))),
         ("price", "price_gbp", rules.price(c("price"))),
         ("bedrooms", "bedrooms", rules.whole_number(c("bedrooms"), config.INT2_RANGE)),
@@ -84,7 +84,7 @@ def _listing_rules() -> Sequence[_Rule]:
         ),
         ("instant_bookable", "instant_bookable", rules.flag(c("instant_bookable"))),
         ("host_is_superhost", "host_is_superhost", rules.flag(c("host_is_superhost"))),
-        ("amenities", "amenity_names", amenities),
+        ("amenities", "amenity_names", Parsed(c("_amenity_names"), lambda v: v.isNull())),
     )
 
 
@@ -113,24 +113,35 @@ LISTING_TYPES = {
 
 def _judge(raw: DataFrame, ruleset: Sequence[_Rule], id_rule: Parsed) -> DataFrame:
     carried = [name for name in (FILE_POSITION, "bad_encoding") if name in raw.columns]
+    # Values first, each in a column of its own; the verdicts then read those columns.
+    kept = {field: out for field, out, _ in ruleset if out}
+    steps = raw.withColumn("_id", id_rule.value)
+    steps = steps.withColumns({out: rule.value for _, out, rule in ruleset if out and out[0] == "_"})
+    steps = steps.withColumns(
+        {f"_v_{out}": rule.value for _, out, rule in ruleset if out and out[0] != "_"}
+    )
+    where = lambda out: F.col(out if out[0] == "_" else f"_v_{out}")
     # The first rule that refuses names the rejection.
-    reason = F.coalesce(*[F.when(rule.bad, F.lit(field)) for field, _, rule in ruleset])
+    reason = F.coalesce(
+        *[F.when(rule.bad(where(kept[field])), F.lit(field)) for field, _, rule in ruleset]
+    )
     values = [
-        rule.value.cast(LISTING_TYPES[out]).alias(out) if out in LISTING_TYPES else rule.value.alias(out)
-        for _, out, rule in ruleset
-        if out
+        (where(out).cast(LISTING_TYPES[out]) if out in LISTING_TYPES else where(out)).alias(out)
+        for _, out, _ in ruleset
+        if out and out[0] != "_"
     ]
-    return raw.select(
-        *values, reason.alias(REJECTED_FIELD), id_rule.value.alias(READABLE_ID), *carried
-    )
+    return steps.select(*values, reason.alias(REJECTED_FIELD), F.col("_id").alias(READABLE_ID), *carried)
 
 
 def parse_listings(raw: DataFrame) -> DataFrame:
     """Every listing row with typed values, and the column that refused it, if any.
 
-    Only the listed columns survive: host identity has no name in the output.
+    Only the listed columns survive: host identity has no name in the output. Store the
+    result before splitting it: a filter on the verdict would otherwise be moved below
+    the parsing and parse every row a second time.
     """
-    return _judge(raw, _listing_rules(), rules.whole_number(F.col("id")))
+    named = rules.name_list(raw, "amenities", "_amenity_names")
+    return _judge(named, _listing_rules(), rules.whole_number(F.col("id")))
 
 
 def parse_reviews(raw: DataFrame) -> DataFrame:

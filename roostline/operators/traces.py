@@ -20,7 +20,8 @@ TOOLS = ("search_listings", "count_matches", "field_stats", "get_listing", "get_
 SEARCH_TOOL = "search_listings"
 END_REASONS = ("finished", "tool_limit", "search_limit", "cost", "timeout", "error")
 
-_TOOL = F.col("kind") == "tool_call"
+def _tool() -> Column:
+    return F.col("kind") == "tool_call"
 
 
 def replay(steps: DataFrame, run_id) -> DataFrame:
@@ -47,8 +48,8 @@ def last_runs(runs: DataFrame, steps: DataFrame, limit: int = 20) -> DataFrame:
 def calls_per_run(steps: DataFrame, search_tool: str = SEARCH_TOOL) -> DataFrame:
     """``(run_id, tool_calls, searches)``."""
     return steps.groupBy("run_id").agg(
-        F.count_if(_TOOL).alias("tool_calls"),
-        F.count_if(_TOOL & (F.col("name") == search_tool)).alias("searches"),
+        F.count_if(_tool()).alias("tool_calls"),
+        F.count_if(_tool() & (F.col("name") == search_tool)).alias("searches"),
     )
 
 
@@ -72,7 +73,7 @@ def call_means(steps: DataFrame, search_tool: str = SEARCH_TOOL) -> DataFrame:
 def tool_usage(steps: DataFrame, tools: Sequence[str] = TOOLS) -> DataFrame:
     """Calls and share per tool, the unused ones included."""
     counts = (
-        steps.where(_TOOL & F.col("name").isin(*tools)).groupBy("name").agg(F.count("*").alias("calls"))
+        steps.where(_tool() & F.col("name").isin(*tools)).groupBy("name").agg(F.count("*").alias("calls"))
     )
     listed = steps.sparkSession.createDataFrame([(t,) for t in tools], "name string")
     whole = counts.agg(F.sum("calls").alias("all"))
@@ -95,7 +96,7 @@ def invalid_arguments(steps: DataFrame, invalid: Column | None = None) -> DataFr
     the calls within bounded chunks, so a long run is no single task.
     """
     bad = invalid if invalid is not None else F.col("error") == "invalid_arguments"
-    calls = steps.where(_TOOL).withColumn("_bad", F.coalesce(bad, F.lit(False)).cast("long"))
+    calls = steps.where(_tool()).withColumn("_bad", F.coalesce(bad, F.lit(False)).cast("long"))
     # Number the calls per run and tool: call n + 1 is the correction of call n.
     keyed = calls.withColumn("_key", F.concat_ws("\x1f", F.col("run_id").cast("string"), "name"))
     numbered = running_totals(keyed, "_key", "step_index", {"_nth": F.lit(1)})
@@ -117,7 +118,7 @@ def canonical_args(column: str = "args") -> Column:
 
 def repeated_calls(steps: DataFrame, result: str = "output") -> DataFrame:
     """Tool calls a run already made with the same arguments, with the first call's result."""
-    calls = steps.where(_TOOL).withColumn("_args", F.coalesce(canonical_args(), F.lit("")))
+    calls = steps.where(_tool()).withColumn("_args", F.coalesce(canonical_args(), F.lit("")))
     keys = ["run_id", "name", "_args"]
     # The first of each identical call, found with partial results per task.
     firsts = calls.groupBy(*keys).agg(
@@ -135,7 +136,7 @@ def repeated_calls(steps: DataFrame, result: str = "output") -> DataFrame:
 
 def repeat_rate(steps: DataFrame) -> DataFrame:
     """Tool calls, repeats among them, and their share."""
-    calls = steps.where(_TOOL).withColumn("_args", F.coalesce(canonical_args(), F.lit("")))
+    calls = steps.where(_tool()).withColumn("_args", F.coalesce(canonical_args(), F.lit("")))
     kinds = calls.groupBy("run_id", "name", "_args").agg(F.count("*").alias("_times"))
     out = kinds.agg(F.sum("_times").alias("calls"), F.sum(F.col("_times") - 1).alias("repeats"))
     return out.withColumn("repeat_rate", F.col("repeats") / F.col("calls"))
@@ -158,8 +159,8 @@ def budget_breaches(
         "run_id",
         "step_index",
         {
-            "_calls": _TOOL.cast("long"),
-            "_searches": (_TOOL & (F.col("name") == search_tool)).cast("long"),
+            "_calls": _tool().cast("long"),
+            "_searches": (_tool() & (F.col("name") == search_tool)).cast("long"),
             "_ms": F.coalesce(F.col("latency_ms"), F.lit(0.0)),
             "_usd": F.coalesce(F.col("cost_usd"), F.lit(0.0)),
         },

@@ -15,7 +15,7 @@ from roostline import config
 from roostline.errors import LoadError
 from roostline.functions.ids import with_dense_ids
 from roostline.operators import ingest, reconcile, vocabulary
-from roostline.session import scratch_path
+from roostline.session import stored
 from roostline.sources import tables
 from roostline.sources.snapshot_csv import BAD_ENCODING, FILE_POSITION, read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
@@ -65,14 +65,13 @@ def _stage(spark: SparkSession, raw: DataFrame, parse, name: str, path: str) ->
     spread = raw.repartition(FILE_POSITION).observe(
         seen, F.count("*").alias("rows"), F.count_if(F.col(BAD_ENCODING)).alias("broken")
     )
-    folder = scratch_path(spark, name)
     try:
-        parse(spread).write.parquet(folder)
+        typed = stored(parse(spread), name)
     except (PySparkException, Py4JJavaError) as exc:
         raise LoadError(f"{path} could not be read: {exc}") from exc
     if seen.get["broken"]:
         raise LoadError(f"{path} holds {seen.get['broken']} rows that are not UTF-8")
-    return spark.read.parquet(folder)
+    return typed
 
 
 def _describe(reasons: tuple[tuple[str, int], ...]) -> str:
@@ -116,9 +115,7 @@ def load_snapshot(
     names = accepted.select(F.explode("amenity_names").alias("a")).select(
         F.col("a.key").alias("key"), F.col("a.name").alias("spelling")
     )
-    spellings_path = scratch_path(spark, "spellings")
-    vocabulary.spelling_counts(names).write.parquet(spellings_path)
-    spellings = spark.read.parquet(spellings_path)
+    spellings = stored(vocabulary.spelling_counts(names), "spellings")
     sources = {
         "neighbourhoods": vocabulary.names_of(accepted, "neighbourhood"),
         "room_types": vocabulary.names_of(accepted, "room_type"),
@@ -153,9 +150,7 @@ def load_snapshot(
         ("property_types", "property_type"),
     ):
         staged = vocabulary.encode_dimension(staged, dims[table], column, f"{column}_id")
-    staged_path = scratch_path(spark, "staged")
-    staged.write.parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    staged = stored(staged, "staged")
 
     stored = store.table("listings")
     merged = reconcile.merge_snapshot(stored, staged, refused)

@@ -20,6 +20,8 @@ def session(app: str = "roostline", master: str | None = None, **options: str) -
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Methods beyond this size are not compiled by the JVM; Spark then splits them instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
@@ -58,6 +60,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a columnar table in the shared folder: computed once, read column by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, without counting past the bound."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from roostline.standins import ingest, snapshot
+from roostline.standins import answers, ingest, search, snapshot
 
-QUERIES = {**ingest.QUERIES, **snapshot.QUERIES}
+QUERIES = {**ingest.QUERIES, **snapshot.QUERIES, **search.QUERIES, **answers.QUERIES}
+flagship = search.flagship

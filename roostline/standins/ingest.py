@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roostline.functions import rules
 from roostline.operators import audit, ingest
-from roostline.session import scratch_path
+from roostline.session import scratch_path, stored
 from roostline.sources import tables
 from roostline.sources.snapshot_csv import read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
@@ -245,7 +245,7 @@ def trace_sink(spark, sf):
 
 
 def _judged(spark, sf):
-    return ingest.parse_listings(r.raw_listings(spark, sf))
+    return stored(ingest.parse_listings(r.raw_listings(spark, sf)), "judged")
 
 
 def _names(col="amenity_names"):
@@ -270,8 +270,10 @@ def rule(source, column, make, cast=None):
     def run(spark, sf):
         df = getattr(r, source)(spark, sf)
         parsed = make(F.col(column))
-        value = parsed.value.cast(cast) if cast else parsed.value
-        return df.select("file_pos", value.alias("value"), F.coalesce(parsed.bad, F.lit(False)).alias("bad"))
+        read = df.withColumn("_value", parsed.value)
+        bad = F.coalesce(parsed.bad(F.col("_value")), F.lit(False))
+        value = F.col("_value").cast(cast) if cast else F.col("_value")
+        return read.select("file_pos", value.alias("value"), bad.alias("bad"))
 
     return run
 
@@ -293,10 +295,8 @@ def accepted_reviews(spark, sf):
 
 
 def amenity_rule(spark, sf):
-    parsed = rules.name_list(F.col("amenities"))
-    return r.raw_listings(spark, sf).select(
-        "file_pos", F.when(~parsed.bad, _names(parsed.value)).alias("value"), parsed.bad.alias("bad")
-    )
+    parsed = rules.name_list(r.raw_listings(spark, sf), "amenities", "names")
+    return parsed.select("file_pos", _names("names").alias("value"), F.col("names").isNull().alias("bad"))
 
 
 _L = f"WITH l AS ({r.LISTINGS_SQL}) "
