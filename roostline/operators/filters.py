@@ -466,7 +466,7 @@ def leave_one_out(listings: DataFrame, sets: DataFrame) -> DataFrame:
     )
     near_miss = _joined(profiles, keyed, F.size(failed) == 1)
     return (
-        near_miss.select("f.request_id", failed[0].alias("field"), "l._rows")
+        near_miss.select("f.request_id", F.get(failed, F.lit(0)).alias("field"), "l._rows")
         .groupBy("request_id", "field")
         .agg(F.sum("_rows").alias("rows"))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roostline import config
 from roostline.functions.text import stripped
 from roostline.operators import filters
+from roostline.session import stored
 
 NAME_FIELDS = ("neighbourhoods", "room_types", "property_types", "amenities")
 _NUMBERS = ("min_price", "max_price", "min_bathrooms", "min_rating", "min_location_score")
@@ -79,85 +80,93 @@ def decode(responses: DataFrame) -> DataFrame:
 
 
 def _part(field: str) -> Column:
-    return F.try_variant_get("json", f"$.{field}", "variant")
+    return F.col(f"_part_{field}")
 
 
 def _kind(field: str) -> Column:
     """The JSON type of a field; NULL where it is absent."""
-    return F.schema_of_variant(_part(field))
+    return F.col(f"_kind_{field}")
 
 
-def _list_value(field: str) -> tuple[Column, Column]:
+def _with_parts(decoded: DataFrame) -> DataFrame:
+    """Every field and its JSON type as columns, so that a body is taken apart once."""
+    parts = decoded.withColumns(
+        {f"_part_{f}": F.try_variant_get("json", f"$.{f}", "variant") for f in BODY_FIELDS}
+    )
+    return parts.withColumns({f"_kind_{f}": F.schema_of_variant(_part(f)) for f in BODY_FIELDS})
+
+
+def _read_list(field: str) -> Column:
     kind = _kind(field)
-    value = F.try_variant_get("json", f"$.{field}", "array<string>")
-    good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(value, lambda s: s.isNull())
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.when(good, value), empty), kind.isNotNull() & ~F.coalesce(good, F.lit(False))
+    value = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(_part(field), "$", "array<string>"))
+    return F.when(kind.isNull(), F.array().cast("array<string>")).otherwise(value)
 
 
-def _scalar_value(field: str) -> tuple[Column, Column]:
+def _read_scalar(field: str) -> Column:
     kind = _kind(field)
-    text = F.lower(stripped(F.try_variant_get("json", f"$.{field}", "string")))
-    scalar = ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | kind.startswith("VARIANT"))
-    given = kind.isNotNull() & (kind != "VOID")
+    text = F.lower(stripped(F.try_variant_get(_part(field), "$", "string")))
     if field in _FLAGS:
         value = F.when(text.isin(*_TRUE), F.lit(True)).when(text.isin(*_FALSE), F.lit(False))
     else:
-        as_number = F.when(kind == "BOOLEAN", F.when(text == "true", F.lit(1.0)).otherwise(0.0)).otherwise(
-            text.try_cast("double")
-        )
+        number = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0))
+        value = F.when(kind == "BOOLEAN", number).otherwise(text.try_cast("double"))
         if field in _WHOLE:
-            value = F.when(as_number == F.floor(as_number), as_number).try_cast("int")
-        else:
-            value = as_number
-    value = F.when(given & scalar, value)
-    return value, given & value.isNull()
+            value = F.when(value == F.floor(value), value).try_cast("int")
+    nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+    return F.when(~nested & (kind != "VOID"), value)
 
 
 def validate(decoded: DataFrame) -> DataFrame:
     """Typed body fields and ``problems``: the fields that break the schema, in order.
 
-    Unknown fields are problems too. Bounds are checked later, on the filter set.
+    Unknown fields are problems too. Bounds are checked later, on the filter set. Store
+    the result before filtering it, or the filter takes every body apart a second time.
     """
-    values: dict[str, Column] = {}
-    checks: list[tuple[str, Column]] = []
-    for field in BODY_FIELDS[:-2]:
-        value, bad = _list_value(field) if field in NAME_FIELDS else _scalar_value(field)
-        values[field] = value
-        checks.append((field, bad))
-
-    query = stripped(F.try_variant_get("json", "$.semantic_query", "string"))
-    values["semantic_query"] = query
-    checks.append(("semantic_query", (F.coalesce(_kind("semantic_query"), F.lit("")) != "STRING") | (query == "")))
-
-    kind = F.coalesce(_kind("unsupported_constraints"), F.lit(""))
+    names = BODY_FIELDS[:-2]
+    steps = _with_parts(decoded)
+    kind = _kind("unsupported_constraints")
     asks = F.try_variant_get(
-        "json", "$.unsupported_constraints", "array<struct<constraint:string,reason:string>>"
+        _part("unsupported_constraints"), "$", "array<struct<constraint:string,reason:string>>"
     )
-    whole = kind.isin("ARRAY<VOID>", "ARRAY<OBJECT<constraint: STRING, reason: STRING>>") & ~F.exists(
-        asks, lambda a: a.isNull() | a["constraint"].isNull() | a["reason"].isNull()
+    well_formed = kind.isin("ARRAY<VOID>", "ARRAY<OBJECT<constraint: STRING, reason: STRING>>")
+    steps = steps.withColumns(
+        {f: _read_list(f) if f in NAME_FIELDS else _read_scalar(f) for f in names}
+        | {
+            "semantic_query": F.when(
+                _kind("semantic_query") == "STRING",
+                stripped(F.try_variant_get(_part("semantic_query"), "$", "string")),
+            ),
+            "reported": F.when(well_formed, asks),
+        }
     )
-    empty = F.array().cast("array<struct<constraint:string,reason:string>>")
-    values["reported"] = F.coalesce(F.when(whole, asks), empty)
-    checks.append(("unsupported_constraints", ~F.coalesce(whole, F.lit(False))))
 
+    def wrong(field: str) -> Column:
+        if field in NAME_FIELDS:
+            return F.col(field).isNull() | F.exists(field, lambda n: n.isNull())
+        return _kind(field).isNotNull() & (_kind(field) != "VOID") & F.col(field).isNull()
+
+    no_ask = F.exists("reported", lambda a: a.isNull() | a["constraint"].isNull() | a["reason"].isNull())
+    checks = [(f, wrong(f)) for f in names] + [
+        ("semantic_query", F.coalesce(F.col("semantic_query"), F.lit("")) == ""),
+        ("unsupported_constraints", F.col("reported").isNull() | no_ask),
+    ]
     extra = F.array_sort(
         F.array_except(F.json_object_keys("body"), F.array(*[F.lit(f) for f in BODY_FIELDS]))
     )
     named = F.array_compact(F.array(*[F.when(bad, F.lit(field)) for field, bad in checks]))
     is_object = F.col("outcome") == "object"
-    out = decoded.withColumns(values)
-    out = out.withColumn("problems", F.when(is_object, F.concat(named, extra)))
+    out = steps.withColumn("problems", F.when(is_object, F.concat(named, extra)))
     broken = is_object & (F.size("problems") > 0)
-    return out.withColumn("outcome", F.when(broken, "invalid").otherwise(F.col("outcome"))).drop("json")
+    dropped = [f"{p}{f}" for p in ("_part_", "_kind_") for f in BODY_FIELDS]
+    return out.withColumn("outcome", F.when(broken, "invalid").otherwise(F.col("outcome"))).drop("json", *dropped)
 
 
 def named_values(valid: DataFrame) -> DataFrame:
     """``(request_id, attempt, pos, field, name)``: every name a body uses, in order."""
-    lists = [
-        F.transform(f, lambda n, f=f: F.struct(F.lit(f).alias("field"), n.alias("name")))
-        for f in NAME_FIELDS
-    ]
+    def tagged(field: str) -> Column:
+        return F.transform(field, lambda n: F.struct(F.lit(field).alias("field"), n.alias("name")))
+
+    lists = [tagged(f) for f in NAME_FIELDS]
     return valid.select(
         "request_id", "attempt", F.posexplode(F.flatten(F.array(*lists))).alias("pos", "entry")
     ).select("request_id", "attempt", "pos", "entry.field", "entry.name")
@@ -190,7 +199,8 @@ def ground(responses: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``unsupported`` lists the body's own asks first, then unknown names it did not
     already mention.
     """
-    checked = validate(decode(responses))
+    # Read twice below: once for its names, once for everything else.
+    checked = stored(validate(decode(responses)), "bodies")
     usable = checked.where(F.col("outcome") == "object")
     resolved = resolve(named_values(usable), vocabulary)
     of = lambda field: F.when(

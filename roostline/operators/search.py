@@ -136,7 +136,7 @@ def branches(sets: DataFrame, cap: int = config.FANOUT_CAP) -> DataFrame:
         )
     pinned_ids = F.transform(
         F.array(*filters.ANY_OF),
-        lambda ids: F.when(F.size(ids) == 1, ids[0].cast("string")).otherwise("*"),
+        lambda ids: F.when(F.size(ids) == 1, F.get(ids, F.lit(0)).cast("string")).otherwise("*"),
     )
     return out.withColumn("branch", F.array_join(pinned_ids, "/"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roostline import config
 from roostline.operators import cost, documents, evaluation, grounding, search, traces
-from roostline.session import scratch_path
+from roostline.session import scratch_path, stored
 from roostline.standins import relations as r
 from roostline.standins import search as s
 from roostline.streaming import live_cost
@@ -141,13 +141,17 @@ def decoded(spark, sf):
     return grounding.decode(responses(spark, sf)).select("request_id", "attempt", "outcome")
 
 
+def _checked(spark, sf):
+    return stored(grounding.validate(grounding.decode(responses(spark, sf))), "bodies")
+
+
 def checked(spark, sf):
-    out = grounding.validate(grounding.decode(responses(spark, sf)))
+    out = _checked(spark, sf)
     return out.where("problems IS NOT NULL").select("request_id", "attempt", F.array_join("problems", ",").alias("problems"))
 
 
 def resolved(spark, sf):
-    names = grounding.named_values(grounding.validate(grounding.decode(responses(spark, sf))).where("outcome = 'object'"))
+    names = grounding.named_values(_checked(spark, sf).where("outcome = 'object'"))
     return grounding.resolve(names, _vocabulary(spark, sf)).select("request_id", "attempt", "field", "name", "id")
 
 
@@ -169,7 +173,7 @@ _RESOLVED_SQL = (
 def unknown_names(spark, sf):
     return grounding.ungrounded(
         grounding.resolve(
-            grounding.named_values(grounding.validate(grounding.decode(responses(spark, sf))).where("outcome = 'object'")),
+            grounding.named_values(_checked(spark, sf).where("outcome = 'object'")),
             _vocabulary(spark, sf),
         )
     ).select("request_id", "attempt", "field", "name")
