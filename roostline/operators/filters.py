@@ -255,40 +255,74 @@ def null_report(sets: DataFrame, listings: DataFrame) -> DataFrame:
 # --- Many filter sets against all listings -----------------------------------
 
 
-def _pair_terms() -> list[tuple[str, Column]]:
-    """``(field, holds)`` for a listing ``l`` and a filter set ``f``; an unset field holds."""
-    terms = []
-    for field, column in ANY_OF.items():
-        ids = F.col(f"f.{field}")
-        inside = F.array_contains(ids, F.col(f"l.{column}").cast("int"))
-        terms.append((field, (F.size(ids) == 0) | inside))
-    for field, (column, compare) in BOUNDS.items():
-        bound = F.col(f"f.{field}")
-        holds = F.coalesce(compare(F.col(f"l.{column}"), bound), F.lit(False))
-        terms.append((field, bound.isNull() | holds))
-    wanted = F.col("f.amenities")
-    has_all = F.size(F.array_except(wanted, F.col("l.amenities"))) == 0
-    terms.append(("amenities", (F.size(wanted) == 0) | has_all))
-    # The box is worked out once per request, in ``_prepared``.
-    lat, lon = F.col("l.latitude"), F.col("l.longitude")
-    in_box = (
-        lat.between(F.col("f._south"), F.col("f._north"))
-        & (F.col("f._west").isNull() | lon.between(F.col("f._west"), F.col("f._east")))
-    )
-    terms.append(("near", F.col("f._south").isNull() | in_box))
-    return terms
+# In a batch both sides of every comparison are filled in, so that a comparison is one
+# machine instruction: an absent floor is minus infinity, and so is a missing value under
+# a floor; an absent ceiling is NaN, which sorts above everything, and so is a missing
+# value under a ceiling. A missing value thus passes exactly where no bound is set.
+_FLOOR, _CEILING = float("-inf"), float("nan")
+_ANY, _UNKNOWN = -1, 2
 
 
-def _prepared(sets: DataFrame) -> DataFrame:
+def _filled(column: Column, compare: Callable, absent_flag: int) -> Column:
+    if compare is operator.eq:
+        return F.coalesce(column.cast("int"), F.lit(absent_flag))
+    return F.coalesce(column.cast("double"), F.lit(_FLOOR if compare is operator.ge else _CEILING))
+
+
+def _listing_side(listings: DataFrame) -> DataFrame:
+    """Listings with their values as the batch comparisons read them."""
+    sides = {
+        f"_at_{field}": _filled(F.col(column), compare, _UNKNOWN)
+        for field, (column, compare) in BOUNDS.items()
+    }
+    ids = {f"_{c}": F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ANY_OF.values()}
+    place = {f"_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in ("latitude", "longitude")}
+    return listings.withColumns(sides | ids | place)
+
+
+def _request_side(sets: DataFrame) -> DataFrame:
+    """Filter sets with their bounds as the batch comparisons read them."""
     near = F.col("near")
     box = box_around(near["latitude"], near["longitude"], near["radius_km"])
     out = sets.withColumns(
-        {"_south": box.south, "_north": box.north, "_west": box.west, "_east": box.east}
-    )
-    return out.withColumns(
         {f: F.array_distinct(F.coalesce(F.col(f), F.array().cast("array<int>"))) for f in ANY_OF}
         | {"amenities": F.coalesce(F.col("amenities"), F.array().cast("array<string>"))}
     )
+    bounds = {f"_at_{f}": _filled(F.col(f), compare, _ANY) for f, (_, compare) in BOUNDS.items()}
+    edges = {
+        name: F.coalesce(edge, F.lit(absent))
+        for name, edge, absent in (
+            ("_south", box.south, _FLOOR),
+            ("_north", box.north, -_FLOOR),
+            ("_west", box.west, _FLOOR),
+            ("_east", box.east, -_FLOOR),
+        )
+    }
+    opens = {f"_open_{f}": F.size(f) == 0 for f in (*ANY_OF, "amenities")}
+    return out.withColumns(bounds | edges | opens)
+
+
+def _pair_terms() -> list[tuple[str, Column]]:
+    """``(field, holds)`` for a listing ``l`` and a filter set ``f``, cheapest terms first."""
+    terms = []
+    for field, (_, compare) in BOUNDS.items():
+        asked, have = F.col(f"f._at_{field}"), F.col(f"l._at_{field}")
+        holds = compare(have, asked)
+        terms.append((field, (asked == _ANY) | holds if compare is operator.eq else holds))
+    latitude, longitude = F.col("l._latitude"), F.col("l._longitude")
+    in_box = (
+        (latitude >= F.col("f._south"))
+        & (latitude <= F.col("f._north"))
+        & (longitude >= F.col("f._west"))
+        & (longitude <= F.col("f._east"))
+    )
+    terms.append(("near", in_box))
+    for field, column in ANY_OF.items():
+        inside = F.array_contains(F.col(f"f.{field}"), F.col(f"l._{column}"))
+        terms.append((field, F.col(f"f._open_{field}") | inside))
+    missing = F.array_except(F.col("f.amenities"), F.col("l.amenities"))
+    terms.append(("amenities", F.col("f._open_amenities") | (F.size(missing) == 0)))
+    return terms
 
 
 def _keyed(sets: DataFrame, listings: DataFrame, every_key: bool) -> DataFrame:
@@ -300,7 +334,7 @@ def _keyed(sets: DataFrame, listings: DataFrame, every_key: bool) -> DataFrame:
     """
     # The list of neighbourhoods is a lookup dimension: one short array.
     known = listings.agg(F.collect_set(F.col("neighbourhood_id").cast("int")).alias("_known"))
-    prepared = _prepared(sets)
+    prepared = _request_side(sets)
     open_sets = prepared if every_key else prepared.where(F.size("neighbourhood_ids") == 0)
     spread = open_sets.withColumn("_key", F.explode(known.scalar()))
     if every_key:
@@ -312,8 +346,8 @@ def _keyed(sets: DataFrame, listings: DataFrame, every_key: bool) -> DataFrame:
 def _joined(
     listings: DataFrame, keyed: DataFrame, condition: Column, row_bytes: int = 256
 ) -> DataFrame:
-    on_key = F.col("l.neighbourhood_id").cast("int") == F.col("f._key")
-    left = listings.alias("l")
+    on_key = F.col("l._neighbourhood_id") == F.col("f._key")
+    left = _listing_side(listings).alias("l")
     most = min(config.BROADCAST_MAX_ROWS, config.BROADCAST_MAX_BYTES // row_bytes)
     if fits_broadcast(keyed, most):
         # Requests fit on every executor: listings are matched where they are read, so
@@ -321,7 +355,7 @@ def _joined(
         return left.join(F.broadcast(keyed).alias("f"), on_key & condition)
     # Too many requests to send everywhere: shuffle, each neighbourhood cut into slices.
     slices = 32
-    salted = left.withColumn("_slice", F.pmod(F.xxhash64(F.col("l.id")), F.lit(slices))).alias("l")
+    salted = left.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices))).alias("l")
     repeated = keyed.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     ).alias("f")
@@ -440,7 +474,10 @@ def profile_counts(listings: DataFrame, sets: DataFrame, max_cuts: int = 128) ->
     grouped = listings.groupBy(*kept, *[col.alias(name) for name, col in groups.items()]).agg(
         F.count("*").alias("_rows"), F.min("id").alias("id"), *representatives
     )
-    return grouped.withColumns(empties)
+    # Few rows, each to meet many requests: a given partition count keeps every core busy
+    # where the size alone would suggest one task.
+    tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grouped.withColumns(empties).repartition(tasks, "id")
 
 
 def field_stats(listings: DataFrame, field: str, given: Mapping | None = None) -> DataFrame:
@@ -461,14 +498,15 @@ def leave_one_out(listings: DataFrame, sets: DataFrame) -> DataFrame:
     """``(request_id, field, rows)``: listings that only this one condition keeps out."""
     profiles = profile_counts(listings, sets)
     keyed = _keyed(sets, profiles, every_key=True)
-    failed = F.array_compact(
-        F.array(*[F.when(~holds, F.lit(field)) for field, holds in _pair_terms()])
-    )
-    near_miss = _joined(profiles, keyed, F.size(failed) == 1)
+    # How many conditions fail, and the sum of their numbers: with one failure, its number.
+    fails = [(F.when(holds, 0).otherwise(1), field) for field, holds in _pair_terms()]
+    count = functools.reduce(operator.add, [failed for failed, _ in fails])
+    number = functools.reduce(operator.add, [failed * i for i, (failed, _) in enumerate(fails)])
+    names = F.array(*[F.lit(field) for _, field in fails])
+    near_miss = _joined(profiles, keyed, count == 1)
     return (
-        near_miss.select("f.request_id", F.get(failed, F.lit(0)).alias("field"), "l._rows")
-        .groupBy("request_id", "field")
+        near_miss.select("f.request_id", number.alias("_number"), "l._rows")
+        .groupBy("request_id", "_number")
         .agg(F.sum("_rows").alias("rows"))
+        .select("request_id", F.get(names, F.col("_number")).alias("field"), "rows")
     )
-
-
