@@ -152,11 +152,11 @@ def load_snapshot(
         staged = vocabulary.encode_dimension(staged, dims[table], column, f"{column}_id")
     staged = stored(staged, "staged")
 
-    stored = store.table("listings")
-    merged = reconcile.merge_snapshot(stored, staged, refused)
+    previous = store.table("listings")
+    merged = reconcile.merge_snapshot(previous, staged, refused)
     store.write(folder, "listings", tables.conform(merged, tables.LISTINGS))
     listings = spark.read.parquet(f"{folder}/listings")
-    removed = reconcile.departed(stored, staged, refused).count()
+    removed = reconcile.departed(previous, staged, refused).count()
     loaded = staged.count()
 
     children = ingest.accepted(reviews)
