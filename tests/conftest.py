@@ -12,7 +12,7 @@ from roostline.session import session  # noqa: E402
 def spark(tmp_path_factory):
     spark = session(
         "tests",
-        "local[4]",
+        "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
