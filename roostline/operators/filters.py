@@ -19,7 +19,7 @@ from roostline.errors import UnknownFieldError
 from roostline.functions.geometry import box_around, within_box
 from roostline.functions.quantiles import exact_percentiles
 from roostline.functions.text import stripped
-from roostline.session import fits_broadcast
+from roostline.session import fits_broadcast, spread
 
 FILTER_SETS = (
     "request_id string, neighbourhood_ids array<int>, room_type_ids array<int>, "
@@ -336,11 +336,11 @@ def _keyed(sets: DataFrame, listings: DataFrame, every_key: bool) -> DataFrame:
     known = listings.agg(F.collect_set(F.col("neighbourhood_id").cast("int")).alias("_known"))
     prepared = _request_side(sets)
     open_sets = prepared if every_key else prepared.where(F.size("neighbourhood_ids") == 0)
-    spread = open_sets.withColumn("_key", F.explode(known.scalar()))
+    met = open_sets.withColumn("_key", F.explode(known.scalar()))
     if every_key:
-        return spread
+        return met
     named = prepared.where(F.size("neighbourhood_ids") > 0)
-    return spread.unionByName(named.withColumn("_key", F.explode("neighbourhood_ids")))
+    return met.unionByName(named.withColumn("_key", F.explode("neighbourhood_ids")))
 
 
 def _joined(
@@ -384,6 +384,17 @@ def match(
     )
 
 
+def keep_matching(pairs: DataFrame, listings: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``(request_id, id, …)`` rows whose listing satisfies the request's filters."""
+    joined = (
+        pairs.alias("p")
+        .join(_listing_side(listings).alias("l"), F.col("p.id") == F.col("l.id"))
+        .join(_request_side(sets).alias("f"), F.col("p.request_id") == F.col("f.request_id"))
+    )
+    every = functools.reduce(operator.and_, [holds for _, holds in _pair_terms()])
+    return joined.where(every).select(*[F.col(f"p.{c}") for c in pairs.columns])
+
+
 def count_per_request(listings: DataFrame, sets: DataFrame) -> DataFrame:
     """``(request_id, matches)`` with a zero for a request that matches nothing.
 
@@ -474,10 +485,8 @@ def profile_counts(listings: DataFrame, sets: DataFrame, max_cuts: int = 128) ->
     grouped = listings.groupBy(*kept, *[col.alias(name) for name, col in groups.items()]).agg(
         F.count("*").alias("_rows"), F.min("id").alias("id"), *representatives
     )
-    # Few rows, each to meet many requests: a given partition count keeps every core busy
-    # where the size alone would suggest one task.
-    tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return grouped.withColumns(empties).repartition(tasks, "id")
+    # Few rows, each to meet many requests.
+    return spread(grouped.withColumns(empties), "id")
 
 
 def field_stats(listings: DataFrame, field: str, given: Mapping | None = None) -> DataFrame:

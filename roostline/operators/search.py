@@ -287,10 +287,9 @@ def post_filter_top_k(
 ) -> DataFrame:
     """Nearest ``pool`` listings first, filters afterwards: few may survive."""
     near = nearest(listings, requests, pool).select("request_id", "id", "distance")
-    matching = filters.match(listings, requests, ("id",)).select(
-        "request_id", F.col("id").cast("long").alias("id")
-    )
-    return best_per(near.join(matching, ["request_id", "id"], "left_semi"), ["request_id"], limit)
+    # Only the pools are checked against the filters, not all listings.
+    kept = filters.keep_matching(near, listings.drop("embedding"), requests.drop("query"))
+    return best_per(kept, ["request_id"], limit)
 
 
 def widening_top_k(

@@ -15,7 +15,7 @@ from roostline import config
 from roostline.errors import LoadError
 from roostline.functions.ids import with_dense_ids
 from roostline.operators import ingest, reconcile, vocabulary
-from roostline.session import stored
+from roostline.session import spread, stored
 from roostline.sources import tables
 from roostline.sources.snapshot_csv import BAD_ENCODING, FILE_POSITION, read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
@@ -58,15 +58,15 @@ class LoadReport:
 def _stage(spark: SparkSession, raw: DataFrame, parse, name: str, path: str) -> DataFrame:
     """Typed rows of one file set, written once and read by everything that follows.
 
-    A gzip file is read by a single task; spreading its rows right after the read lets
-    every core take part in the parsing.
+    A file is read by a single task; where there are fewer files than tasks, spreading
+    the rows right after the read lets every core take part in the parsing.
     """
     seen = Observation(name)
-    spread = raw.repartition(FILE_POSITION).observe(
+    rows = spread(raw, FILE_POSITION, parts=len(raw.inputFiles())).observe(
         seen, F.count("*").alias("rows"), F.count_if(F.col(BAD_ENCODING)).alias("broken")
     )
     try:
-        typed = stored(parse(spread), name)
+        typed = stored(parse(rows), name)
     except (PySparkException, Py4JJavaError) as exc:
         raise LoadError(f"{path} could not be read: {exc}") from exc
     if seen.get["broken"]:

@@ -67,6 +67,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """``df`` over enough tasks for work that weighs more than its bytes suggest.
+
+    ``parts`` is how many tasks read it now; nothing moves if those are enough. The
+    partition count is given, so that it is not merged down to the size of the data.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if parts is not None and parts >= tasks else df.repartition(tasks, key)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, without counting past the bound."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roostline.functions import rules
 from roostline.operators import audit, ingest
-from roostline.session import scratch_path, stored
+from roostline.session import scratch_path, spread, stored
 from roostline.sources import tables
 from roostline.sources.snapshot_csv import read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
@@ -245,7 +245,7 @@ def trace_sink(spark, sf):
 
 
 def _judged(spark, sf):
-    return stored(ingest.parse_listings(r.raw_listings(spark, sf)), "judged")
+    return stored(ingest.parse_listings(spread(r.raw_listings(spark, sf), "file_pos")), "judged")
 
 
 def _names(col="amenity_names"):

@@ -133,3 +133,22 @@ def test_vocabulary_guard(spark):
         vocabulary.require_vocabulary(some.where("false"), some)
     with pytest.raises(GroundingError, match="neighbourhoods"):
         vocabulary.require_vocabulary(some, some.where(F.lit(False)))
+
+
+def test_bodies_to_ranked_listings(spark, run, names):
+    from test_search import SCHEMA, row
+
+    from roostline.plans.search import answer
+
+    listings = spark.createDataFrame([row(g) for g in range(1, 200)], SCHEMA)
+    rows = [
+        ("a", 1, body(neighbourhoods=["Canalside", "Hilltop"], max_price=150), "end_turn"),
+        ("b", 1, "nope", "end_turn"),
+        ("b", 2, body(amenities=["Wifi"], min_rating=9), "end_turn"),
+    ]
+    df = spark.createDataFrame(rows, "request_id string, attempt int, body string, stop_reason string")
+    query = F.array(*[F.lit(v) for v in row(7)[-1]]).cast("array<float>")
+    out = answer(df, names, listings, lambda sets: sets.withColumn("query", query), 3).collect()
+    assert {r["request_id"] for r in out} == {"a"} and [r["place"] for r in sorted(out, key=lambda r: r["place"])] == [1, 2, 3]
+    places = {r["id"]: r["neighbourhood_id"] for r in listings.collect()}
+    assert all(places[r["id"]] in (1, 2) for r in out)
