@@ -124,10 +124,19 @@ _LISTING_RULES = [
 _FLOATS = ("bathrooms", "price_gbp", "rating", "location_score", "cleanliness_score")
 _REASON = "CASE " + " ".join(f"WHEN {bad} THEN '{f}'" for f, _, (_, bad) in _LISTING_RULES) + " END"
 JUDGED_SQL = f"SELECT *, {_REASON} AS field, {_int('id')[0]} AS readable_id FROM ({r.RAW_LISTINGS_SQL})"
+_INTS = {"accommodates": "SMALLINT", "bedrooms": "SMALLINT", "beds": "SMALLINT", "minimum_nights": "INTEGER", "number_of_reviews": "INTEGER"}
+
+
+def _stored_form(out: str, value: str) -> str:
+    if out in _FLOATS:
+        return f"round(CAST(CAST({value} AS FLOAT) AS DOUBLE), 4)"
+    return f"CAST({value} AS {_INTS[out]})" if out in _INTS else value
+
+
 ACCEPTED_SQL = (
     "SELECT file_pos, "
     + ", ".join(
-        (f"round(CAST(CAST({value} AS FLOAT) AS DOUBLE), 4)" if out in _FLOATS else value) + f" AS {out}"
+        f"{_stored_form(out, value)} AS {out}"
         for _, out, (value, _) in _LISTING_RULES
         if out
     )
@@ -266,6 +275,13 @@ def rejected(spark, sf):
     )
 
 
+def privacy(spark, sf):
+    """Which columns of a file with host identity survive parsing, and for how many rows."""
+    kept = ingest.accepted(_judged(spark, sf))
+    shown = ",".join(sorted(c for c in kept.columns if c != "file_pos"))
+    return kept.agg(F.lit(shown).alias("kept_columns"), F.count("*").alias("rows"))
+
+
 def rule(source, column, make, cast=None):
     def run(spark, sf):
         df = getattr(r, source)(spark, sf)
@@ -310,6 +326,12 @@ QUERIES = {
         "SELECT concat(l_orderkey, '-', l_linenumber) AS line, count(*) AS rows FROM lineitem "
         "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     ),
+    "A4_privacy_reduction": (
+        privacy,
+        "SELECT '"
+        + ",".join(sorted([o for _, o, _ in _LISTING_RULES if o and o != "amenities"] + ["amenity_names"]))
+        + f"' AS kept_columns, count(*) AS rows FROM ({JUDGED_SQL}) WHERE field IS NULL",
+    ),
     "A5_personal_values": (personal_values, _PERSONAL_SQL),
     "A6_table_scan": (table_scan, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem"),
     "A7_published_version": (publish, _ORDERS_SQL),
