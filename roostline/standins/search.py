@@ -126,8 +126,8 @@ def matches(spark, sf):
 
 # --- Search -----------------------------------------------------------------------------
 
-_FLAGSHIP = {"max_price": 980.0, "min_accommodates": 2, "neighbourhood_ids": [2, 17, 5, 9], "amenities": ["ring"]}
-_FLAGSHIP_SQL = "price_gbp <= 980 AND accommodates >= 2 AND neighbourhood_id IN (2, 17, 5, 9) AND list_contains(amenities, 'ring')"
+_FLAGSHIP = {"max_price": 980.0, "min_accommodates": 2, "neighbourhood_ids": [2, 17, 5, 9]}
+_FLAGSHIP_SQL = "price_gbp <= 980 AND accommodates >= 2 AND neighbourhood_id IN (2, 17, 5, 9)"
 
 
 def _query(spark, sf):
@@ -345,7 +345,10 @@ QUERIES = {
     ),
     "E7_all_amenities": (_one({"amenities": ["ring", "red"]}, "name"), _one_sql("list_has_all(amenities, ['ring', 'red'])", "name")),
     "E8_area_box": (_one(_BOX, "latitude", "longitude"), _one_sql(_BOX_SQL, "latitude", "longitude")),
-    "E9_conjunction": (_one({**_FLAGSHIP, **_BOX}), _one_sql(f"{_FLAGSHIP_SQL} AND {_BOX_SQL}")),
+    "E9_conjunction": (
+        _one({**_FLAGSHIP, **_BOX, "min_reviews": 20, "amenities": ["ring"]}),
+        _one_sql(f"{_FLAGSHIP_SQL} AND {_BOX_SQL} AND number_of_reviews >= 20 AND list_contains(amenities, 'ring')"),
+    ),
     "E9_empty_filter_sets": (empty_sets, f"SELECT request_id, ({_EMPTY_SQL}) AS is_empty FROM ({r.filter_sets_sql('customer')})"),
     "E10_null_report": (null_report, _NULL_SQL),
     "E11_validation": (validation, _VALIDATION_SQL),
