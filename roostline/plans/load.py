@@ -106,6 +106,7 @@ def load_snapshot(
     review_counts = ingest.row_counts(reviews).first()
 
     folder = store.begin()
+    before = store.newest()
     accepted = ingest.accepted(parsed)
     refused = ingest.rejected(parsed).select("source_listing_id")
 
@@ -127,7 +128,7 @@ def load_snapshot(
     for table, found in sources.items():
         schema = tables.SCHEMAS[table]
         extended = vocabulary.extend_dimension(
-            store.table(table), found, schema["id"].dataType.simpleString()
+            store.table(table, at=before), found, schema["id"].dataType.simpleString()
         )
         store.write(folder, table, tables.conform(extended, schema))
         dims[table] = spark.read.parquet(f"{folder}/{table}")
@@ -152,7 +153,7 @@ def load_snapshot(
         staged = vocabulary.encode_dimension(staged, dims[table], column, f"{column}_id")
     staged = stored(staged, "staged")
 
-    previous = store.table("listings")
+    previous = store.table("listings", at=before)
     merged = reconcile.merge_snapshot(previous, staged, refused)
     store.write(folder, "listings", tables.conform(merged, tables.LISTINGS))
     listings = spark.read.parquet(f"{folder}/listings")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,7 +128,8 @@ class SnapshotStore:
                 raise
             return self.spark.createDataFrame([], self._LOG)
 
-    def _newest(self):
+    def newest(self) -> Row | None:
+        """The published row of the current version; None before any load."""
         order = (F.desc("version"), F.desc("loaded_at"), F.desc("folder"))
         return self._log().orderBy(*order).limit(1).first()
 
@@ -143,7 +144,7 @@ class SnapshotStore:
         self, folder: str, *, snapshot_date: date, city: str, listings: int, reviews: int
     ) -> None:
         """Make a finished version the current one."""
-        newest = self._newest()
+        newest = self.newest()
         version = newest["version"] + 1 if newest else 1
         row = self.spark.range(1).select(
             F.lit(version).cast("long").alias("version"),
@@ -156,9 +157,15 @@ class SnapshotStore:
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
 
-    def table(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-        """A table of the current version; empty with the right schema before any load."""
-        newest = self._newest()
+    def table(
+        self, name: str, columns: Sequence[str] | None = None, at: Row | None = None
+    ) -> DataFrame:
+        """A table of the current version; empty with the right schema before any load.
+
+        ``at`` is a row of :meth:`newest`: tables read at the same row belong together,
+        whatever is published in between.
+        """
+        newest = at or self.newest()
         if newest is None:
             empty = self.spark.createDataFrame([], SCHEMAS[name])
             return empty.select(*columns) if columns else empty
