@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from roostline.llm import decontaminate, kd_shards, license_scan, line_dedup, mixing, quality, toxicity
+from roostline.llm import decontaminate, kd_shards, license_scan, line_dedup, mixing, near_dup, quality, toxicity
 
 # Name: query and its SQL, None where SQL cannot express it.
 QUERIES = {
     "op2_license_scan": (license_scan.query, None),
     "op4_decontaminate": (decontaminate.query, decontaminate.SQL),
+    "op5_near_dup": (near_dup.query, near_dup.SQL),
     "op6_kd_shards": (kd_shards.query, None),
     "op7_quality": (quality.query, None),
     "op8_mixing": (mixing.query, None),
