@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from roostline.llm import decontaminate, kd_shards, license_scan, line_dedup, mixing, near_dup, quality, toxicity
+from roostline.llm import decontaminate, html_text, kd_shards, license_scan, line_dedup, mixing, near_dup, nearest, quality, toxicity
 
 # Name: query and its SQL, None where SQL cannot express it.
 QUERIES = {
+    "op1_html_text": (html_text.query, None),
     "op2_license_scan": (license_scan.query, None),
+    "op3_nearest": (nearest.query, None),
     "op4_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op5_near_dup": (near_dup.query, near_dup.SQL),
     "op6_kd_shards": (kd_shards.query, None),
