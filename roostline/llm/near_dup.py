@@ -9,10 +9,11 @@ Two sketches agree in a register with the probability Jaccard similarity of the
 Registers are banded. Equal texts are one node from the start. In a bucket every node meets
 the smallest one, so a bucket of n nodes gives n - 1 pairs; buckets of the same nodes are
 taken once. Pairs are verified on whole texts: |A ∩ B| / |A ∪ B| of the shingles is 0.8 or
-more. If a node of a bucket isn't linked to the smallest, the nodes of that bucket are
-compared by their sketches, in cells of bounded size, and the likely pairs among them are
-verified too; pairs of nodes that the sketches put far above the threshold are linked
-through one of them. Classes are the connected components of all links.
+more. Classes are the connected components of all links. Where the nodes of a bucket end
+in several components, they meet in cells of bounded size, each with its shingles, and a
+task looks for links between the components; only such links leave it, at most one less
+than the components of the cell. So a group of near copies gives rows in proportion to its
+nodes, and no link between candidates is left out.
 
 Defined results: texts without words (null, empty) are classes of their own, every row;
 documents with the same words share a class whatever their ids; a class is named by its
@@ -35,17 +36,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 36
 REGISTERS = ROWS * BANDS
-# Sketch estimates: below FAR a pair of the threshold's similarity is never seen (six
-# standard deviations), above SURE one of less than the threshold's is not.
-FAR, SURE = 0.6, 0.95
-CELL = 1_000
+# Nodes of a bucket that one task compares.
+CELL = 500
 
 RESULT = StructType(
     [
         StructField("node", BinaryType()),
         StructField("n_words", LongType()),
         StructField("bands", ArrayType(LongType())),
-        StructField("sketch", BinaryType()),
     ]
 )
 
@@ -132,12 +130,11 @@ def _describe(parts):
             band = batches.mix(band + sketch.reshape(n, BANDS, ROWS)[:, :, i])
         first = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
         bands = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(band[has].view(np.int64).ravel(), pa.int64()))
-        short = (batches.mix(sketch) & np.uint64(0xFFFF)).astype(np.uint16)
-        yield part, [nodes(w), np.diff(w.first), bands, [x.tobytes() if h else None for x, h in zip(short, has)]]
+        yield part, [nodes(w), np.diff(w.first), bands]
 
 
 def described(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, n_words, bands, sketch) of each row."""
+    """(doc_id, text_hash, node, n_words, bands) of each row."""
     found = batches.with_results(documents.select("doc_id", "text"), "text", RESULT, _describe)
     return found.select("row.doc_id", F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("text_hash"), "result.*")
 
@@ -194,41 +191,51 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b", "x", "y").mapInArrow(_compare(least), "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
 
-def _cell_pairs(rows: pa.Table) -> pa.Table:
-    """Likely pairs of a cell: of each open node with the others, by their sketches."""
-    name, open_ = rows["node"].to_pylist(), rows["open"].to_numpy()
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(name), REGISTERS)
-    sure, out = np.full(len(name), -1), []
-    for i in np.flatnonzero(open_):
-        share = (sketch == sketch[i]).mean(1)
-        near = share >= FAR
-        near[i] = False
-        near[:i] &= ~open_[:i]  # seen from the other side
-        if sure[i] >= 0:
-            near &= sure != sure[i]
-        else:
-            sure[(share >= SURE) & open_ & (sure < 0)] = i
-        out += [(min(name[i], name[j]), max(name[i], name[j])) for j in np.flatnonzero(near)]
-    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
-
-
-def unsettled_pairs(members: DataFrame, links: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Likely pairs of the buckets in which some node is not linked to the smallest.
-
-    ``members`` are (key, n, pivot, node). A bucket of more than ``CELL`` nodes is cut into
-    chunks, and every pair of chunks is a cell.
+def _cell_links(least: float):
+    """Links of a cell that join nodes of different components, found on whole shingle sets.
+
+    A node is compared with all others at once: its shingles are marked and counted in each.
+    Two components that one link has joined are not linked again.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        name = rows["node"].to_pylist()
+        held = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        size = np.array([len(x) for x in held])
+        _, shingle = np.unique(np.concatenate(held), return_inverse=True)
+        first = np.cumsum(size) - size
+        _, root = np.unique(np.array(rows["root"].to_pylist(), dtype=object), return_inverse=True)
+        marked, out = np.zeros(len(shingle) + 1, bool), []
+        for i in np.flatnonzero(root != np.bincount(root).argmax()):
+            own = shingle[first[i] : first[i] + size[i]]
+            marked[own] = True
+            both = np.add.reduceat(marked[shingle], first, dtype=np.int64)
+            marked[own] = False
+            for j in np.flatnonzero((both >= least * (size + size[i] - both)) & (root != root[i])):
+                if root[j] != root[i]:
+                    out.append((name[i], name[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return run
+
+
+def unsettled_links(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between components, in the buckets whose nodes are in several.
+
+    ``members`` are (key, n, node). A bucket of more than ``CELL`` nodes is cut into chunks,
+    and every pair of chunks is a cell.
     """
-    star = links.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("linked"))
-    told = members.join(star, ["pivot", "node"], "left").withColumn("open", F.col("linked").isNull() & (F.col("node") != F.col("pivot"))).drop("linked")
-    left = told.where("open").select("key").distinct()
-    rows = told.join(left, "key", "left_semi").join(distinct.select("node", "sketch"), "node")
+    told = members.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    several = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = told.join(several, "key", "left_semi").join(sets, "node")
     chunks = F.floor((F.col("n") - 1) / CELL) + 1
     own = F.pmod(F.xxhash64("node"), chunks)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("other")
-    cells = rows.select("key", "node", "open", "sketch", own.alias("own"), other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "open", "sketch"
+    cells = rows.select("key", "node", "root", "shingles", own.alias("own"), other).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "shingles"
     )
-    return cells.groupBy("key", "i", "j").applyInArrow(_cell_pairs, "a binary, b binary").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(_cell_links(least), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,7 +260,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = stored(described(documents), "sketches")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = stored(
-        rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(name).alias("name"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(name).alias("name"), F.first("bands").alias("bands")),
         "distinct",
     )
     bands = distinct.select("node", F.explode("bands").alias("key"))
@@ -266,10 +273,9 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     wanted = distinct.join(touched, "node", "left_semi").select("node", "name.doc_id", "name.text_hash")
     sets = stored(shingle_sets(documents, wanted), "sets")
     links = stored(verified(pairs, sets, least), "links")
-    more = unsettled_pairs(members, links, distinct).join(pairs, ["a", "b"], "left_anti")
-    links = links.union(stored(verified(more, sets, least), "more-links"))
-    root = components(links).alias("c")
-    r = rows.alias("r")
+    more = stored(unsettled_links(members, components(links), sets, least), "more-links")
+    roots = components(links.union(more))
+    root, r = roots.alias("c"), rows.alias("r")
     return r.join(root, F.col("r.node") == F.col("c.node"), "left").select(
         "r.doc_id", "r.text_hash", "r.n_words", "r.node", F.coalesce("c.root", "r.node").alias("root")
     )
