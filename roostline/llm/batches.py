@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 # Bytes of text that are handled at once; about forty bytes of memory each.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

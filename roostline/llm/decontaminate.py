@@ -32,7 +32,7 @@ from roostline.llm.fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 SHARD_TOKENS = 1 << 20
 
 SPAN = StructType([StructField(n, IntegerType()) for n in ("first_word", "last_word", "start", "end")])
@@ -237,7 +237,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     doc = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
     df = documents.select(doc, F.col("text").alias("text"))
     for i, block in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
-        made = batches.with_results(df, "text", RESULT, _pass(sc.broadcast(block)), most=2 << 20)
+        made = batches.with_results(df, "text", RESULT, _pass(sc.broadcast(block)))
         df = _merged(made) if i else made.select("row.doc", "row.text", F.col("result").alias("found"))
     return df.select(F.col("doc").alias("row"), F.col("found").alias("result"))
 
