@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 
 def _slot(value: Column) -> Column:
-    """A coarse code that orders like the value: sign, power of two, and 64 steps within it."""
-    size = F.abs(value)
+    """A coarse code that orders like the value: sign, power of two, and 64 steps within it.
+
+    Infinite values and NaN have codes of their own, beyond all others.
+    """
+    size = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(1.0)).otherwise(F.abs(value))
     power = F.floor(F.log2(size))
     fraction = F.floor((size / F.pow(F.lit(2.0), power) - 1) * 64)
     code = ((power + 1100) * 65 + F.greatest(fraction, F.lit(0))).cast("int")
-    return F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code)
+    beyond = F.when(F.isnan(value), F.lit(1 << 30)).when(value == float("inf"), F.lit(1 << 29)).when(value == float("-inf"), F.lit(-(1 << 29)))
+    return F.coalesce(beyond, F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code))
 
 
 def exact_percentiles(
@@ -75,7 +79,8 @@ def exact_percentiles(
         F.max(F.when(holds("_high"), F.col("_value"))).alias("_b"),
         F.max(F.col("_at") - F.col("_low")).alias("_share"),
     )
-    point = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")
+    point = F.when((F.col("_a") == F.col("_b")) | (F.col("_share") == 0), F.col("_a")).otherwise(between)
     return ends.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_p") == name, point)).alias(name) for name in probabilities]
     )

@@ -20,7 +20,8 @@ CURRENCY_MARKS = "$\u00a3\u20ac,\u00a0 "
 
 _DIGITS = "[0-9]+(?:_[0-9]+)*"
 _WHOLE = f"^[+-]?{_DIGITS}$"
-_DECIMAL = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+# How a number is written; whatever is cast to one is matched against it first.
+DECIMAL = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 _BATH_COUNT = r"^[0-9]+(?:\.[0-9]+)? (?:shared |private )?baths?$"
 _HALF_BATH = r"^(?:shared |private )?half-bath$"
 
@@ -69,7 +70,7 @@ def whole_number(col: Column, fits: tuple[int, int] = config.INT8_RANGE) -> Pars
 
 def finite_number(col: Column, largest: float | None = None) -> Parsed:
     text = stripped(col)
-    value = F.when(text.rlike(_DECIMAL), F.translate(text, "_", "")).try_cast("double")
+    value = F.when(text.rlike(DECIMAL), F.translate(text, "_", "")).try_cast("double")
     limit = largest if largest is not None else 1.7976931348623157e308
     return Parsed(value, lambda v: (v.isNull() & (text != "")) | F.coalesce(F.abs(v) > F.lit(limit), F.lit(False)))
 

@@ -54,11 +54,13 @@ def cost_of_call() -> Column:
 
 
 def price(calls: DataFrame, rates: DataFrame) -> DataFrame:
-    """Billed calls with ``cost_usd``; NULL where the model has no rate."""
-    # A price list has one row per model.
-    out = billed(calls).join(F.broadcast(rates), "model", "left")
+    """Billed calls with ``cost_usd``. A model without a rate stops the job, in a batch and in
+    a stream, so that no total leaves a call out.
+    """
+    out = billed(calls).join(rates.withColumn("_rated", F.lit(True)), "model", "left")
+    stop = F.raise_error(F.concat(F.lit("no rate for "), F.col("model"))).cast("double")
     added = [c for c in rates.columns if c != "model"]
-    return out.withColumn("cost_usd", cost_of_call()).drop(*added)
+    return out.withColumn("cost_usd", F.when(F.col("_rated").isNull(), stop).otherwise(cost_of_call())).drop("_rated", *added)
 
 
 def unknown_models(calls: DataFrame, rates: DataFrame) -> DataFrame:
@@ -68,9 +70,10 @@ def unknown_models(calls: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def require_known_models(calls: DataFrame, rates: DataFrame) -> None:
-    missing = [row["model"] for row in unknown_models(calls, rates).orderBy("model").limit(20).collect()]
-    if missing:
-        raise UnknownModelError(f"no rate for {', '.join(missing)}")
+    missing = unknown_models(calls, rates)
+    if count := missing.count():
+        named = ", ".join(row["model"] for row in missing.orderBy("model").limit(20).collect())
+        raise UnknownModelError(f"no rate for {count} models, such as {named}")
 
 
 def _totals() -> list[Column]:

@@ -25,22 +25,16 @@ def scrub(rows: DataFrame, column: str, names: tuple[str, ...] = ()) -> DataFram
 def excerpts(
     reviews: DataFrame,
     words: int = config.EXCERPT_WORDS,
-    keep: int = config.MAX_REVIEWS_PER_LISTING,
 ) -> DataFrame:
-    """``(listing_id, excerpt)``: recent review text, newest first, at most ``words`` words.
+    """``(listing_id, excerpt)``: review text, newest first, cut after ``words`` words.
 
-    Only the newest ``keep`` reviews of a listing are brought together, so a listing with
-    very many reviews is no larger than any other.
+    Every review with a word has one at least, so the newest ``words`` of them hold all
+    words of the excerpt; no more are brought together, however many a listing has.
     """
-    newest = newest_children(reviews, keep, key="listing_id", date="date", position="id")
     gap = f"[{WHITESPACE}]+"
-    parts = newest.select(
-        "listing_id",
-        "recency",
-        F.slice(
-            F.filter(F.split(without_names(F.col("comments")), gap), lambda w: w != ""), 1, words
-        ).alias("words"),
-    )
+    spoken = F.slice(F.filter(F.split(without_names(F.col("comments")), gap), lambda w: w != ""), 1, words)
+    told = reviews.select("listing_id", "id", "date", spoken.alias("words")).where(F.size("words") > 0)
+    parts = newest_children(told, words, key="listing_id", date="date", position="id").select("listing_id", "recency", "words")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("recency", "words"))), lambda r: r["words"])
     return parts.groupBy("listing_id").agg(
         F.array_join(F.slice(F.flatten(in_order), 1, words), " ").alias("excerpt")

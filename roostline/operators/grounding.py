@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roostline import config
+from roostline.functions.rules import DECIMAL
 from roostline.functions.text import stripped
 from roostline.operators import filters
 from roostline.session import stored
@@ -109,7 +110,8 @@ def _read_scalar(field: str) -> Column:
         value = F.when(text.isin(*_TRUE), F.lit(True)).when(text.isin(*_FALSE), F.lit(False))
     else:
         number = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0))
-        value = F.when(kind == "BOOLEAN", number).otherwise(text.try_cast("double"))
+        written = F.when(text.rlike(DECIMAL), text.try_cast("double"))
+        value = F.when(kind == "BOOLEAN", number).otherwise(written)
         if field in _WHOLE:
             value = F.when(value == F.floor(value), value).try_cast("int")
     nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")

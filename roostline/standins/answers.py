@@ -37,7 +37,7 @@ _SPACE = r"'[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 _EXCERPT_SQL = f"""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS place FROM documents),
 w AS (SELECT source, place, unnest(list_filter(regexp_split_to_array({s.scrubbed_sql('text')}, {_SPACE}), lambda x: x <> '')) AS word,
- generate_subscripts(list_filter(regexp_split_to_array({s.scrubbed_sql('text')}, {_SPACE}), lambda x: x <> ''), 1) AS pos FROM d WHERE place <= 5),
+ generate_subscripts(list_filter(regexp_split_to_array({s.scrubbed_sql('text')}, {_SPACE}), lambda x: x <> ''), 1) AS pos FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place, pos) AS nth FROM w)
 SELECT source, md5(string_agg(word, ' ' ORDER BY nth)) AS digest FROM n WHERE nth <= 150 GROUP BY source
 """
@@ -58,8 +58,8 @@ def doc_text(spark, sf):
 
 
 _DOC_SQL = f"""
-WITH l AS ({r.LISTINGS_SQL}), v AS (SELECT * FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 5),
-x AS (SELECT CAST(user_id + 1 AS INT) AS id, string_agg(concat('a fine ', event_type), ' ' ORDER BY place) AS excerpt FROM v GROUP BY user_id)
+WITH l AS ({r.LISTINGS_SQL}), v AS (SELECT * FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events)),
+x AS (SELECT CAST(user_id + 1 AS INT) AS id, array_to_string(string_split(string_agg(concat('a fine ', event_type), ' ' ORDER BY place), ' ')[1:150], ' ') AS excerpt FROM v GROUP BY user_id)
 SELECT l.id, concat_ws(chr(10), name, description, neighbourhood, concat_ws(', ', room_type, property_type), concat('Amenities: ', array_to_string(amenities, ', ')),
  CASE WHEN excerpt <> '' THEN concat('Guests say: ', excerpt) END) AS doc_text FROM l LEFT JOIN x ON l.id = x.id
 """

@@ -95,7 +95,7 @@ def sets(spark, requests):
     return filters.canonical(filters.filter_sets(spark, requests))
 
 
-def test_every_field_is_mapped_once():
+def test_every_field_is_mapped_once(spark):
     assert len(filters.FIELDS) == 17 and len(set(filters.FIELDS)) == 17
     assert {f.split()[0] for f in filters.FILTER_SETS.split(", ") if ":" not in f or "near" in f} >= set(filters.FIELDS)
     assert {f for f, _ in filters._pair_terms()} == set(filters.FIELDS)

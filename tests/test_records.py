@@ -261,3 +261,25 @@ def test_personal_columns():
         columns = ["id", "reviewer_hash", "Host_Name"]
 
     assert audit.personal_columns({"t": Fake()}) == ["t.Host_Name", "t.reviewer_hash"]
+
+
+def test_a_model_without_a_rate_stops_every_total(spark):
+    rows = [("r", 1, "parse", "claude-haiku-4-5", 10, 10, 0, 0, False), ("r", 2, "parse", "no-such-model", 10, 10, 0, 0, False)]
+    columns = "run_id string, seq int, label string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, is_batch boolean"
+    priced = cost.price(spark.createDataFrame(rows, columns), cost.default_rates(spark))
+    for total in (cost.run_totals(priced), cost.cost_by_label(priced), cost.ceiling_breaches(priced, 1.0)):
+        with pytest.raises(Exception, match="no rate for no-such-model"):
+            total.collect()
+
+
+def test_short_reviews_fill_an_excerpt(spark):
+    rows = [(1, i, i, f"word{i}" if i % 2 else "  ") for i in range(40)]
+    reviews = spark.createDataFrame(rows, "listing_id int, id int, date int, comments string")
+    got = documents.excerpts(reviews, words=15).first()["excerpt"].split(" ")
+    assert got == [f"word{i}" for i in range(39, 9, -2)]
+
+
+def test_percentiles_with_infinite_values(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, "inf", "-inf", "inf")], "k string, v double")
+    row = exact_percentiles(df, ["k"], "v", {"low": 0.25, "mid": 0.5, "high": 1.0}).first()
+    assert (row["low"], row["mid"], row["high"]) == (1.0, 2.0, float("inf"))
