@@ -61,11 +61,11 @@ def check_arguments(
     if cap < 1:
         raise ValueError(f"the branch cap must be at least 1, got {cap}")
     if query is not None and not len(query):
-        raise ValueError("the query vector is empty; there is nothing to rank by")
+        raise ValueError("an empty query vector ranks no listing")
     if query is not None and width is not None and len(query) != width:
         raise ValueError(f"the query vector has {len(query)} values, the listings have {width}")
     if not columns:
-        raise ValueError("no columns are selected")
+        raise ValueError("a result with no columns was asked for")
 
 
 def check_pool(pool: int, bound: int = config.POOL_BOUND) -> int:

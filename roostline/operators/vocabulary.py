@@ -181,8 +181,8 @@ def vocabulary(
 def require_vocabulary(snapshot: DataFrame, neighbourhoods: DataFrame) -> None:
     """Refuse to resolve names against nothing."""
     if snapshot.isEmpty():
-        raise GroundingError("no snapshot is loaded")
+        raise GroundingError("names need a published snapshot, and there is none")
     if neighbourhoods.isEmpty():
-        raise GroundingError("the neighbourhoods table is empty; the load is incomplete")
+        raise GroundingError("the published version has no neighbourhoods")
 
 
