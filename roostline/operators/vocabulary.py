@@ -181,7 +181,7 @@ def vocabulary(
 def require_vocabulary(snapshot: DataFrame, neighbourhoods: DataFrame) -> None:
     """Refuse to resolve names against nothing."""
     if snapshot.isEmpty():
-        raise GroundingError("names need a published snapshot, and there is none")
+        raise GroundingError("no snapshot was published to look names up in")
     if neighbourhoods.isEmpty():
         raise GroundingError("the published version has no neighbourhoods")
 
