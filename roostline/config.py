@@ -101,7 +101,10 @@ BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 # Rows of one key that a running total handles in one task.
 RUNNING_CHUNK = 4096
-# Query vectors held by a Python worker in one pass over the listings.
-QUERY_BLOCK = 512
+# Request vectors and listing vectors that meet as one group in a Python worker, and the
+# listings whose distances are held at once.
+QUERY_BLOCK = 1024
+LISTING_SLICE = 8192
+DISTANCE_TILE = 1024
 # Distances are compared at this many decimals; float32 vectors carry about seven.
 DISTANCE_DECIMALS = 9

@@ -17,3 +17,7 @@ class UnknownModelError(KeyError):
 
 class UnknownFieldError(ValueError):
     """A statistic was asked for on a column that is not open to filtering."""
+
+
+class InvalidFilterError(ValueError):
+    """A request's bounds, ids or names break the rules of their fields."""

@@ -35,20 +35,6 @@ def _with_nulls(valid: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.array(out, mask=~valid)
 
 
-@F.arrow_udf(T.DoubleType())
-def _pair_distance(left: pa.Array, right: pa.Array) -> pa.Array:
-    valid = np.array(left.is_valid()) & np.array(right.is_valid())
-    keep = pa.array(valid)
-    a, b = matrix(left.filter(keep)), matrix(right.filter(keep))
-    norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-    return _with_nulls(valid, distances(np.einsum("ij,ij->i", a, b) / norms) if len(a) else [])
-
-
-def pair_distance(left: Column, right: Column) -> Column:
-    """Cosine distance of two vector columns of one width; NULL where either is missing."""
-    return _pair_distance(left, right)
-
-
 def distance_to(vector: Column, query: Sequence[float]) -> Column:
     """Cosine distance of a vector column to one query vector; NULL vectors stay NULL."""
     unit = np.asarray(query, dtype=np.float64)

@@ -8,18 +8,19 @@ Both read the same table of fields.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roostline import config
-from roostline.errors import UnknownFieldError
+from roostline.errors import InvalidFilterError, UnknownFieldError
 from roostline.functions.geometry import box_around, within_box
 from roostline.functions.quantiles import exact_percentiles
 from roostline.functions.text import stripped
-from roostline.session import fits_broadcast, spread
+from roostline.session import spread, stable
 
 FILTER_SETS = (
     "request_id string, neighbourhood_ids array<int>, room_type_ids array<int>, "
@@ -185,19 +186,46 @@ def null_excluding(value: Callable[[str], Column] = F.col) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*used))))
 
 
+def checked(given: Mapping) -> dict:
+    """One request in canonical form: sets sorted without repeats, names trimmed, no open field.
+
+    Refuses what ``problems`` reports for a table of requests, with the fields named.
+    """
+    unknown = sorted(set(given) - set(FIELDS))
+    if unknown:
+        raise UnknownFieldError(f"no such filter: {', '.join(unknown)}")
+    out = {field: value for field, value in given.items() if value is not None}
+    bad = [f for f in ANY_OF if any(i is None or i < 1 for i in out.get(f, ()))]
+    for field, low, high in _RANGES:
+        value = out.get(field, low)
+        if not low <= value <= (math.inf if high is None else high):
+            bad.append(field)
+    names = [name.strip() for name in out.get("amenities", ())]
+    if not all(names):
+        bad.append("amenities")
+    if "near" in out:
+        latitude, longitude, radius = (out["near"][k] for k in ("latitude", "longitude", "radius_km"))
+        if not (abs(latitude) <= 90 and abs(longitude) <= 180 and 0 < radius <= config.MAX_RADIUS_KM):
+            bad.append("near")
+    if not bad and out.get("min_price", 0) > out.get("max_price", math.inf):
+        bad.append("price_range")
+    if bad:
+        raise InvalidFilterError(f"not a usable filter: {', '.join(bad)}")
+    sets = {f: sorted(set(out[f])) for f in ANY_OF if f in out} | ({"amenities": sorted(set(names))} if names else {})
+    return {f: v for f, v in (out | sets).items() if v not in ([], ())}
+
+
 # --- Predicates --------------------------------------------------------------
 
 
 def conditions(
     given: Mapping, indexed_amenities: Mapping[str, str] | None = None
 ) -> list[tuple[str, Column]]:
-    """``(field, predicate)`` of one request, in a fixed order, for the fields it sets."""
-    unknown = sorted(set(given) - set(FIELDS))
-    if unknown:
-        raise UnknownFieldError(f"no such filter: {', '.join(unknown)}")
+    """``(field, predicate)`` of one request, checked, in a fixed order, for the fields it sets."""
+    given = checked(given)
     terms: list[tuple[str, Column]] = []
     for field, column in ANY_OF.items():
-        ids = sorted(set(given.get(field) or ()))
+        ids = given.get(field, [])
         if len(ids) == 1:
             terms.append((field, F.col(column) == ids[0]))
         elif ids:
@@ -210,7 +238,7 @@ def conditions(
         box = box_around(*(F.lit(float(near[k])) for k in ("latitude", "longitude", "radius_km")))
         terms.append(("near", within_box(F.col("latitude"), F.col("longitude"), box)))
     columns = indexed_amenities or {}
-    for amenity in sorted(set(given.get("amenities") or ())):
+    for amenity in given.get("amenities", []):
         if amenity in columns:
             terms.append(("amenities", F.col(columns[amenity])))
         else:
@@ -325,43 +353,65 @@ def _pair_terms() -> list[tuple[str, Column]]:
     return terms
 
 
-def _keyed(sets: DataFrame, listings: DataFrame, every_key: bool) -> DataFrame:
-    """Filter sets repeated per neighbourhood they have to meet.
+# The any-of fields a request can be joined on, the one with most values first. A request's
+# shape is the place of the first one it names, from 1, or 0 if it names none.
+_JOIN_FIELDS = ("neighbourhood_ids", "property_type_ids", "room_type_ids")
+# Pieces of one listing value when requests are shuffled: a value that a third of all
+# listings share becomes pieces of about one percent.
+_SLICES = 32
+
+
+def _keyed(sets: DataFrame, near_misses: bool = False) -> DataFrame:
+    """Filter sets repeated per value they are joined on, with ``_shape``, ``_key`` and ``_only``.
 
-    The join with the listings is an equality on the neighbourhood, so a request that
-    names neighbourhoods never meets the others. A request that names none meets each
-    of them, and so does every request when near misses are wanted (``every_key``).
+    A request that pins an any-of field only meets the listings with one of its values; a
+    request that pins none has the key 0 of shape 0, which every listing carries. Where one
+    condition may fail (``near_misses``), the join on the first pinned field covers all but
+    that field itself. A second key, on the next pinned field, covers it: ``_only`` is then
+    the number of the one field that has to fail.
     """
-    # The list of neighbourhoods is a lookup dimension: one short array.
-    known = listings.agg(F.collect_set(F.col("neighbourhood_id").cast("int")).alias("_known"))
-    prepared = _request_side(sets)
-    open_sets = prepared if every_key else prepared.where(F.size("neighbourhood_ids") == 0)
-    met = open_sets.withColumn("_key", F.explode(known.scalar()))
-    if every_key:
-        return met
-    named = prepared.where(F.size("neighbourhood_ids") > 0)
-    return met.unionByName(named.withColumn("_key", F.explode("neighbourhood_ids")))
+    shapes = [(i + 1, F.size(field) > 0) for i, field in enumerate(_JOIN_FIELDS)]
+    first = F.coalesce(*[F.when(named, F.lit(i)) for i, named in shapes], F.lit(0))
+    second = F.coalesce(*[F.when(named & (first < i), F.lit(i)) for i, named in shapes], F.lit(0))
+    numbers = {field: i for i, (field, _) in enumerate(_pair_terms())}
+    only = F.get(F.array(*[F.lit(numbers[f]) for f in _JOIN_FIELDS]), first - 1)
+    ways = [F.struct(first.alias("_shape"), F.lit(None).cast("int").alias("_only"))]
+    if near_misses:
+        ways.append(F.when(first > 0, F.struct(second.alias("_shape"), only.alias("_only"))))
+    met = _request_side(sets).select("*", F.inline(F.array_compact(F.array(*ways))))
+    values = F.get(F.array(F.array(F.lit(0)), *[F.col(f) for f in _JOIN_FIELDS]), F.col("_shape"))
+    return met.withColumn("_key", F.explode(values))
 
 
 def _joined(
     listings: DataFrame, keyed: DataFrame, condition: Column, row_bytes: int = 256
 ) -> DataFrame:
-    on_key = F.col("l._neighbourhood_id") == F.col("f._key")
-    left = _listing_side(listings).alias("l")
+    # At most four rows: how many requests there are of each shape.
+    sizes = {r["_shape"]: r["count"] for r in keyed.groupBy("_shape").count().collect()}
     most = min(config.BROADCAST_MAX_ROWS, config.BROADCAST_MAX_BYTES // row_bytes)
-    if fits_broadcast(keyed, most):
-        # Requests fit on every executor: listings are matched where they are read, so
-        # a neighbourhood that holds a third of them is no hot spot.
-        return left.join(F.broadcast(keyed).alias("f"), on_key & condition)
-    # Too many requests to send everywhere: shuffle, each neighbourhood cut into slices.
-    slices = 32
-    salted = left.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices))).alias("l")
-    repeated = keyed.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    ).alias("f")
-    return salted.join(
-        repeated, on_key & (F.col("l._slice") == F.col("f._copy")) & condition
-    )
+    small = sum(sizes.values()) <= most
+    # Requests that fit on every executor meet the listings where those are read. Others
+    # are shuffled, and the listings of one value are cut into slices.
+    tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = {shape: 1 if small else _SLICES if shape else max(tasks, _SLICES) for shape in sizes or (0,)}
+    keys = [
+        F.struct(
+            F.lit(shape).alias("_shape"),
+            F.col(f"_{ANY_OF[_JOIN_FIELDS[shape - 1]]}").alias("_key") if shape else F.lit(0).alias("_key"),
+            F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("_slice"),
+        )
+        for shape, count in slices.items()
+    ]
+    # Each listing meets many requests: few files are first spread over more tasks.
+    rows = spread(listings, "id", parts=len(listings.inputFiles()))
+    left = _listing_side(rows).select("*", F.inline(F.array(*keys))).alias("l")
+    copies = F.lit(0)
+    for shape, count in slices.items():
+        copies = F.when(F.col("_shape") == shape, count - 1).otherwise(copies)
+    right = keyed.withColumn("_slice", F.explode(F.sequence(F.lit(0), copies)))
+    same = [F.col(f"l.{c}") == F.col(f"f.{c}") for c in ("_shape", "_key", "_slice")]
+    right = (F.broadcast(right) if small else right).alias("f")
+    return left.join(right, functools.reduce(operator.and_, [*same, condition]))
 
 
 def match(
@@ -376,9 +426,8 @@ def match(
     ``row_bytes`` is the size of one filter set with what it carries; it decides how many
     of them may be sent to every executor.
     """
-    keyed = _keyed(sets, listings, every_key=False)
-    terms = [holds for field, holds in _pair_terms() if field != "neighbourhood_ids"]
-    pairs = _joined(listings, keyed, functools.reduce(operator.and_, terms), row_bytes)
+    every = functools.reduce(operator.and_, [holds for _, holds in _pair_terms()])
+    pairs = _joined(listings, _keyed(sets), every, row_bytes)
     return pairs.select(
         "f.request_id", *[F.col(f"f.{c}") for c in carry], *[F.col(f"l.{c}") for c in columns]
     )
@@ -395,98 +444,29 @@ def keep_matching(pairs: DataFrame, listings: DataFrame, sets: DataFrame) -> Dat
     return joined.where(every).select(*[F.col(f"p.{c}") for c in pairs.columns])
 
 
-def count_per_request(listings: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(request_id, matches)`` with a zero for a request that matches nothing.
+def _once(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every different filter once, with its key as ``request_id``; and the key of each request.
 
-    Listings that no filter could tell apart are counted together before they meet the
-    requests.
+    A ``filter_key`` that ``canonical`` gave is taken as it is.
     """
-    profiles = profile_counts(listings, sets)
-    hits = (
-        match(profiles, sets, ("_rows",))
-        .groupBy("request_id")
-        .agg(F.sum("_rows").alias("matches"))
-    )
-    return sets.select("request_id").join(hits, "request_id", "left").select(
-        "request_id", F.coalesce("matches", F.lit(0)).alias("matches")
-    )
-
-
-def _rank(column: Column, cuts: Sequence) -> Column:
-    """The position of a value among sorted cut points: equal ranks compare alike to each."""
-    if not cuts:
-        return F.lit(0)
-    mid = len(cuts) // 2
-    here = F.lit(2 * mid + 1)
-    below = _rank(column, cuts[:mid])
-    above = _rank(column, cuts[mid + 1 :]) + F.lit(2 * (mid + 1))
-    return F.when(column < cuts[mid], below).when(column == cuts[mid], here).otherwise(above)
-
-
-def _cut_points(sets: DataFrame, max_cuts: int) -> dict[str, set]:
-    """The distinct bounds per listing column, never more than ``max_cuts`` + 1 of them."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(column).alias("column"), F.col(field).cast("double").alias("cut"))
-            for field, (column, _) in BOUNDS.items()
-        ]
-    )
-    distinct = sets.select(F.inline(pairs)).where("cut is not null").distinct()
-    place = F.row_number().over(Window.partitionBy("column").orderBy("cut"))
-    few = distinct.withColumn("_place", place).where(F.col("_place") <= max_cuts + 1)
-    cuts: dict[str, set] = {column: set() for column, _ in BOUNDS.values()}
-    for row in few.select("column", "cut").collect():
-        cuts[row["column"]].add(row["cut"])
-    return cuts
+    keyed = sets if "filter_key" in sets.columns else canonical(sets)
+    # Read by several jobs: computed once, and its plan is cut off from theirs.
+    keyed = stable(keyed.select("request_id", "filter_key", *FIELDS))
+    different = keyed.select(F.col("filter_key").alias("request_id"), *FIELDS).dropDuplicates(["request_id"])
+    return different, keyed.select("request_id", "filter_key")
 
 
-def profile_counts(listings: DataFrame, sets: DataFrame, max_cuts: int = 128) -> DataFrame:
-    """Listings reduced to what the given filter sets can tell apart, with ``_rows`` each.
+def count_per_request(listings: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(request_id, matches)`` with a zero for a request that matches nothing.
 
-    A column that no request constrains is emptied. A bound column is replaced, within
-    each interval between neighbouring bounds, by one of its values. A column with more
-    than ``max_cuts`` bounds keeps its values. The counts stay exact either way.
+    A filter that several requests share is matched once.
     """
-    used = sets.agg(
-        *[F.max(F.size(f)).alias(f) for f in ANY_OF],
-        F.max(F.size("amenities")).alias("amenities"),
-        F.count("near").alias("near"),
-    ).first()
-    empties = {
-        c: F.lit(None).cast(listings.schema[c].dataType)
-        for f, c in ANY_OF.items()
-        if c != "neighbourhood_id" and not (used[f] or 0) > 0
-    }
-    cuts = _cut_points(sets, max_cuts)
-    groups: dict[str, Column] = {}
-    for column, values in cuts.items():
-        if not values:
-            empties[column] = F.lit(None).cast(listings.schema[column].dataType)
-        elif len(values) <= max_cuts and dict(listings.dtypes)[column] != "boolean":
-            ranked = F.when(F.col(column).isNotNull(), _rank(F.col(column), sorted(values)))
-            groups[f"_rank_{column}"] = ranked
-        else:
-            groups[f"_keep_{column}"] = F.col(column)
-    kept = ["neighbourhood_id", *[c for c in ANY_OF.values() if c not in empties and c != "neighbourhood_id"]]
-    if used["amenities"]:
-        wanted = sets.select(F.explode("amenities").alias("a")).agg(F.collect_set("a").alias("w"))
-        groups["amenities"] = F.sort_array(F.array_intersect("amenities", wanted.scalar()))
-    else:
-        empties["amenities"] = F.array().cast("array<string>")
-    if used["near"]:
-        kept += ["latitude", "longitude"]
-    else:
-        empties["latitude"] = empties["longitude"] = F.lit(None).cast("double")
-    representatives = [
-        F.min(name.split("_", 2)[2]).alias(name.split("_", 2)[2])
-        for name in groups
-        if name.startswith(("_rank_", "_keep_"))
-    ]
-    grouped = listings.groupBy(*kept, *[col.alias(name) for name, col in groups.items()]).agg(
-        F.count("*").alias("_rows"), F.min("id").alias("id"), *representatives
+    different, requests = _once(sets)
+    hits = match(listings, different, ()).groupBy("request_id").agg(F.count("*").alias("matches"))
+    hits = hits.withColumnRenamed("request_id", "filter_key")
+    return requests.join(hits, "filter_key", "left").select(
+        "request_id", F.coalesce("matches", F.lit(0)).alias("matches")
     )
-    # Few rows, each to meet many requests.
-    return spread(grouped.withColumns(empties), "id")
 
 
 def field_stats(listings: DataFrame, field: str, given: Mapping | None = None) -> DataFrame:
@@ -505,17 +485,20 @@ def field_stats(listings: DataFrame, field: str, given: Mapping | None = None) -
 
 def leave_one_out(listings: DataFrame, sets: DataFrame) -> DataFrame:
     """``(request_id, field, rows)``: listings that only this one condition keeps out."""
-    profiles = profile_counts(listings, sets)
-    keyed = _keyed(sets, profiles, every_key=True)
+    different, requests = _once(sets)
+    keyed = _keyed(different, near_misses=True)
     # How many conditions fail, and the sum of their numbers: with one failure, its number.
     fails = [(F.when(holds, 0).otherwise(1), field) for field, holds in _pair_terms()]
     count = functools.reduce(operator.add, [failed for failed, _ in fails])
     number = functools.reduce(operator.add, [failed * i for i, (failed, _) in enumerate(fails)])
     names = F.array(*[F.lit(field) for _, field in fails])
-    near_miss = _joined(profiles, keyed, count == 1)
-    return (
-        near_miss.select("f.request_id", number.alias("_number"), "l._rows")
-        .groupBy("request_id", "_number")
-        .agg(F.sum("_rows").alias("rows"))
-        .select("request_id", F.get(names, F.col("_number")).alias("field"), "rows")
+    expected = F.col("f._only").isNull() | (number == F.col("f._only"))
+    near_miss = _joined(listings, keyed, (count == 1) & expected)
+    costs = (
+        near_miss.select(F.col("f.request_id").alias("filter_key"), number.alias("_number"))
+        .groupBy("filter_key", "_number")
+        .agg(F.count("*").alias("rows"))
+    )
+    return requests.join(costs, "filter_key").select(
+        "request_id", F.get(names, F.col("_number")).alias("field"), "rows"
     )

@@ -95,11 +95,9 @@ def relax(
     The number of jobs depends on ``rounds`` alone, not on the requests.
     """
     current = filters.canonical(sets).drop("filter_key").withColumn("rounds_used", F.lit(0))
+    current = stable(current.join(filters.count_per_request(listings, current), "request_id"))
     for _ in range(rounds):
-        counted = filters.count_per_request(listings, current)
-        thin = stable(
-            current.join(counted.where(F.col("matches") < threshold).select("request_id"), "request_id")
-        )
+        thin = current.where(F.col("matches") < threshold).drop("matches")
         if thin.isEmpty():
             break
         fallback = F.coalesce(*[F.when(_is_set(f), F.lit(f)) for f in _FALLBACK])
@@ -111,9 +109,11 @@ def relax(
             .where(F.col("field").isNotNull())
         )
         moved = stable(loosen(thin, picks, step).withColumn("rounds_used", F.col("rounds_used") + 1))
+        # Only what moved is counted again.
+        counted = moved.join(filters.count_per_request(listings, moved), "request_id")
         kept = current.join(moved.select("request_id"), "request_id", "left_anti")
-        current = stable(kept.unionByName(moved))
-    return current.join(filters.count_per_request(listings, current), "request_id")
+        current = stable(kept.unionByName(counted))
+    return current
 
 
 def party_violations(original: DataFrame, relaxed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from roostline import config
 from roostline.functions.text import without_names
-from roostline.functions.vectors import distance_to, distances, matrix, pair_distance
+from roostline.functions.vectors import distance_to, distances, matrix
 from roostline.operators import filters
 from roostline.operators.reconcile import newest_children
+from roostline.session import stable
 
 # What a ranked row shows without a second look-up: no large text.
 RESULT_COLUMNS = (
@@ -180,25 +181,146 @@ def best_per(pairs: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return pairs.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def scored_pairs(
-    listings: DataFrame, requests: DataFrame, carry: Sequence[str] = ()
+def _in_blocks(requests: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """``requests`` with ``_block`` and a ``_number`` within it, and how many blocks there are."""
+    held = stable(requests)
+    blocks = max(1, -(-held.count() // config.QUERY_BLOCK))
+    # A block holds about QUERY_BLOCK rows, so this window is small.
+    order = Window.partitionBy("_block").orderBy(*keys)
+    out = held.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    return out.withColumn("_number", F.row_number().over(order) - 1), blocks
+
+
+def _block_product(
+    vectors: DataFrame,
+    requests: DataFrame,
+    listings: int,
+    blocks: int,
+    found: Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict[str, pa.Array]]],
+    keys: Sequence[str],
+    result: str,
 ) -> DataFrame:
-    """``(request_id, *carry, id, distance)`` of every listing a request matches.
+    """``found`` on every block of requests beside every slice of its listings.
 
-    ``requests`` are filter sets with a ``query`` vector.
+    ``vectors`` holds ``id``, ``embedding`` and the ``_block`` it meets, out of ``listings``
+    rows. Both sides are shuffled to ``(block, slice)``; a group has a bounded number of
+    rows on either side, and the plan is the same for any number of requests. ``found``
+    returns which request each of its rows belongs to, and the columns of ``result``.
     """
-    searchable = listings.where(F.col("embedding").isNotNull())
-    pairs = filters.match(
-        searchable, requests, ("id", "embedding"), ("query", *carry), row_bytes=4096
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(-(-listings // config.LISTING_SLICE), -(-2 * tasks // blocks))
+    left = vectors.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    right = requests.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # Both sides may stem from the same requests; new columns tell them apart.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    names = list(keys)
+
+    def group(part: pa.Table, asked: pa.Table) -> pa.Table:
+        request, columns = found(part, asked)
+        carried = {k: asked.column(k).combine_chunks().take(pa.array(request)) for k in names}
+        return pa.table(carried | columns)
+
+    types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in names)
+    return (
+        left.groupBy("_block", "_slice")
+        .cogroup(right.groupBy("_block", "_slice"))
+        .applyInArrow(group, f"{types}, {result}")
     )
-    distance = pair_distance(F.col("embedding"), F.col("query"))
-    return pairs.select("request_id", *carry, "id", distance.alias("distance"))
+
+
+def _tiles(part: pa.Table, asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(ids, distances)`` of a group, some listings at a time; pairs not wanted are NaN.
+
+    A vector without a direction is infinitely far from everything.
+    """
+    if not part.num_rows or not asked.num_rows:
+        return
+    units = matrix(asked.column("query").combine_chunks())
+    with np.errstate(invalid="ignore", divide="ignore"):
+        units = units / np.linalg.norm(units, axis=1, keepdims=True)
+        for start in range(0, part.num_rows, config.DISTANCE_TILE):
+            tile = part.slice(start, config.DISTANCE_TILE).combine_chunks()
+            rows = matrix(tile.column("embedding").combine_chunks())
+            far = distances((rows @ units.T) / np.linalg.norm(rows, axis=1, keepdims=True))
+            far[np.isnan(far)] = np.inf
+            if "_wanted" in tile.column_names:
+                lists = tile.column("_wanted").combine_chunks()
+                lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+                number_at = np.argsort(asked.column("_number").to_numpy())
+                keep = np.zeros(far.shape, dtype=bool)
+                keep[np.repeat(np.arange(len(lengths)), lengths), number_at[lists.flatten().to_numpy()]] = True
+                far[~keep] = np.nan
+            yield tile.column("id").to_numpy(), far
+
+
+def _nearest_in(limit: int) -> Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]:
+    """The ``limit`` nearest listings of each request of a group, ties by id."""
+
+    def found(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        bound = np.full(asked.num_rows, np.inf)
+        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for ids, far in _tiles(part, asked):
+            if len(far) >= limit:
+                # NaN sorts last: fewer wanted pairs than the limit leave the bound as it is.
+                bound = np.fmin(bound, np.partition(far, limit - 1, axis=0)[limit - 1])
+            row, request = np.nonzero(far <= bound)
+            kept.append((request, far[row, request], ids[row]))
+        request, distance, ids = (np.concatenate(c) for c in zip(*kept))
+        order = np.lexsort((ids, distance, request))
+        request, distance, ids = request[order], distance[order], ids[order]
+        first = np.arange(len(request)) - np.searchsorted(request, request) < limit
+        distance = np.where(np.isinf(distance), np.nan, distance)
+        return request[first], {"id": pa.array(ids[first], pa.int64()), "distance": pa.array(distance[first])}
+
+    return found
+
+
+def _no_later(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """How many listings of a group rank no later than each request's mark."""
+    cut, cut_id = (asked.column(c).to_numpy() for c in ("distance", "id"))
+    count = np.zeros(asked.num_rows, np.int64)
+    for ids, far in _tiles(part, asked):
+        count += ((far < cut) | ((far == cut) & (ids[:, None] <= cut_id))).sum(axis=0)
+    return np.arange(asked.num_rows), {"position": pa.array(count)}
+
+
+def _every_vector(listings: DataFrame, blocks: int) -> DataFrame:
+    """Every listing with a vector, for each block of requests."""
+    found = listings.where(F.col("embedding").isNotNull())
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return found.select(F.col("id").cast("long").alias("id"), "embedding", every.alias("_block"))
+
+
+def _ranked_matches(
+    listings: DataFrame, requests: DataFrame, limit: int, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The nearest ``limit`` matching listings per ``(request_id, *carry)``, ranked.
+
+    The filters run without vectors and leave, for each listing and block of requests, the
+    numbers of the requests it matches. Vectors join once per listing and block.
+    """
+    keys = ["request_id", *carry]
+    asked, blocks = _in_blocks(requests, keys)
+    met = filters.match(listings.drop("embedding"), asked.drop("query"), ("id",), ("_block", "_number"))
+    # At most a block of numbers in each list.
+    wanted = met.groupBy(F.col("id").alias("_id"), "_block").agg(F.collect_list("_number").alias("_wanted"))
+    vectors = (
+        listings.where(F.col("embedding").isNotNull())
+        .select(F.col("id").cast("long").alias("id"), "embedding")
+        .join(wanted, F.col("id") == F.col("_id"))
+        .select("id", "embedding", "_block", "_wanted")
+    )
+    sides = asked.select(*keys, "query", "_block", "_number")
+    found = _block_product(
+        vectors, sides, listings.count(), blocks, _nearest_in(limit), keys, "id long, distance double"
+    )
+    return best_per(found.withColumn("id", F.col("id").cast(listings.schema["id"].dataType)), keys, limit)
 
 
 def batch_top_k(listings: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     """The exact ``limit`` nearest matching listings of every request."""
     check_arguments(limit=limit)
-    return best_per(scored_pairs(listings, requests), ["request_id"], limit)
+    return _ranked_matches(listings, requests, limit)
 
 
 def branch_top_k(
@@ -206,8 +328,7 @@ def branch_top_k(
 ) -> DataFrame:
     """The nearest ``limit`` listings of every branch of every request."""
     check_arguments(limit=limit, cap=cap)
-    split = branches(requests, cap)
-    return best_per(scored_pairs(listings, split, ("branch",)), ["request_id", "branch"], limit)
+    return _ranked_matches(listings, branches(requests, cap), limit, ("branch",))
 
 
 def merge_branches(per_branch: DataFrame, limit: int) -> DataFrame:
@@ -220,65 +341,23 @@ def merge_branches(per_branch: DataFrame, limit: int) -> DataFrame:
 def nearest(listings: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     """``(request_id, id, distance, place)``: the ``pool`` nearest listings, filters ignored.
 
-    Each task keeps the best ``pool`` rows per query while it reads its listings, so the
-    exchange carries ``pool`` rows per query and task. Queries go through in blocks.
+    Each group of requests and listings keeps the best ``pool`` rows per request, so only
+    those are ranked across groups.
     """
     check_arguments(limit=pool)
-    rows = queries.select("request_id", "query").count()
-    count = max(1, -(-rows // config.QUERY_BLOCK))
-    parts = queries.select("request_id", "query").withColumn(
-        "_block", F.pmod(F.xxhash64("request_id"), F.lit(count))
+    asked, blocks = _in_blocks(queries.select("request_id", "query"), ["request_id"])
+    found = _block_product(
+        _every_vector(listings, blocks),
+        asked.drop("_number"),
+        listings.count(),
+        blocks,
+        _nearest_in(pool),
+        ["request_id"],
+        "id long, distance double",
     )
-    found = None
-    for block in range(count):
-        held = parts.where(F.col("_block") == block).orderBy("request_id").toArrow()
-        part = _nearest_block(listings, held, pool)
-        found = part if found is None else found.unionByName(part)
     return best_per(found, ["request_id"], pool)
 
 
-def _nearest_block(listings: DataFrame, queries: pa.Table, pool: int) -> DataFrame:
-    names = queries.column("request_id").to_pylist()
-    units = matrix(queries.column("query").combine_chunks()) if names else np.zeros((0, 1))
-    units = units / np.linalg.norm(units, axis=1, keepdims=True) if names else units
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in names]
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            rows = matrix(batch.column("embedding"))
-            all_distances = distances(
-                (rows @ units.T) / np.linalg.norm(rows, axis=1, keepdims=True)
-            )
-            for q, (kept, kept_ids) in enumerate(best):
-                column = all_distances[:, q]
-                if len(kept) == pool:
-                    near = column <= kept[-1]
-                    column, new_ids = column[near], ids[near]
-                else:
-                    new_ids = ids
-                merged = np.concatenate([kept, column])
-                merged_ids = np.concatenate([kept_ids, new_ids])
-                order = np.lexsort((merged_ids, merged))[:pool]
-                best[q] = (merged[order], merged_ids[order])
-        for name, (kept, kept_ids) in zip(names, best):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(kept), pa.string()),
-                    pa.array(kept_ids, pa.int64()),
-                    pa.array(kept, pa.float64()),
-                ],
-                names=["request_id", "id", "distance"],
-            )
-
-    searchable = listings.where(F.col("embedding").isNotNull()).select(
-        F.col("id").cast("long").alias("id"), "embedding"
-    )
-    return searchable.mapInArrow(scan, "request_id string, id long, distance double")
-
-
 # --- Baselines (specified behaviour) -----------------------------------------
 
 
@@ -300,16 +379,15 @@ def widening_top_k(
     The pool that is needed ends at the position of the last wanted match among all
     listings, so that position is counted instead of ranking everything.
     """
-    matches = batch_top_k(listings, requests, limit)
+    matches = stable(batch_top_k(listings, requests, limit))
     last = matches.groupBy("request_id").agg(
         F.max(F.struct("place", "distance", "id")).alias("_last")
     )
-    searchable = listings.where(F.col("embedding").isNotNull())
-    total = searchable.count()
+    total = listings.where(F.col("embedding").isNotNull()).count()
     reached = requests.select("request_id", "query").join(
         last.where(F.col("_last.place") == limit), "request_id"
     )
-    positions = closer_or_equal(searchable, reached.select("request_id", "query", "_last.distance", "_last.id"))
+    positions = closer_or_equal(listings, reached.select("request_id", "query", "_last.distance", "_last.id"))
     pools = requests.select("request_id").join(positions, "request_id", "left").select(
         "request_id",
         F.least(
@@ -319,43 +397,19 @@ def widening_top_k(
     return matches.join(pools, "request_id")
 
 
-def closer_or_equal(searchable: DataFrame, marks: DataFrame) -> DataFrame:
+def closer_or_equal(listings: DataFrame, marks: DataFrame) -> DataFrame:
     """``(request_id, position)``: listings ranked no later than a request's mark."""
-    rows = marks.count()
-    count = max(1, -(-rows // config.QUERY_BLOCK))
-    parts = marks.withColumn("_block", F.pmod(F.xxhash64("request_id"), F.lit(count)))
-    found = None
-    for block in range(count):
-        held = parts.where(F.col("_block") == block).toArrow()
-        part = _count_block(searchable, held)
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("request_id").agg(F.sum("position").alias("position"))
-
-
-def _count_block(searchable: DataFrame, marks: pa.Table) -> DataFrame:
-    names = marks.column("request_id").to_pylist()
-    units = matrix(marks.column("query").combine_chunks()) if names else np.zeros((0, 1))
-    units = units / np.linalg.norm(units, axis=1, keepdims=True) if names else units
-    cut = np.array(marks.column("distance").to_pylist(), dtype=np.float64)
-    cut_id = np.array(marks.column("id").to_pylist(), dtype=np.int64)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(names), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)[:, None]
-            rows = matrix(batch.column("embedding"))
-            d = distances((rows @ units.T) / np.linalg.norm(rows, axis=1, keepdims=True))
-            counts += ((d < cut) | ((d == cut) & (ids <= cut_id))).sum(axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(counts, pa.int64())],
-            names=["request_id", "position"],
-        )
-
-    return searchable.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(
-        scan, "request_id string, position long"
+    asked, blocks = _in_blocks(marks, ["request_id"])
+    found = _block_product(
+        _every_vector(listings, blocks),
+        asked.drop("_number"),
+        listings.count(),
+        blocks,
+        _no_later,
+        ["request_id"],
+        "position long",
     )
+    return found.groupBy("request_id").agg(F.sum("position").alias("position"))
 
 
 def approximate_top_k(

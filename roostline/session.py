@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roostline import config
 
 
 def session(app: str = "roostline", master: str | None = None, **options: str) -> SparkSession:
@@ -75,8 +74,3 @@ def spread(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df if parts is not None and parts >= tasks else df.repartition(tasks, key)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, without counting past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roostline import config
-from roostline.errors import UnknownFieldError
+from roostline.errors import InvalidFilterError, UnknownFieldError
 from roostline.functions.geometry import box_around
 from roostline.operators import filters, relax
 
@@ -129,7 +129,7 @@ def test_indexed_amenity_uses_its_column(listings):
 @pytest.mark.parametrize("small", [True, False])
 def test_batch_match_both_ways(monkeypatch, listings, rows, sets, requests, small):
     if not small:
-        monkeypatch.setattr(filters, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(config, "BROADCAST_MAX_ROWS", 0)
     got = {}
     for r in filters.match(listings, sets).collect():
         got.setdefault(r["request_id"], []).append(r["id"])
@@ -137,21 +137,36 @@ def test_batch_match_both_ways(monkeypatch, listings, rows, sets, requests, smal
         assert sorted(got.get(name, [])) == sorted(matching(rows, given)), name
 
 
-@pytest.mark.parametrize("cuts", [128, 1])
-def test_counts_with_and_without_cut_points(listings, rows, sets, requests, cuts):
-    profiles = filters.profile_counts(listings, sets, cuts)
-    assert profiles.agg(F.sum("_rows")).first()[0] == len(rows)
-    got = {r["request_id"]: r["matches"] for r in filters.match(profiles, sets, ("_rows",)).groupBy("request_id").agg(F.sum("_rows").alias("matches")).collect()}
-    for name, given in requests.items():
-        assert got.get(name, 0) == len(matching(rows, given)), name
+@pytest.mark.parametrize("small", [True, False])
+def test_counts(monkeypatch, listings, rows, sets, requests, small):
+    if not small:
+        monkeypatch.setattr(config, "BROADCAST_MAX_ROWS", 0)
+    got = {r["request_id"]: r["matches"] for r in filters.count_per_request(listings, sets).collect()}
+    assert got == {name: len(matching(rows, given)) for name, given in requests.items()}
 
 
-def test_profiles_merge_listings_no_filter_tells_apart(spark, listings):
-    sets = filters.canonical(filters.filter_sets(spark, {"a": {"max_price": 100.0}, "b": {"min_accommodates": 3}}))
-    # Four neighbourhoods, below / at / above / unknown price, and three sides of one floor.
-    assert filters.profile_counts(listings, sets).count() <= 4 * 4 * 3
+def test_a_shared_filter_is_matched_once(spark, listings):
+    sets = filters.filter_sets(spark, {"a": {"room_type_ids": [2, 1]}, "b": {"room_type_ids": [1, 2, 2]}, "c": {}})
+    different, _ = filters._once(sets)
+    assert different.count() == 2
     got = {r["request_id"]: r["matches"] for r in filters.count_per_request(listings, sets).collect()}
-    assert got == {k: filters.where(listings, g).count() for k, g in {"a": {"max_price": 100.0}, "b": {"min_accommodates": 3}}.items()}
+    assert got["a"] == got["b"] == filters.where(listings, {"room_type_ids": [1, 2]}).count() and got["c"] == listings.count()
+
+
+def test_requests_meet_only_the_values_they_pin(spark):
+    sets = filters.filter_sets(spark, {"a": {"neighbourhood_ids": [4, 9], "room_type_ids": [1]}, "b": {"room_type_ids": [2]}, "c": {}})
+    keys = lambda near: {(r["request_id"], r["_shape"], r["_key"], r["_only"]) for r in filters._keyed(sets, near).collect()}
+    number = {f: i for i, (f, _) in enumerate(filters._pair_terms())}
+    plain = {("a", 1, 4, None), ("a", 1, 9, None), ("b", 3, 2, None), ("c", 0, 0, None)}
+    assert keys(False) == plain
+    assert keys(True) == plain | {("a", 3, 1, number["neighbourhood_ids"]), ("b", 0, 0, number["room_type_ids"])}
+
+
+def test_an_open_request_meets_listings_without_a_neighbourhood(spark, listings):
+    lost = listings.withColumn("neighbourhood_id", F.lit(None).cast("int"))
+    sets = filters.filter_sets(spark, {"a": {}, "b": {"neighbourhood_ids": [1]}})
+    got = {r["request_id"]: r["matches"] for r in filters.count_per_request(lost, sets).collect()}
+    assert got == {"a": listings.count(), "b": 0}
 
 
 def test_leave_one_out(listings, rows, sets, requests):
@@ -186,6 +201,21 @@ def test_null_report(spark, listings, rows):
 )
 def test_validation(spark, given, want):
     assert filters.validate(filters.filter_sets(spark, {"r": given})).first()["problems"] == want
+    # One request is held to the same rules.
+    if want:
+        with pytest.raises(InvalidFilterError, match=", ".join(want)):
+            filters.checked(given)
+    else:
+        assert filters.checked(given) == given
+
+
+def test_a_single_request_is_made_canonical(listings):
+    assert filters.checked({"room_type_ids": [2, 1, 2], "amenities": [" wifi ", "wifi"], "min_beds": None, "neighbourhood_ids": []}) == {
+        "room_type_ids": [1, 2], "amenities": ["wifi"],
+    }
+    assert filters.where(listings, {"amenities": [" wifi "]}).count() == filters.where(listings, {"amenities": ["wifi"]}).count() > 0
+    with pytest.raises(InvalidFilterError, match="price_range"):
+        filters.where(listings, {"min_price": 300, "max_price": 100})
 
 
 def test_canonical_sets_compare_equal(spark):

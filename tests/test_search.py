@@ -98,7 +98,7 @@ def test_batch_search(listings, rows, requests):
 
 
 def test_batch_search_with_too_many_requests_to_broadcast(monkeypatch, listings, rows, requests):
-    monkeypatch.setattr(filters, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(config, "BROADCAST_MAX_ROWS", 0)
     out = search.batch_top_k(listings, requests, 4)
     for name in WANTED:
         assert ids(out, name) == exact(rows, name, 4), name
@@ -108,6 +108,23 @@ def test_batch_plan_limits_before_the_exchange(listings, requests):
     plan = search.batch_top_k(listings, requests, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    # No vector meets another outside the block product.
+    assert "ArrowEvalPython" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_plans_do_not_grow_with_the_requests(monkeypatch, listings, requests):
+    size = lambda: len(search.nearest(listings, requests, 5)._jdf.queryExecution().executedPlan().toString().splitlines())
+    few = size()
+    monkeypatch.setattr(config, "QUERY_BLOCK", 1)
+    assert size() == few
+
+
+def test_batch_search_in_small_blocks_and_tiles(monkeypatch, listings, rows, requests):
+    for name, value in (("QUERY_BLOCK", 2), ("LISTING_SLICE", 300), ("DISTANCE_TILE", 7)):
+        monkeypatch.setattr(config, name, value)
+    out = search.batch_top_k(listings, requests, 10)
+    for name in WANTED:
+        assert ids(out, name) == exact(rows, name, 10), name
 
 
 def test_branches_and_merge(listings, rows, requests):
