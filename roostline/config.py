@@ -33,7 +33,7 @@ LISTING_SOURCE_COLUMNS = (
 )
 REVIEW_SOURCE_COLUMNS = ("listing_id", "date", "comments")
 
-# Source columns that identify a person and never leave the parser.
+# Source columns that identify a person and never leave the parser (fixed values).
 PERSONAL_COLUMNS = (
     "host_id",
     "host_name",

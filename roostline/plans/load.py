@@ -15,7 +15,7 @@ from roostline import config
 from roostline.errors import LoadError
 from roostline.functions.ids import with_dense_ids
 from roostline.operators import ingest, reconcile, vocabulary
-from roostline.session import spread, stored
+from roostline.session import spread, stored, working_folder
 from roostline.sources import tables
 from roostline.sources.snapshot_csv import BAD_ENCODING, FILE_POSITION, read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
@@ -55,7 +55,7 @@ class LoadReport:
         return spark.range(1).select(*[col.alias(name) for name, col in values.items()])
 
 
-def _stage(spark: SparkSession, raw: DataFrame, parse, name: str, path: str) -> DataFrame:
+def _stage(raw: DataFrame, parse, name: str, path: str, work: str) -> DataFrame:
     """Typed rows of one file set, written once and read by everything that follows.
 
     A file is read by a single task; where there are fewer files than tasks, spreading
@@ -66,7 +66,7 @@ def _stage(spark: SparkSession, raw: DataFrame, parse, name: str, path: str) ->
         seen, F.count("*").alias("rows"), F.count_if(F.col(BAD_ENCODING)).alias("broken")
     )
     try:
-        typed = stored(parse(rows), name)
+        typed = stored(parse(rows), name, work)
     except (PySparkException, Py4JJavaError) as exc:
         raise LoadError(f"{path} could not be read: {exc}") from exc
     if seen.get["broken"]:
@@ -89,20 +89,41 @@ def load_snapshot(
     max_reviews_per_listing: int = config.MAX_REVIEWS_PER_LISTING,
     min_property_type_listings: int = config.MIN_PROPERTY_TYPE_LISTINGS,
 ) -> LoadReport:
-    """Load both files as a new version; what was published before stays until the end."""
-    started = time.monotonic()
+    """Load both files as a new version; what was published before stays until the end.
+
+    Intermediate tables go when the load ends, however it ends.
+    """
     release = tables.required_snapshot_date(snapshot_date)
+    with working_folder(spark, "load") as work:
+        return _load(
+            spark, store, work, listings_csv, reviews_csv, release, city,
+            max_reviews_per_listing, min_property_type_listings,
+        )
+
+
+def _load(
+    spark: SparkSession,
+    store: SnapshotStore,
+    work: str,
+    listings_csv: str,
+    reviews_csv: str,
+    release: date,
+    city: str,
+    max_reviews_per_listing: int,
+    min_property_type_listings: int,
+) -> LoadReport:
+    started = time.monotonic()
     raw_listings = read_snapshot_csv(spark, listings_csv, config.LISTING_SOURCE_COLUMNS)
     raw_reviews = read_snapshot_csv(spark, reviews_csv, config.REVIEW_SOURCE_COLUMNS)
 
-    parsed = _stage(spark, raw_listings, ingest.parse_listings, "listings", listings_csv)
+    parsed = _stage(raw_listings, ingest.parse_listings, "listings", listings_csv, work)
     counts = ingest.row_counts(parsed).first()
     reasons = tuple((r["field"], r["rows"]) for r in ingest.rejection_summary(parsed).collect())
     if not counts["accepted"]:
         raise LoadError(
             f"{counts['seen']} listing rows read and none could be stored ({_describe(reasons)})"
         )
-    reviews = _stage(spark, raw_reviews, ingest.parse_reviews, "reviews", reviews_csv)
+    reviews = _stage(raw_reviews, ingest.parse_reviews, "reviews", reviews_csv, work)
     review_counts = ingest.row_counts(reviews).first()
 
     folder = store.begin()
@@ -111,12 +132,12 @@ def load_snapshot(
     refused = ingest.rejected(parsed).select("source_listing_id")
 
     # Lookup tables, written first so that their sizes are known to the joins below.
-    type_counts = vocabulary.type_counts(accepted)
+    type_counts = stored(vocabulary.type_counts(accepted), "types", work)
     mapping = vocabulary.type_mapping(type_counts, min_property_type_listings)
     names = accepted.select(F.explode("amenity_names").alias("a")).select(
         F.col("a.key").alias("key"), F.col("a.name").alias("spelling")
     )
-    spellings = stored(vocabulary.spelling_counts(names), "spellings")
+    spellings = stored(vocabulary.spelling_counts(names), "spellings", work)
     sources = {
         "neighbourhoods": vocabulary.names_of(accepted, "neighbourhood"),
         "room_types": vocabulary.names_of(accepted, "room_type"),
@@ -151,9 +172,9 @@ def load_snapshot(
         ("property_types", "property_type"),
     ):
         staged = vocabulary.encode_dimension(staged, dims[table], column, f"{column}_id")
-    staged = stored(staged, "staged")
+    staged = stored(staged, "staged", work)
 
-    previous = store.table("listings", at=before)
+    previous = store.table("listings", tables.LISTINGS.names, at=before)
     merged = reconcile.merge_snapshot(previous, staged, refused)
     store.write(folder, "listings", tables.conform(merged, tables.LISTINGS))
     listings = spark.read.parquet(f"{folder}/listings")
@@ -169,7 +190,7 @@ def load_snapshot(
     store.write(folder, "reviews", tables.conform(numbered, tables.REVIEWS))
     kept_rows = spark.read.parquet(f"{folder}/reviews").count()
 
-    store.publish(folder, snapshot_date=release, city=city, listings=loaded, reviews=kept_rows)
+    store.publish(folder, snapshot_date=release, city=city, listings=loaded, reviews=kept_rows, base=before)
     rare = type_counts.agg(
         F.count_if(F.col("listings") < min_property_type_listings).alias("rare")
     ).first()["rare"]

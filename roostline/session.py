@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 def session(app: str = "roostline", master: str | None = None, **options: str) -> SparkSession:
     """A session with the settings the jobs are written for."""
     builder = (
@@ -59,9 +60,23 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a columnar table in the shared folder: computed once, read column by column."""
-    path = scratch_path(df.sparkSession, name)
+@contextmanager
+def working_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A fresh path below the shared folder, removed at the end however the work went."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` as a columnar table in the shared folder: computed once, read column by column.
+
+    With ``folder`` the table goes there and lives as long as it does.
+    """
+    path = f"{folder}/{name}" if folder else scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

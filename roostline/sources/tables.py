@@ -130,7 +130,7 @@ class SnapshotStore:
 
     def newest(self) -> Row | None:
         """The published row of the current version; None before any load."""
-        order = (F.desc("version"), F.desc("loaded_at"), F.desc("folder"))
+        order = (F.desc("version"), F.asc("loaded_at"), F.asc("folder"))
         return self._log().orderBy(*order).limit(1).first()
 
     def begin(self) -> str:
@@ -141,11 +141,26 @@ class SnapshotStore:
         df.write.mode("errorifexists").parquet(f"{folder}/{table}")
 
     def publish(
-        self, folder: str, *, snapshot_date: date, city: str, listings: int, reviews: int
+        self,
+        folder: str,
+        *,
+        snapshot_date: date,
+        city: str,
+        listings: int,
+        reviews: int,
+        base: Row | None,
     ) -> None:
-        """Make a finished version the current one."""
+        """Make a finished version the current one.
+
+        ``base`` is the version it was made from (None: none). If another one was published
+        since, this one stays invisible and the job fails, because its ids and rows are
+        those of an older state. Of two that pass that test at once the earlier row wins,
+        for every reader, and the other fails after its append.
+        """
         newest = self.newest()
-        version = newest["version"] + 1 if newest else 1
+        if (newest and newest["folder"]) != (base and base["folder"]):
+            raise LoadError("another version was published since this one was begun")
+        version = base["version"] + 1 if base else 1
         row = self.spark.range(1).select(
             F.lit(version).cast("long").alias("version"),
             F.lit(folder).alias("folder"),
@@ -156,6 +171,10 @@ class SnapshotStore:
             F.current_timestamp().alias("loaded_at"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
+        same = self._log().where(F.col("version") == version)
+        first = same.orderBy(F.asc("loaded_at"), F.asc("folder")).limit(1).first()
+        if first["folder"] != folder:
+            raise LoadError(f"another version {version} was published at the same time")
 
     def table(
         self, name: str, columns: Sequence[str] | None = None, at: Row | None = None
@@ -180,9 +199,12 @@ class SnapshotStore:
 
 
 def write_trace(steps: DataFrame, path: str) -> None:
-    """Run steps as JSON lines, one folder per run.
+    """Run steps as JSON lines, one folder per run, made anew if the job is repeated.
 
-    A run longer than a million steps is written by several tasks.
+    A folder holds one file, or one per million steps of a longer run, so that no task
+    writes a run of any length alone.
     """
     spread = F.floor(F.col("step_index") / 1_000_000)
-    steps.repartition("run_id", spread).write.partitionBy("run_id").mode("append").json(path)
+    steps.repartition("run_id", spread).write.partitionBy("run_id").mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).json(path)

@@ -229,7 +229,9 @@ def published_version(spark, sf):
     for part in (orders.where("comments = 'F'"), orders):
         folder = store.begin()
         store.write(folder, "reviews", part)
-        store.publish(folder, snapshot_date=date(2026, 1, 2), city="Testville", listings=7, reviews=part.count())
+        store.publish(
+            folder, snapshot_date=date(2026, 1, 2), city="Testville", listings=7, reviews=part.count(), base=store.newest()
+        )
     unfinished = store.begin()
     store.write(unfinished, "reviews", orders.limit(0))
     return store

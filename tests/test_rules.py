@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from snapshot_files import listing, review
+from snapshot_files import berth, note
 
 from roostline import config
 from roostline.functions import rules
@@ -118,38 +118,38 @@ def test_first_failing_column_is_reported(spark):
         ("instant_bookable", {"instant_bookable": "maybe"}), ("host_is_superhost", {"host_is_superhost": "2"}),
         ("amenities", {"amenities": "["}),
     ]
-    rows = [listing(f"{i}" if field != "id" else "x", **change) for i, (field, change) in enumerate(broken)]
+    rows = [berth(i, **({"id": "x"} if field == "id" else change)) for i, (field, change) in enumerate(broken)]
     out = parse(spark, rows, ingest.parse_listings).collect()
     assert [r["rejected_field"] for r in out] == [field for field, _ in broken]
-    assert out[0]["readable_id"] is None and out[1]["readable_id"] == 1
+    assert out[0]["readable_id"] is None and out[1]["readable_id"] == 13
     # With every column broken, the first one in the fixed order is blamed.
     for i in range(len(broken) - 1):
         later = {k: v for field, change in broken[i + 1:] for k, v in change.items()}
-        merged = listing("5", **{**later, **broken[i][1]})
+        merged = berth(5, **{**later, **broken[i][1]})
         if broken[i][0] in ("id", "latitude", "longitude", "bathrooms_text", "bathrooms"):
             continue
         assert parse(spark, [merged], ingest.parse_listings).first()["rejected_field"] == broken[i][0]
 
 
 def test_negative_bedrooms_are_accepted(spark):
-    row = parse(spark, [listing(1, bedrooms="-2", beds="")], ingest.parse_listings).first()
+    row = parse(spark, [berth(1, bedrooms="-2", beds="")], ingest.parse_listings).first()
     assert row["rejected_field"] is None and row["bedrooms"] == -2 and row["beds"] is None
 
 
 def test_number_fills_in_for_blank_bath_text(spark):
-    row = parse(spark, [listing(1, bathrooms_text=" ", bathrooms="2.5")], ingest.parse_listings).first()
+    row = parse(spark, [berth(1, bathrooms_text=" ", bathrooms="2.5")], ingest.parse_listings).first()
     assert row["bathrooms"] == 2.5
 
 
 def test_review_rules_in_order(spark):
-    rows = [review(1, "bad", ""), review("x", "bad", "a"), review(1, "bad", "a"), review(1, "2024-01-01", "a")]
+    rows = [note(1, 0, date="bad", comments=""), note(1, 0, listing_id="x", date="bad"), note(1, 0, date="bad"), note(1, 0)]
     out = parse(spark, rows, ingest.parse_reviews)
     assert [r["rejected_field"] for r in out.collect()] == ["comments", "listing_id", "date", None]
     assert set(ingest.accepted(out).columns) == {"comments", "source_listing_id", "date"}
 
 
 def test_no_personal_column_survives(spark):
-    parsed = parse(spark, [listing(1)], ingest.parse_listings)
+    parsed = parse(spark, [berth(1)], ingest.parse_listings)
     assert not set(parsed.columns) & set(config.PERSONAL_COLUMNS)
 
 
