@@ -15,7 +15,7 @@ from roostline import config
 from roostline.errors import LoadError
 from roostline.functions.ids import with_dense_ids
 from roostline.operators import ingest, reconcile, vocabulary
-from roostline.session import spread, stored, working_folder
+from roostline.session import stored, working_folder
 from roostline.sources import tables
 from roostline.sources.snapshot_csv import BAD_ENCODING, FILE_POSITION, read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
@@ -56,13 +56,9 @@ class LoadReport:
 
 
 def _stage(raw: DataFrame, parse, name: str, path: str, work: str) -> DataFrame:
-    """Typed rows of one file set, written once and read by everything that follows.
-
-    A file is read by a single task; where there are fewer files than tasks, spreading
-    the rows right after the read lets every core take part in the parsing.
-    """
+    """Typed rows of one file set, written once and read by everything that follows."""
     seen = Observation(name)
-    rows = spread(raw, FILE_POSITION, parts=len(raw.inputFiles())).observe(
+    rows = raw.observe(
         seen, F.count("*").alias("rows"), F.count_if(F.col(BAD_ENCODING)).alias("broken")
     )
     try:

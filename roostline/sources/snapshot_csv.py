@@ -6,12 +6,13 @@ from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roostline import config
 from roostline.errors import LoadError
+from roostline.session import spread
 
 # Bytes are read one-to-one as Latin-1 and decoded per column afterwards: the CSV reader
 # itself would replace malformed UTF-8 without a trace.
@@ -62,12 +63,22 @@ def read_snapshot_csv(spark: SparkSession, path: str, required: Iterable[str]) -
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    as_bytes = {n: F.encode(F.col(f"`{raw}`"), _BYTES) for n, raw in zip(header, raw_header)}
-    valid = [F.coalesce(F.is_valid_utf8(b.cast("string")), F.lit(True)) for b in as_bytes.values()]
-    every_valid = F.forall(F.array(*valid), lambda v: v)
-    wanted = [name for name in header if name in set(required)]
-    return rows.select(
-        *[as_bytes[name].cast("string").alias(name) for name in wanted],
-        (~every_valid).alias(BAD_ENCODING),
-        position.alias(FILE_POSITION),
+    cells = {name: F.col("_cells").getField(raw) for name, raw in zip(header, raw_header)}
+    packed = rows.select(F.struct(*[F.col(f"`{raw}`") for raw in raw_header]).alias("_cells"), position.alias(FILE_POSITION))
+    packed = spread(packed, FILE_POSITION, parts=len(rows.inputFiles()))
+    # A line break cannot belong to a longer sequence, so the joined row is valid if all
+    # cells are. A row of ASCII needs neither the check nor the decoding.
+    joined = F.concat_ws("\n", *cells.values())
+    judged = packed.withColumn("_ascii", F.octet_length(joined) == F.char_length(joined)).withColumn(
+        BAD_ENCODING, F.when(F.col("_ascii"), F.lit(False)).otherwise(~F.is_valid_utf8(_decoded(joined)))
     )
+    return judged.select(
+        *[F.when(F.col("_ascii"), c).otherwise(_decoded(c)).alias(n) for n, c in cells.items() if n in set(required)],
+        BAD_ENCODING,
+        FILE_POSITION,
+    )
+
+
+def _decoded(cell: Column) -> Column:
+    """The bytes of a cell as text, valid or not."""
+    return F.encode(cell, _BYTES).cast("string")
