@@ -60,6 +60,17 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path as it knows it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _files(spark, path)
+    return files.exists(target)
+
+
 @contextmanager
 def working_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh path below the shared folder, removed at the end however the work went."""
@@ -67,8 +78,8 @@ def working_folder(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield path
     finally:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = _files(spark, path)
+        files.delete(target, True)
 
 
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

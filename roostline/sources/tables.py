@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roostline.errors import LoadError
+from roostline.session import exists
 
 LISTINGS = T.StructType(
     [
@@ -121,12 +121,10 @@ class SnapshotStore:
         self.root = root.rstrip("/")
 
     def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self._LOG).parquet(f"{self.root}/published")
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = f"{self.root}/published"
+        if not exists(self.spark, path):
             return self.spark.createDataFrame([], self._LOG)
+        return self.spark.read.schema(self._LOG).parquet(path)
 
     def newest(self) -> Row | None:
         """The published row of the current version; None before any load."""

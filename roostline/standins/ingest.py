@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from roostline.errors import LoadError
 from roostline.functions import rules
 from roostline.operators import audit, ingest
 from roostline.session import scratch_path, spread, stored
@@ -171,6 +172,34 @@ def csv_scan(spark, sf):
     )
 
 
+def header_contract(spark, sf):
+    """customer as a CSV file, read under contracts it keeps and one it breaks: the refusal, or the rows."""
+    path = scratch_path(spark, "header")
+    r.table(spark, sf, "customer").write.option("header", True).csv(path)
+    told = []
+    for name, required in (("kept", ["c_name", "c_custkey"]), ("broken", ["c_phone", "c_name", "c_address"])):
+        try:
+            rows = read_snapshot_csv(spark, path, required).agg(F.lit("").alias("said"), F.count("*").alias("rows"))
+        except LoadError as refusal:
+            said = str(refusal).removeprefix(f"{path} ")
+            rows = spark.range(1).select(F.lit(said).alias("said"), F.lit(0).cast("long").alias("rows"))
+        told.append(rows.withColumn("contract", F.lit(name)))
+    return told[0].unionByName(told[1])
+
+
+def other_ranges(spark, sf):
+    """Which ranged fields besides the latitude refuse a row."""
+    checks = {
+        "longitude": rules.within(rules.required(rules.finite_number(F.col("longitude"))), -180.0, 180.0),
+        "accommodates": rules.within(rules.required(rules.whole_number(F.col("accommodates"), _SMALL)), 1),
+        "minimum_nights": rules.within(rules.required(rules.whole_number(F.col("minimum_nights"))), 1),
+        "number_of_reviews": rules.within(rules.required(rules.whole_number(F.col("number_of_reviews"))), 0),
+    }
+    read = r.raw_listings(spark, sf).select("file_pos", *[rule.value.alias(name) for name, rule in checks.items()])
+    bad = [F.coalesce(rule.bad(F.col(name)), F.lit(False)).alias(f"{name}_bad") for name, rule in checks.items()]
+    return read.select("file_pos", *bad)
+
+
 def contract(spark, sf):
     rules_ = {
         k: v
@@ -322,6 +351,11 @@ _RAW = r.RAW_LISTINGS_SQL
 _ORDERS_SQL = "SELECT o_orderkey AS id, CAST(o_custkey AS INT) AS listing_id, o_orderstatus AS comments FROM orders"
 QUERIES = {
     "A1_csv_scan": (csv_scan, "SELECT doc_id, lang, md5(text) AS digest, false AS bad_encoding FROM documents"),
+    "A2_header_contract": (
+        header_contract,
+        "SELECT 'kept' AS contract, '' AS said, count(*) AS rows FROM customer "
+        "UNION ALL SELECT 'broken', 'has no c_address, c_phone column', 0",
+    ),
     "A3_contract_violations": (contract, _L + _CONTRACT_SQL),
     "A3_repeated_keys": (
         repeated_keys,
@@ -380,6 +414,15 @@ QUERIES = {
         rule("raw_listings", "latitude", lambda c: rules.within(rules.required(rules.finite_number(c)), -90.0, 90.0)),
         rule_sql(_RAW, (_LAT[0], f"({_LAT[1]} OR ({_LAT[0]}) NOT BETWEEN -90 AND 90)")),
     ),
+    "B9_other_ranges": (
+        other_ranges,
+        f"SELECT file_pos, coalesce({_LON[1]} OR ({_LON[0]}) NOT BETWEEN -180 AND 180, false) AS longitude_bad, "
+        + ", ".join(
+            f"coalesce({_ranged(_required(_int(c, *fits)), low)[1]}, false) AS {c}_bad"
+            for c, low, fits in (("accommodates", 1, _SMALL), ("minimum_nights", 1, ()), ("number_of_reviews", 0, ()))
+        )
+        + f" FROM ({_RAW})",
+    ),
     "B10_review_rows": (accepted_reviews, ACCEPTED_REVIEWS_SQL),
     "B11_rejection_summary": (
         summary,

@@ -231,16 +231,31 @@ def approximate(spark, sf):
     return search.approximate_top_k(r.listings(spark, sf), {"min_accommodates": 2}, _query(spark, sf), 10)
 
 
-def cited(spark, sf):
-    """Every listing with its dimension names, as a citation shows it."""
-    rows = r.listings(spark, sf, vectors=False).drop("neighbourhood", "room_type", "property_type")
+def _names(spark, sf):
     part = r.table(spark, sf, "part")
     places = part.selectExpr("CAST(substr(p_brand, 7) AS INT) AS id", "p_brand AS name").distinct()
     numbers = part.selectExpr("CAST(p_size % 7 + 1 AS INT) AS id").distinct()
     named = numbers.withColumn("name", F.concat(F.lit("kind "), "id"))
-    return search.decode_dimensions(rows, places, named, named).select(
-        "id", "name", "neighbourhood", "room_type", "property_type", "price_gbp"
-    )
+    return places, named, named
+
+
+_CITED = ("id", "name", "neighbourhood", "room_type", "property_type", "price_gbp")
+
+
+def _coded(spark, sf):
+    return r.listings(spark, sf).drop("neighbourhood", "room_type", "property_type")
+
+
+def cited(spark, sf):
+    """Every listing with its dimension names, as a citation shows it."""
+    return search.decode_dimensions(_coded(spark, sf), *_names(spark, sf)).select(*_CITED)
+
+
+def looked_up(spark, sf):
+    """The listings that the twenty largest orders cite by id, and an id no listing has."""
+    top = r.table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    ids = [row[0] for row in top.select(F.col("o_orderkey") % 1000 + 1).collect()]
+    return search.get_listings(_coded(spark, sf), [*ids, -1], *_names(spark, sf)).select(*_CITED)
 
 
 def shown_reviews(spark, sf):
@@ -376,6 +391,11 @@ QUERIES = {
         cited,
         _L + "SELECT id, name, neighbourhood, concat('kind ', room_type_id) AS room_type, concat('kind ', property_type_id) AS property_type, price_gbp FROM l",
     ),
+    "F12_cited_by_id": (
+        looked_up,
+        _L + "SELECT id, name, neighbourhood, concat('kind ', room_type_id) AS room_type, concat('kind ', property_type_id) AS property_type, price_gbp FROM l "
+        "WHERE id IN (SELECT o_orderkey % 1000 + 1 FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20))",
+    ),
     "F13_shown_reviews": (
         shown_reviews,
         f"SELECT doc_id AS id, md5({scrubbed_sql(chr(39) + 'Thanks to Maria, ' + chr(39) + ' || text')}) AS digest FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 20",

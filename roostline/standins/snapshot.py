@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roostline.errors import LoadError
 from roostline.operators import reconcile, vocabulary
 from roostline.plans.load import load_snapshot
 from roostline.session import scratch_path
@@ -62,9 +63,9 @@ _CANON_SQL = (
 
 
 def encoded(spark, sf):
-    rows = r.listings(spark, sf, vectors=False).select("id", "neighbourhood", "room_type")
+    rows = r.listings(spark, sf, vectors=False).select("id", "neighbourhood", "room_type", "property_type")
     empty = spark.createDataFrame([], "id int, name string")
-    for column in ("neighbourhood", "room_type"):
+    for column in ("neighbourhood", "room_type", "property_type"):
         dim = vocabulary.extend_dimension(empty, vocabulary.names_of(rows, column))
         rows = vocabulary.encode_dimension(rows, dim, column, f"{column}_id")
     return rows
@@ -192,6 +193,22 @@ def load_report(spark, sf):
     )
 
 
+def refused_load(spark, sf):
+    """Orders as a snapshot file in which no price can be read: what the load says, and what it published."""
+    root = scratch_path(spark, "refused")
+    listings = _write_csv(r.raw_listings(spark, sf).withColumn("price", F.lit("free")), f"{root}/listings")
+    reviews = _write_csv(r.raw_reviews(spark, sf), f"{root}/reviews")
+    store = SnapshotStore(spark, f"{root}/store")
+    said = "no error"
+    try:
+        load_snapshot(
+            spark, store, listings_csv=listings, reviews_csv=reviews, snapshot_date="2026-01-02", city="Testville"
+        )
+    except LoadError as refusal:
+        said = str(refusal).split(" (")[0]
+    return store.table("listings").agg(F.lit(said).alias("said"), F.count("*").alias("listings"))
+
+
 _REPORT_SQL = f"""
 WITH a AS ({ACCEPTED_SQL}), j AS (SELECT field FROM ({JUDGED_SQL})), rj AS (SELECT field FROM ({JUDGED_REVIEWS_SQL})),
  ra AS ({ACCEPTED_REVIEWS_SQL}), t AS (SELECT property_type, count(*) AS n FROM a GROUP BY 1),
@@ -212,6 +229,10 @@ _DOC_WORDS = "SELECT unnest(string_split(text, ' ')) AS name FROM {t}"
 _TYPES = "SELECT CASE WHEN count(*) >= 40 THEN property_type ELSE 'Other' END AS name FROM l GROUP BY property_type"
 _AM = "SELECT name, count(*) AS n FROM (SELECT unnest(amenities) AS name FROM l) GROUP BY 1"
 QUERIES = {
+    "A9_refused_load": (
+        refused_load,
+        "SELECT concat(count(*), ' listing rows read and none could be stored') AS said, CAST(0 AS BIGINT) AS listings FROM orders",
+    ),
     "C1_dimension_names": (
         dimension_names,
         _L + "SELECT DISTINCT 'neighbourhoods' AS field, neighbourhood AS name FROM l UNION SELECT 'room_types', room_type FROM l "
@@ -240,7 +261,8 @@ QUERIES = {
     "C6_foreign_keys": (
         encoded,
         _L + "SELECT id, CAST(dense_rank() OVER (ORDER BY neighbourhood) AS INT) AS neighbourhood_id, "
-        "CAST(dense_rank() OVER (ORDER BY room_type) AS INT) AS room_type_id FROM l",
+        "CAST(dense_rank() OVER (ORDER BY room_type) AS INT) AS room_type_id, "
+        "CAST(dense_rank() OVER (ORDER BY property_type) AS INT) AS property_type_id FROM l",
     ),
     "C7_indexed_amenities": (
         indexed,
