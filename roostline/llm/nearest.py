@@ -13,6 +13,10 @@ vectors drawn by hash (the documented bound), as the least that reach ``RECALL``
 neighbours are farther apart in a sample than in all rows, so this errs to the safe side.
 All rows are indexed.
 
+Where the visited cells hold fewer than ``k`` candidates, or the k-th is farther than any
+neighbour the fit has seen, the fit says nothing about the query: far from all rows, or in
+a sparse region. Such a query is compared with all vectors, exactly, block by block.
+
 Defined results: vectors that are null, zero, hold null or non-finite components, or have
 another length than most, take no part as query or candidate; a row is known by its
 vec_id, so repeated ids are one candidate at their least distance; ties go to the smaller
@@ -39,14 +43,17 @@ PART_ROWS = 50_000
 HOT_ROWS = 20_000
 SEED = 3
 QUERY_BLOCK = 128
+# Queries that one task compares with a slice of all vectors.
+EXACT_QUERIES = 4_096
 
 
 class Hashing(NamedTuple):
-    """Projections of each table (seeded, so tasks make them themselves), width and visits."""
+    """Projections of each table (seeded, so tasks make them themselves), width, visits and the farthest neighbour of the fit."""
 
     width: int
     step: float
     visits: int
+    reach: float = float("inf")
 
     def project(self, v: np.ndarray, table: int) -> np.ndarray:
         rng = np.random.default_rng([SEED, table])
@@ -95,6 +102,7 @@ def fit(sample: np.ndarray, k: int) -> Hashing:
         return Hashing(width, 1.0, 1)
     near = np.argsort(d, axis=1, kind="stable")[:, :k]
     reach = np.sqrt(np.take_along_axis(d, near, 1))
+    farthest = float(reach.max())
     reach = reach[reach > 0]
     step, moves = float(np.median(reach)) * 1.35 if len(reach) else 1.0, steps()
     while True:
@@ -109,7 +117,7 @@ def fit(sample: np.ndarray, k: int) -> Hashing:
         need = np.sort(np.take_along_axis(first, near, 1).ravel())
         visits = int(need[min(len(need) - 1, int(np.ceil(RECALL * len(need))) - 1)]) + 1
         if visits <= len(moves):
-            return h._replace(visits=visits)
+            return h._replace(visits=visits, reach=farthest)
         step *= 1.25
 
 
@@ -204,6 +212,48 @@ def _visit(k: int, width: int):
     return run
 
 
+def _compare(k: int, width: int):
+    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if index.num_rows and asked.num_rows:
+            ids, rows = index["vec_id"].to_numpy(), _matrix(index["vector"], width)
+            names, queries = asked["query_id"].to_numpy(), _matrix(asked["vector"], width)
+            for a in range(0, len(names), QUERY_BLOCK):
+                part = queries[a : a + QUERY_BLOCK]
+                d = np.concatenate([distances(part, rows[s : s + 512]) for s in range(0, len(rows), 512)], 1)
+                for i in range(len(part)):
+                    d[i, ids == names[a + i]] = np.inf
+                    # An id may stand on several rows; its least distance counts.
+                    near = np.lexsort((d[i], ids))
+                    near = near[np.concatenate([[True], ids[near][1:] != ids[near][:-1]])]
+                    found = near[best(d[i, near], ids[near], k)]
+                    out[0].append(np.full(len(found), names[a + i], np.int64))
+                    out[1].append(ids[found])
+                    out[2].append(np.sqrt(d[i, found]))
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return pa.table({"query_id": join(out[0], np.int64), "vec_id": join(out[1], np.int64), "score": join(out[2], np.float64)})
+
+    return run
+
+
+def compared(vectors: DataFrame, n: int, asked: DataFrame, queries: int, k: int, width: int) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` nearest of each slice of ``vectors`` to each of ``asked`` (query_id, vector)."""
+    slices, blocks = int(n // PART_ROWS + 1), int(queries // EXACT_QUERIES + 1)
+    every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    deal = lambda c, m, name: F.pmod(F.xxhash64(c, "vector"), F.lit(m)).cast("int").alias(name)
+    rows = vectors.select("vec_id", "vector", deal("vec_id", slices, "slice"), every(blocks, "block"))
+    sent = asked.select("query_id", "vector", deal("query_id", blocks, "block"), every(slices, "slice"))
+    groups = rows.groupBy("slice", "block").cogroup(sent.groupBy("slice", "block"))
+    return groups.applyInArrow(_compare(k, width), "query_id long, vec_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest of each query, each vec_id once."""
+    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows of ``vectors`` (vec_id, vector)
     to each of ``queries``, its own row left out."""
@@ -226,9 +276,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     lists = sent.groupBy("part", "query_id").agg(F.collect_set("key").alias("keys"))
     lists = lists.join(asked.select(F.col("vec_id").alias("query_id"), "vector"), "query_id").select("part", "query_id", "vector", "keys")
     found = dealt.groupBy("part").cogroup(lists.groupBy("part")).applyInArrow(_visit(k, width), "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = stored(ranked(found, k), "met")
+    full = met.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("last")).where((F.col("n") >= k) & (F.col("last") <= h.reach))
+    short = asked.select(F.col("vec_id").alias("query_id"), "vector").join(full, "query_id", "left_anti")
+    short = stored(short, "short-queries")
+    open_ = short.count()
+    if not open_:
+        return met
+    exact = ranked(compared(vectors, n, short, open_, k, width), k)
+    return met.join(full.select("query_id"), "query_id", "left_semi").select(*exact.columns).union(exact)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

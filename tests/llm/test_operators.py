@@ -281,6 +281,25 @@ def test_the_machine_sums_pairs_in_linear_time():
     assert abs(y[0] - want) < 1e-9
 
 
+def test_queries_far_from_all_cells_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1500, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[:12] *= np.repeat([3, 5, 40], 4)[:, None]
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(20, [float(x) for x in v[20] + 1])], "vec_id long, vector array<double>")
+    got = collections.defaultdict(dict)
+    for r in nearest.neighbours(df, df.where("vec_id < 12"), 10).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    for q in range(12):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[20] = min(d[20], np.sqrt(((v[20] + 1 - v[q]) ** 2).sum()))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:10].tolist()
+        assert [got[q][r][0] for r in range(1, 11)] == want and all(abs(d[i] - s) < 1e-9 for i, s in got[q].values())
+    few = df.where("vec_id < 6")
+    assert nearest.neighbours(few, few, 10).count() == 30
+
+
 def test_empty_tables_give_empty_results(spark):
     docs = documents(spark, [])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
