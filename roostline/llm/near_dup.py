@@ -6,7 +6,11 @@ arrivals fall on the registers of the sketch at random, and a register keeps the
 A shingle stops as soon as its next arrival is later than every register of the text.
 Two sketches agree in a register with the probability Jaccard similarity of the texts.
 
-Registers are banded. Equal texts are one node from the start. In a bucket every node meets
+A link is a similarity of sets, and where one text repeats a passage the probability Jaccard
+lies far below it. So a text that repeats a shingle has a second sketch, of unit weights,
+whose registers agree with the set similarity; for all others the two are the same.
+
+Registers of both are banded. Equal texts are one node from the start. In a bucket every node meets
 the smallest one, so a bucket of n nodes gives n - 1 pairs; buckets of the same nodes are
 taken once. Pairs are verified on whole texts: |A ∩ B| / |A ∪ B| of the shingles is 0.8 or
 more. Classes are the connected components of all links. Where the nodes of a bucket end
@@ -82,12 +86,14 @@ def nodes(w: batches.Words) -> list[bytes | None]:
     return [x.tobytes() if c else None for x, c in zip(both, np.diff(w.first))]
 
 
-def sketches(text: np.ndarray, shingle: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
-    """The shingle that arrives first in each register of each text; 0 without shingles."""
+def sketches(text: np.ndarray, shingle: np.ndarray, n: int, registers: int = REGISTERS, unit: bool = False) -> np.ndarray:
+    """The shingle that arrives first in each register of each text; 0 without shingles.
+
+    With ``unit`` every shingle weighs 1, however often it is repeated."""
     # 44 bits of the hash tell the shingles of one text apart here.
     both = np.sort((text.astype(np.uint64) << np.uint64(44)) | (shingle >> np.uint64(20)))
     first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-    weight = 1 + np.log(np.diff(np.append(first, len(both))))
+    weight = np.ones(len(first)) if unit else 1 + np.log(np.diff(np.append(first, len(both))))
     owner = (both[first] >> np.uint64(44)).astype(np.int64)
     element = both[first] & np.uint64((1 << 44) - 1)
     seed = batches.mix(element + np.uint64(0x51ED27))
@@ -118,18 +124,40 @@ def sketches(text: np.ndarray, shingle: np.ndarray, n: int, registers: int = REG
     return who.reshape(n, registers)
 
 
+def repeating(text: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """Whether each text holds a shingle more than once."""
+    order = np.lexsort((shingle, text))
+    text, shingle = text[order], shingle[order]
+    again = (text[1:] == text[:-1]) & (shingle[1:] == shingle[:-1])
+    return np.bincount(text[1:][again], minlength=n) > 0
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """One key for each band of each sketch; other bands have other keys."""
+    n = len(sketch)
+    band = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        band = batches.mix(band + sketch.reshape(n, BANDS, ROWS)[:, :, i])
+    return band
+
+
 def _describe(parts):
     for part in parts:
         w = batches.words(part.column("text"))
         n = part.num_rows
         text, shingle = shingles(w)
-        sketch = sketches(text, shingle, n)
+        weighted = band_keys(sketches(text, shingle, n))
         has = np.diff(w.first) > 0
-        band = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-        for i in range(ROWS):
-            band = batches.mix(band + sketch.reshape(n, BANDS, ROWS)[:, :, i])
-        first = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
-        bands = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(band[has].view(np.int64).ravel(), pa.int64()))
+        # The bands of the second sketch that differ from those of the first.
+        second, more = np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS), bool)
+        again = repeating(text, shingle, n)
+        if again.any():
+            own = again[text]
+            second[again] = band_keys(sketches((np.cumsum(again) - 1)[text[own]], shingle[own], int(again.sum()), unit=True))
+            more[again] = second[again] != weighted[again]
+        keys, keep = np.concatenate([weighted, second], 1), np.concatenate([np.repeat(has[:, None], BANDS, 1), more], 1)
+        first = np.concatenate([[0], np.cumsum(keep.sum(1))])
+        bands = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys[keep].view(np.int64), pa.int64()))
         yield part, [nodes(w), np.diff(w.first), bands]
 
 

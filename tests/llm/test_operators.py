@@ -115,6 +115,21 @@ def test_near_duplicates_are_the_components_of_all_similar_pairs(spark):
     assert set(ids) == {min(g, key=lambda i: (i is None, i or 0)) for g in want.values()} and set(ids.values()) == {1}
 
 
+def test_texts_that_repeat_a_passage_are_linked_by_their_sets(spark):
+    data = []
+    for i, (block, times) in enumerate([(20, 100)] * 8 + [(20, 30)] * 8 + [(20, 5)] * 2):
+        shared = prose(4000 + i, 104)
+        repeated = " ".join([prose(5000 + i, block)] * times)
+        data += [(2 * i, shared), (2 * i + 1, shared + " " + repeated)]
+    for a, b in zip(data[::2], data[1::2]):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(a[1]), words(b[1])))
+        assert len(x & y) >= 0.8 * len(x | y)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    root = {r.doc_id: r.root for r in near_dup.classes(df).collect()}
+    assert all(root[a[0]] == root[b[0]] for a, b in zip(data[::2], data[1::2]))
+    assert len(set(root.values())) == len(data) // 2
+
+
 def test_sketches_estimate_the_probability_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(1, 2**63, 900).astype(np.uint64)
