@@ -241,6 +241,23 @@ def test_main_text_of_articles_and_of_pages_without(spark):
         assert got[6].startswith("broken") and got[None] == "nobody" + " long" * 50000
 
 
+def article_text(page):
+    return [t for z, t in html_text.blocks(page) if z == html_text.ARTICLE]
+
+
+def test_wrappers_and_class_names_do_not_drop_articles():
+    for wrapper in ("class='site has-sidebar'", "class=header-fixed", "id='nav-open'", "class='overflow-hidden rounded'", "data-class='nav'", "class='sidebar'", "class='no-ads'"):
+        assert article_text(PAGE.format(f"<div {wrapper}><article><p>kept</p></article></div>")) == ["kept"], wrapper
+    inner = "<div class='overflow-hidden p-4'>one</div><p class='social-science'>two</p><div title='hidden '>three</div>"
+    gone = "<div hidden>a</div><div class='x site-footer'>b</div><div class='ad_300x250'>c</div><div style='display: none'>d</div><p aria-hidden=true>e</p><p class=comment-12>f</p>"
+    assert article_text(f"<article>{inner}{gone}</article>") == ["one", "two", "three"]
+    # Articles of a sidebar beside a real one, and comments as articles, are still none.
+    assert article_text("<article>real</article><div class=sidebar><article>teaser</article></div>") == ["real"]
+    assert article_text("<div class=comments><article>a</article><article>b</article></div>") == []
+    both = html_text.blocks("<p>plain text</p><div class=comments><article>one comment</article></div>")
+    assert [t for z, t in both if z == html_text.OUTSIDE] == ["plain text", "one comment"]
+
+
 def test_nearest_neighbours_reach_the_recall(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(1200, 16)).astype(np.float32)
