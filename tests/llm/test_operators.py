@@ -241,6 +241,22 @@ def test_main_text_of_articles_and_of_pages_without(spark):
         assert got[6].startswith("broken") and got[None] == "nobody" + " long" * 50000
 
 
+@pytest.mark.parametrize("part_tokens", [html_text.PART_TOKENS, 150])
+def test_pages_without_articles_lose_only_what_a_share_of_the_host_has(spark, monkeypatch, part_tokens):
+    monkeypatch.setattr(html_text.covered_runs, "__defaults__", (html_text.RUN, html_text.PAGES, part_tokens))
+    phrase, notice = "on the other hand it is", prose(80, 30)
+    own = [f"{prose(600 + i, 20)} {phrase if i < 2 else prose(800 + i, 6)} {prose(700 + i, 20)}" for i in range(40)]
+    # A short menu and a notice within a longer block are on all pages; two pages share a whole block.
+    page = lambda i: PAGE.format(f"<div>all our pages</div><p>{own[i]}</p><p>end {i} {notice} {i}</p>" + ("<p>a block of two pages</p>" if i < 2 else ""))
+    data = [(i, f"http://h/{i}", page(i)) for i in range(40)] + [(50 + i, f"http://h/copy{i}", page(3)) for i in range(9)]
+    data += [(70 + i, f"http://copies/{i}", PAGE.format("<p>the same page under two ids without any article</p>")) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == f"{own[i]}\n\nend {i} {i}" + ("\n\na block of two pages" if i < 2 else "")
+    assert {got[50 + i] for i in range(9)} == {got[3]}
+    assert got[70] == got[71] == "the same page under two ids without any article"
+
+
 def article_text(page):
     return [t for z, t in html_text.blocks(page) if z == html_text.ARTICLE]
 
