@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from roostline.llm import decontaminate, html_text, kd_shards, license_scan, line_dedup, mixing, near_dup, nearest, quality, toxicity
+from roostline.llm import (
+    decontaminate, html_text, kd_shards, license_scan, line_dedup, mixing, near_dup, nearest, quality, ranked_search, spelling, toxicity, url_filter,
+)
 
 # Name: query and its SQL, None where SQL cannot express it.
 QUERIES = {
@@ -16,4 +18,7 @@ QUERIES = {
     "op8_mixing": (mixing.query, None),
     "op9_line_dedup": (line_dedup.query, line_dedup.SQL),
     "op10_toxicity": (toxicity.query, None),
+    "op11_ranked_search": (ranked_search.query, ranked_search.SQL),
+    "op12_spelling": (spelling.query, spelling.SQL),
+    "op13_url_filter": (url_filter.query, url_filter.SQL),
 }
