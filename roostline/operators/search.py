@@ -11,9 +11,6 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -412,45 +409,6 @@ def closer_or_equal(listings: DataFrame, marks: DataFrame) -> DataFrame:
     return found.groupBy("request_id").agg(F.sum("position").alias("position"))
 
 
-def approximate_top_k(
-    listings: DataFrame,
-    given: Mapping,
-    query: Sequence[float],
-    limit: int,
-    *,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate neighbours among the listings that satisfy the filters.
-
-    Unit vectors make the Euclidean order of the hash tables the cosine order.
-    """
-    check_arguments(limit=limit, query=query)
-    unit = np.asarray(query, dtype=np.float64)
-    unit = unit / np.linalg.norm(unit)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = (
-        filters.where(listings, given)
-        .where(F.col("embedding").isNotNull())
-        .withColumn("_norm", norm)
-        .select(
-            "id",
-            array_to_vector(
-                F.transform("embedding", lambda x: x.cast("double") / F.col("_norm"))
-            ).alias("unit"),
-        )
-    )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    near = lsh.fit(rows).approxNearestNeighbors(rows, Vectors.dense(unit), limit, distCol="gap")
-    # |a - b|^2 = 2 (1 - cos) for unit vectors.
-    return near.select(
-        "id", F.round(F.col("gap") * F.col("gap") / 2, config.DISTANCE_DECIMALS).alias("distance")
-    ).orderBy("distance", "id")
-
-
 # --- Look-ups (specified behaviour) ------------------------------------------
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roostline import config
-from roostline.operators import filters, relax, search
+from roostline.operators import cells, evaluation, filters, relax, search
+from roostline.session import stable
 from roostline.standins import relations as r
 
 _L = f"WITH l AS ({r.LISTINGS_SQL}), f AS ({r.filter_sets_sql()}), q AS ({r.REQUESTS_SQL}) "
@@ -227,8 +228,32 @@ _WIDE_SQL = (
 )
 
 
+def _approximate(spark, sf):
+    listings, asked = r.listings(spark, sf), r.requests(spark, sf)
+    found = cells.top_k(cells.build(listings, 5), asked, 5)
+    return listings, asked, stable(found)
+
+
 def approximate(spark, sf):
-    return search.approximate_top_k(r.listings(spark, sf), {"min_accommodates": 2}, _query(spark, sf), 10)
+    """Per request: how many the cells found, and how many of them break a filter or misstate a distance."""
+    listings, asked, found = _approximate(spark, sf)
+    matching = filters.keep_matching(found, listings.drop("embedding"), asked.drop("query")).select("request_id", "id", F.lit(True).alias("matches"))
+    pairs = found.join(asked.select("request_id", "query"), "request_id").join(listings.select("id", "embedding"), "id")
+    dot, left, right = (
+        F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        for a, b in (("embedding", "query"), ("embedding", "embedding"), ("query", "query"))
+    )
+    off = F.abs(1 - dot / F.sqrt(left * right) - F.col("distance")) > 1e-8
+    told = pairs.withColumn("off", off).join(matching, ["request_id", "id"], "left")
+    wrong = F.count_if(F.col("matches").isNull() | F.col("off"))
+    return told.groupBy("request_id").agg(F.count("*").alias("found"), wrong.alias("wrong"))
+
+
+def approximate_recall(spark, sf):
+    """Whether the cells reach nine tenths of the exact top five, over all requests with a match."""
+    listings, asked, found = _approximate(spark, sf)
+    recall = evaluation.recall_at_k(found, search.batch_top_k(listings, asked, 5), 5)
+    return recall.agg(F.count("*").alias("requests"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
 def _names(spark, sf):
@@ -386,7 +411,8 @@ QUERIES = {
         pool,
         _L + f"SELECT {', '.join(search.RESULT_COLUMNS)}, {_D1} AS distance FROM l WHERE accommodates >= 2 AND embedding IS NOT NULL ORDER BY distance, id LIMIT 100",
     ),
-    "F11_approximate": (approximate, None),
+    "F11_approximate": (approximate, _L + f"SELECT request_id, least(count(*), 5) AS found, CAST(0 AS BIGINT) AS wrong FROM ({_PAIRS_SQL}) GROUP BY 1"),
+    "F11_recall": (approximate_recall, _L + f"SELECT count(DISTINCT request_id) AS requests, true AS reached FROM ({_PAIRS_SQL})"),
     "F12_listing_details": (
         cited,
         _L + "SELECT id, name, neighbourhood, concat('kind ', room_type_id) AS room_type, concat('kind ', property_type_id) AS property_type, price_gbp FROM l",

@@ -187,13 +187,6 @@ def test_widening_reports_its_pool(listings, rows, requests):
             assert pools[name] == min(ranked, math.ceil(place / 100) * 100), name
 
 
-def test_approximate_search_respects_the_filter(listings, rows):
-    given = {"max_price": 200.0, "min_accommodates": 2, "amenities": ["wifi"]}
-    got = [r["id"] for r in search.approximate_top_k(listings, given, row(1)[-1], 10).collect()]
-    by_id = {r[0]: r for r in rows}
-    assert len(got) == 10 and all(WANTED["a"](by_id[i]) for i in got)
-
-
 def test_guards(listings):
     with pytest.raises(ValueError, match="limit"):
         search.top_k(listings, {}, [1.0] * 8, 0)
