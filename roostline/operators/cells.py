@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from roostline import config
 from roostline.functions.vectors import matrix
-from roostline.operators import filters, search
+from roostline.operators import counting, filters, search
 from roostline.session import scratch_path, stable
 
 # Sent to every task with each search: at most so many cells, ids of a dimension, amenities.
@@ -231,7 +231,7 @@ def _wanted_share(index: Index, requests: DataFrame, limit: int) -> DataFrame:
         sample = sample.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(index.vectors)) < SAMPLE)
     sample = stable(sample)
     drawn = max(1, sample.count())
-    counted = filters.count_per_request(sample, requests.drop("query"))
+    counted = counting.count_per_request(sample, requests.drop("query"))
     least = SAMPLE_LEAST if drawn < index.vectors else 0
     matches = F.col("matches") * (index.vectors / drawn)
     share, wanted = F.lit(1.0), F.lit(limit) / matches

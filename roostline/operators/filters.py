@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from roostline import config
 from roostline.errors import InvalidFilterError, UnknownFieldError
+from roostline.functions import geometry
 from roostline.functions.geometry import box_around, within_box
 from roostline.functions.quantiles import exact_percentiles
 from roostline.functions.text import stripped
@@ -353,58 +354,99 @@ def _pair_terms() -> list[tuple[str, Column]]:
     return terms
 
 
-# The any-of fields a request can be joined on, the one with most values first. A request's
-# shape is the place of the first one it names, from 1, or 0 if it names none.
-_JOIN_FIELDS = ("neighbourhood_ids", "property_type_ids", "room_type_ids")
+# What a request can be joined on, the most selective first. A request's shape is the number
+# of the first of these it names, or 0 if it names none.
+_SHAPES = {1: "neighbourhood_ids", 4: "near", 5: "amenities", 2: "property_type_ids", 3: "room_type_ids"}
 # Pieces of one listing value when requests are shuffled: a value that a third of all
 # listings share becomes pieces of about one percent.
 _SLICES = 32
+# Wanted amenities that are worth naming to the listings; beyond it they send all of theirs.
+_NAMED_AMENITIES = 256
 
 
-def _keyed(sets: DataFrame, near_misses: bool = False) -> DataFrame:
-    """Filter sets repeated per value they are joined on, with ``_shape``, ``_key`` and ``_only``.
+def amenity_counts(listings: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(amenity, n)`` of the amenities that some filter set asks for."""
+    wanted = sets.select(F.explode("amenities").alias("amenity")).distinct()
+    held = listings.select(F.explode(F.array_distinct("amenities")).alias("amenity"))
+    return held.join(wanted, "amenity").groupBy("amenity").agg(F.count("*").alias("n"))
 
-    A request that pins an any-of field only meets the listings with one of its values; a
-    request that pins none has the key 0 of shape 0, which every listing carries. Where one
-    condition may fail (``near_misses``), the join on the first pinned field covers all but
-    that field itself. A second key, on the next pinned field, covers it: ``_only`` is then
-    the number of the one field that has to fail.
+
+def _rarest(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(amenities, _rarest)``: of each list that is asked for, the amenity fewest listings have."""
+    asked = sets.select("amenities", F.explode("amenities").alias("amenity")).distinct().join(counts, "amenity", "left")
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "amenity"))
+    return asked.groupBy("amenities").agg(least["amenity"].alias("_rarest"))
+
+
+def _keyed(sets: DataFrame, rarest: DataFrame | None = None) -> DataFrame:
+    """Filter sets repeated per value they are joined on, with ``_shape``, ``_key`` and ``_level``.
+
+    A request that pins an any-of field only meets the listings with one of its values, one
+    with an area box those in the grid cells it touches, one with amenities those that have
+    the rarest of them (``rarest``, or the first in order). A request that pins nothing has
+    the key 0 of shape 0, which every listing carries.
     """
-    shapes = [(i + 1, F.size(field) > 0) for i, field in enumerate(_JOIN_FIELDS)]
-    first = F.coalesce(*[F.when(named, F.lit(i)) for i, named in shapes], F.lit(0))
-    second = F.coalesce(*[F.when(named & (first < i), F.lit(i)) for i, named in shapes], F.lit(0))
-    numbers = {field: i for i, (field, _) in enumerate(_pair_terms())}
-    only = F.get(F.array(*[F.lit(numbers[f]) for f in _JOIN_FIELDS]), first - 1)
-    ways = [F.struct(first.alias("_shape"), F.lit(None).cast("int").alias("_only"))]
-    if near_misses:
-        ways.append(F.when(first > 0, F.struct(second.alias("_shape"), only.alias("_only"))))
-    met = _request_side(sets).select("*", F.inline(F.array_compact(F.array(*ways))))
-    values = F.get(F.array(F.array(F.lit(0)), *[F.col(f) for f in _JOIN_FIELDS]), F.col("_shape"))
-    return met.withColumn("_key", F.explode(values))
+    sides = _request_side(sets)
+    named = {s: F.col("near").isNotNull() if f == "near" else F.size(f) > 0 for s, f in _SHAPES.items()}
+    first = F.coalesce(*[F.when(is_named, F.lit(s)) for s, is_named in named.items()], F.lit(0))
+    if rarest is None:
+        sides = sides.withColumn("_rarest", F.array_min("amenities"))
+    else:
+        sides = sides.join(rarest, "amenities", "left")
+    box = [F.when(~F.col(c).isin(_FLOOR, -_FLOOR), F.col(c)) for c in ("_south", "_north", "_west", "_east")]
+    level = geometry.grid_level(*box)
+    keys = F.when(F.col("_shape") == 0, F.array(F.lit(0).cast("long")))
+    for shape, field in _SHAPES.items():
+        if field == "near":
+            values = geometry.grid_cells_of_box(*box, F.col("_level"))
+        elif field == "amenities":
+            values = F.array(F.xxhash64("_rarest"))
+        else:
+            values = F.col(field).cast("array<long>")
+        keys = keys.when(F.col("_shape") == shape, values)
+    met = sides.withColumn("_shape", first)
+    met = met.withColumn("_level", F.when(F.col("_shape") == 4, level))
+    return met.withColumn("_key", F.explode(keys)).drop("_rarest")
+
+
+def _listing_keys(shape: int, keyed: DataFrame, levels: Sequence[int]) -> Column:
+    """The keys of a listing in one shape, as an array of whole numbers."""
+    field = _SHAPES.get(shape)
+    if field == "near":
+        return F.array(*[geometry.grid_cell(F.col("_latitude"), F.col("_longitude"), F.lit(level)) for level in levels])
+    if field == "amenities":
+        held = F.transform(F.array_distinct("amenities"), lambda a: F.xxhash64(a))
+        wanted = keyed.where(F.col("_shape") == shape).select("_key").distinct().limit(_NAMED_AMENITIES + 1).collect()
+        if len(wanted) <= _NAMED_AMENITIES:
+            held = F.array_intersect(held, F.array(*[F.lit(w["_key"]) for w in wanted]).cast("array<long>"))
+        return F.coalesce(held, F.array().cast("array<long>"))
+    return F.array((F.col(f"_{ANY_OF[field]}") if field else F.lit(0)).cast("long"))
 
 
 def _joined(
     listings: DataFrame, keyed: DataFrame, condition: Column, row_bytes: int = 256
 ) -> DataFrame:
-    # At most four rows: how many requests there are of each shape.
-    sizes = {r["_shape"]: r["count"] for r in keyed.groupBy("_shape").count().collect()}
+    # At most six rows: how many requests there are of each shape, and which grids they use.
+    sizes = keyed.groupBy("_shape").agg(F.count("*").alias("n"), F.collect_set("_level").alias("levels")).collect()
+    levels = sorted(level for r in sizes for level in r["levels"])
     most = min(config.BROADCAST_MAX_ROWS, config.BROADCAST_MAX_BYTES // row_bytes)
-    small = sum(sizes.values()) <= most
+    small = sum(r["n"] for r in sizes) <= most
     # Requests that fit on every executor meet the listings where those are read. Others
     # are shuffled, and the listings of one value are cut into slices.
     tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = {shape: 1 if small else _SLICES if shape else max(tasks, _SLICES) for shape in sizes or (0,)}
-    keys = [
-        F.struct(
-            F.lit(shape).alias("_shape"),
-            F.col(f"_{ANY_OF[_JOIN_FIELDS[shape - 1]]}").alias("_key") if shape else F.lit(0).alias("_key"),
-            F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("_slice"),
+    slices = {shape: 1 if small else _SLICES if shape else max(tasks, _SLICES) for shape in [r["_shape"] for r in sizes] or [0]}
+
+    def placed(shape: int, count: int) -> Column:
+        piece = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("_slice")
+        return F.transform(
+            _listing_keys(shape, keyed, levels),
+            lambda key: F.struct(F.lit(shape).alias("_shape"), key.alias("_key"), piece),
         )
-        for shape, count in slices.items()
-    ]
+
+    keys = [placed(shape, count) for shape, count in slices.items()]
     # Each listing meets many requests: few files are first spread over more tasks.
     rows = spread(listings, "id", parts=len(listings.inputFiles()))
-    left = _listing_side(rows).select("*", F.inline(F.array(*keys))).alias("l")
+    left = _listing_side(rows).select("*", F.inline(F.concat(*keys))).alias("l")
     copies = F.lit(0)
     for shape, count in slices.items():
         copies = F.when(F.col("_shape") == shape, count - 1).otherwise(copies)
@@ -427,7 +469,9 @@ def match(
     of them may be sent to every executor.
     """
     every = functools.reduce(operator.and_, [holds for _, holds in _pair_terms()])
-    pairs = _joined(listings, _keyed(sets), every, row_bytes)
+    # Read by the size check and the join, and with the amenities' counts behind it: kept once.
+    keyed = stable(_keyed(sets, _rarest(sets, amenity_counts(listings, sets))))
+    pairs = _joined(listings, keyed, every, row_bytes)
     return pairs.select(
         "f.request_id", *[F.col(f"f.{c}") for c in carry], *[F.col(f"l.{c}") for c in columns]
     )
@@ -456,19 +500,6 @@ def _once(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return different, keyed.select("request_id", "filter_key")
 
 
-def count_per_request(listings: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(request_id, matches)`` with a zero for a request that matches nothing.
-
-    A filter that several requests share is matched once.
-    """
-    different, requests = _once(sets)
-    hits = match(listings, different, ()).groupBy("request_id").agg(F.count("*").alias("matches"))
-    hits = hits.withColumnRenamed("request_id", "filter_key")
-    return requests.join(hits, "filter_key", "left").select(
-        "request_id", F.coalesce("matches", F.lit(0)).alias("matches")
-    )
-
-
 def field_stats(listings: DataFrame, field: str, given: Mapping | None = None) -> DataFrame:
     """Specified behaviour: min, max, exact median and non-null count under one filter set."""
     if field not in STATISTIC_COLUMNS:
@@ -482,23 +513,3 @@ def field_stats(listings: DataFrame, field: str, given: Mapping | None = None) -
         F.lit(field).alias("field"), "min", "max", "median", "non_null"
     )
 
-
-def leave_one_out(listings: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(request_id, field, rows)``: listings that only this one condition keeps out."""
-    different, requests = _once(sets)
-    keyed = _keyed(different, near_misses=True)
-    # How many conditions fail, and the sum of their numbers: with one failure, its number.
-    fails = [(F.when(holds, 0).otherwise(1), field) for field, holds in _pair_terms()]
-    count = functools.reduce(operator.add, [failed for failed, _ in fails])
-    number = functools.reduce(operator.add, [failed * i for i, (failed, _) in enumerate(fails)])
-    names = F.array(*[F.lit(field) for _, field in fails])
-    expected = F.col("f._only").isNull() | (number == F.col("f._only"))
-    near_miss = _joined(listings, keyed, (count == 1) & expected)
-    costs = (
-        near_miss.select(F.col("f.request_id").alias("filter_key"), number.alias("_number"))
-        .groupBy("filter_key", "_number")
-        .agg(F.count("*").alias("rows"))
-    )
-    return requests.join(costs, "filter_key").select(
-        "request_id", F.get(names, F.col("_number")).alias("field"), "rows"
-    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roostline import config
-from roostline.operators import filters
+from roostline.operators import counting, filters
 from roostline.session import stable
 
 # A request that cannot seat its party is not an answer, so this bound never moves.
@@ -25,14 +25,14 @@ _WHOLE = ("min_bedrooms", "min_beds", "max_minimum_nights", "min_reviews")
 
 def constraint_cost(listings: DataFrame, sets: DataFrame) -> DataFrame:
     """``(request_id, field, rows)``: listings kept out by this condition alone."""
-    return filters.leave_one_out(listings, sets)
+    return counting.leave_one_out(listings, sets)
 
 
 def thin_requests(
     listings: DataFrame, sets: DataFrame, threshold: int = config.THIN_RESULT_THRESHOLD
 ) -> DataFrame:
     """``(request_id, matches)`` of requests with fewer results than ``threshold``."""
-    return filters.count_per_request(listings, sets).where(F.col("matches") < threshold)
+    return counting.count_per_request(listings, sets).where(F.col("matches") < threshold)
 
 
 def most_restrictive(costs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def relax(
     The number of jobs depends on ``rounds`` alone, not on the requests.
     """
     current = filters.canonical(sets).drop("filter_key").withColumn("rounds_used", F.lit(0))
-    current = stable(current.join(filters.count_per_request(listings, current), "request_id"))
+    current = stable(current.join(counting.count_per_request(listings, current), "request_id"))
     for _ in range(rounds):
         thin = current.where(F.col("matches") < threshold).drop("matches")
         if thin.isEmpty():
@@ -110,7 +110,7 @@ def relax(
         )
         moved = stable(loosen(thin, picks, step).withColumn("rounds_used", F.col("rounds_used") + 1))
         # Only what moved is counted again.
-        counted = moved.join(filters.count_per_request(listings, moved), "request_id")
+        counted = moved.join(counting.count_per_request(listings, moved), "request_id")
         kept = current.join(moved.select("request_id"), "request_id", "left_anti")
         current = stable(kept.unionByName(counted))
     return current

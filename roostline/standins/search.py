@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roostline import config
-from roostline.operators import cells, evaluation, filters, relax, search
+from roostline.operators import cells, counting, evaluation, filters, relax, search
 from roostline.session import stable
 from roostline.standins import relations as r
 
@@ -97,7 +97,7 @@ _CANONICAL_SQL = (
 
 
 def counts(spark, sf):
-    return filters.count_per_request(r.listings(spark, sf, vectors=False), _sets(spark, sf, "customer"))
+    return counting.count_per_request(r.listings(spark, sf, vectors=False), _sets(spark, sf, "customer"))
 
 
 _COUNTS_SQL = (
@@ -346,7 +346,7 @@ def audit(spark, sf):
     sets = _sets(spark, sf, "customer")
     picks = sets.select("request_id", F.lit("max_price").alias("field"))
     moved = relax.loosen(sets.drop("filter_key"), picks).withColumn("rounds_used", F.lit(1))
-    counted = filters.count_per_request(r.listings(spark, sf, vectors=False), moved)
+    counted = counting.count_per_request(r.listings(spark, sf, vectors=False), moved)
     out = relax.audit(sets, moved.join(counted, "request_id"))
     return out.withColumn("changed_fields", F.array_join("changed_fields", ","))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from roostline import config
 from roostline.errors import InvalidFilterError, UnknownFieldError
+from roostline.functions import geometry
 from roostline.functions.geometry import box_around
-from roostline.operators import filters, relax
+from roostline.operators import counting, filters, relax
 
 COLUMNS = (
     "id int, source_listing_id long, neighbourhood_id int, room_type_id smallint, property_type_id smallint, latitude double, "
@@ -141,7 +142,7 @@ def test_batch_match_both_ways(monkeypatch, listings, rows, sets, requests, smal
 def test_counts(monkeypatch, listings, rows, sets, requests, small):
     if not small:
         monkeypatch.setattr(config, "BROADCAST_MAX_ROWS", 0)
-    got = {r["request_id"]: r["matches"] for r in filters.count_per_request(listings, sets).collect()}
+    got = {r["request_id"]: r["matches"] for r in counting.count_per_request(listings, sets).collect()}
     assert got == {name: len(matching(rows, given)) for name, given in requests.items()}
 
 
@@ -149,28 +150,78 @@ def test_a_shared_filter_is_matched_once(spark, listings):
     sets = filters.filter_sets(spark, {"a": {"room_type_ids": [2, 1]}, "b": {"room_type_ids": [1, 2, 2]}, "c": {}})
     different, _ = filters._once(sets)
     assert different.count() == 2
-    got = {r["request_id"]: r["matches"] for r in filters.count_per_request(listings, sets).collect()}
+    got = {r["request_id"]: r["matches"] for r in counting.count_per_request(listings, sets).collect()}
     assert got["a"] == got["b"] == filters.where(listings, {"room_type_ids": [1, 2]}).count() and got["c"] == listings.count()
 
 
 def test_requests_meet_only_the_values_they_pin(spark):
     sets = filters.filter_sets(spark, {"a": {"neighbourhood_ids": [4, 9], "room_type_ids": [1]}, "b": {"room_type_ids": [2]}, "c": {}})
-    keys = lambda near: {(r["request_id"], r["_shape"], r["_key"], r["_only"]) for r in filters._keyed(sets, near).collect()}
-    number = {f: i for i, (f, _) in enumerate(filters._pair_terms())}
-    plain = {("a", 1, 4, None), ("a", 1, 9, None), ("b", 3, 2, None), ("c", 0, 0, None)}
-    assert keys(False) == plain
-    assert keys(True) == plain | {("a", 3, 1, number["neighbourhood_ids"]), ("b", 0, 0, number["room_type_ids"])}
+    keys = {(r["request_id"], r["_shape"], r["_key"]) for r in filters._keyed(sets).collect()}
+    assert keys == {("a", 1, 4), ("a", 1, 9), ("b", 3, 2), ("c", 0, 0)}
+
+
+def test_boxes_and_amenities_are_joined_on(spark, listings, rows):
+    near = {"latitude": 51.5, "longitude": 0.0, "radius_km": 2.0}
+    wanted = {"a": {"amenities": ["wifi", "crib", "pool"]}, "b": {"near": near, "amenities": ["wifi"]}, "c": {"room_type_ids": [1], "amenities": ["nowhere", "wifi"]}}
+    sets = filters.canonical(filters.filter_sets(spark, wanted))
+    counts = {r["amenity"]: r["n"] for r in filters.amenity_counts(listings, sets).collect()}
+    assert counts == {a: sum(a in r["amenities"] for r in rows) for a in ("wifi", "crib", "pool")}
+    rarest = {tuple(r["amenities"]): r["_rarest"] for r in filters._rarest(sets, filters.amenity_counts(listings, sets)).collect()}
+    assert rarest == {("crib", "pool", "wifi"): min(counts, key=lambda a: (counts[a], a)), ("wifi",): "wifi", ("nowhere", "wifi"): "nowhere"}
+    shapes = {r["request_id"]: r["_shape"] for r in filters._keyed(sets).collect()}
+    assert shapes == {"a": 5, "b": 4, "c": 5}
+    got = {}
+    for r in filters.match(listings, sets).collect():
+        got.setdefault(r["request_id"], []).append(r["id"])
+    assert {n: sorted(got.get(n, [])) for n in wanted} == {n: sorted(matching(rows, g)) for n, g in wanted.items()}
+
+
+def test_open_requests_alone_meet_every_listing(spark, listings):
+    pinned = filters.filter_sets(spark, {"a": {"amenities": ["wifi"]}, "b": {"near": {"latitude": 51.5, "longitude": 0.0, "radius_km": 9.0}}, "c": {"property_type_ids": [1]}})
+    assert filters._keyed(pinned).where("_shape = 0").isEmpty()
+    plan = filters.match(listings, pinned)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_counts_make_no_pairs(listings, sets):
+    for counted in (counting.count_per_request(listings, sets), counting.leave_one_out(listings, sets)):
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "NestedLoop" not in plan and "Generate" not in plan
+
+
+def test_filters_are_counted_in_blocks(monkeypatch, listings, rows, sets, requests):
+    monkeypatch.setattr(counting, "BLOCK_FILTERS", 7)
+    got = {r["request_id"]: r["matches"] for r in counting.count_per_request(listings, sets).collect()}
+    assert got == {name: len(matching(rows, given)) for name, given in requests.items()}
+
+
+PLACES = [(lat, lon) for lat in (-90.0, -89.99, -45.0, 0.0, 51.5, 89.2, 90.0) for lon in (-180.0, -179.9, -90.0, 0.0, 0.05, 179.95, 180.0)]
+
+
+@pytest.mark.parametrize("near", [(51.5, 0.0, 4.0), (51.5, 0.0, 200.0), (89.0, 30.0, 150.0), (-89.5, 0.0, 80.0), (0.0, 179.9, 60.0), (-45.0, -179.99, 5.0), (0.0, 0.0, 0.001), (90.0, 0.0, 1.0), (51.5, -90.0, 199.0)])
+def test_a_box_touches_the_cells_of_all_its_places(spark, near):
+    sets = filters.filter_sets(spark, {"a": {"near": dict(zip(("latitude", "longitude", "radius_km"), near))}})
+    keyed = filters._keyed(sets).collect()
+    assert 1 <= len(keyed) <= 18 and len({r["_level"] for r in keyed}) == 1 and len({r["_key"] for r in keyed}) == len(keyed)
+    side, level = keyed[0], keyed[0]["_level"]
+    rng = random.Random(3)
+    around = [(near[0] + rng.uniform(-2, 2), near[1] + rng.uniform(-4, 4)) for _ in range(200)]
+    points = spark.createDataFrame([*PLACES, *around, (side["_south"], near[1]), (side["_north"], near[1])], "latitude double, longitude double")
+    cell = geometry.grid_cell(F.col("latitude"), F.col("longitude"), F.lit(level))
+    inside = points.where(F.col("latitude").between(side["_south"], side["_north"]) & F.col("longitude").between(side["_west"], side["_east"]))
+    found = {r["cell"] for r in inside.select(cell.alias("cell")).collect()}
+    assert found and found <= {r["_key"] for r in keyed}
 
 
 def test_an_open_request_meets_listings_without_a_neighbourhood(spark, listings):
     lost = listings.withColumn("neighbourhood_id", F.lit(None).cast("int"))
     sets = filters.filter_sets(spark, {"a": {}, "b": {"neighbourhood_ids": [1]}})
-    got = {r["request_id"]: r["matches"] for r in filters.count_per_request(lost, sets).collect()}
+    got = {r["request_id"]: r["matches"] for r in counting.count_per_request(lost, sets).collect()}
     assert got == {"a": listings.count(), "b": 0}
 
 
 def test_leave_one_out(listings, rows, sets, requests):
-    got = {(r["request_id"], r["field"]): r["rows"] for r in filters.leave_one_out(listings, sets).collect()}
+    got = {(r["request_id"], r["field"]): r["rows"] for r in counting.leave_one_out(listings, sets).collect()}
     for name, given in requests.items():
         for field in given:
             others = {k: v for k, v in given.items() if k != field}
