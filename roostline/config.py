@@ -99,8 +99,6 @@ EXCERPT_WORDS = 150
 # A table is sent to every executor only below this many rows and bytes.
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-# Rows of one key that a running total handles in one task.
-RUNNING_CHUNK = 4096
 # Request vectors and listing vectors that meet as one group in a Python worker, and the
 # listings whose distances are held at once.
 QUERY_BLOCK = 1024

@@ -32,9 +32,11 @@ def excerpts(
     words of the excerpt; no more are brought together, however many a listing has.
     """
     gap = f"[{WHITESPACE}]+"
+    # A scrub never empties a text, so only what is shown has to be scrubbed and split.
+    told = reviews.where(F.col("comments").rlike(f"[^{WHITESPACE}]")).select("listing_id", "id", "date", "comments")
+    newest = newest_children(told, words, key="listing_id", date="date", position="id")
     spoken = F.slice(F.filter(F.split(without_names(F.col("comments")), gap), lambda w: w != ""), 1, words)
-    told = reviews.select("listing_id", "id", "date", spoken.alias("words")).where(F.size("words") > 0)
-    parts = newest_children(told, words, key="listing_id", date="date", position="id").select("listing_id", "recency", "words")
+    parts = newest.select("listing_id", "recency", spoken.alias("words"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("recency", "words"))), lambda r: r["words"])
     return parts.groupBy("listing_id").agg(
         F.array_join(F.slice(F.flatten(in_order), 1, words), " ").alias("excerpt")

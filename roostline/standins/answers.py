@@ -22,13 +22,13 @@ def scrubbed(spark, sf):
 def _reviews(spark, sf):
     """documents as reviews: the source is the listing, so a few listings hold very many."""
     return r.table(spark, sf, "documents").select(
-        F.abs(F.hash("source") % 100000).alias("listing_id"), "source", F.col("doc_id").alias("id"),
+        F.xxhash64("source").alias("listing_id"), "source", F.col("doc_id").alias("id"),
         F.col("n_chars").alias("date"), F.col("text").alias("comments"),
     )
 
 
 def excerpts(spark, sf):
-    names = r.table(spark, sf, "documents").select("source", F.abs(F.hash("source") % 100000).alias("listing_id")).distinct()
+    names = r.table(spark, sf, "documents").select("source", F.xxhash64("source").alias("listing_id")).distinct()
     cut = documents.excerpts(_reviews(spark, sf)).join(names, "listing_id")
     return cut.select("source", F.md5("excerpt").alias("digest"))
 
