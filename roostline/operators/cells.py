@@ -9,6 +9,11 @@ when the index is built, by how many a request wants of how many match; few matc
 that all cells left are visited, which is exact. A request that still finds fewer than it
 wants is searched exactly. Specified behaviour: what is found satisfies every condition
 and carries its true distance; only the membership of the top is approximate.
+
+The same cells give exact pools without filters (``nearest``): no vector of a cell is closer
+in angle than the cell's centre is, less the widest angle within the cell. A request
+compares itself with its nearest cells, which bounds its pool, and then with those cells
+that could still reach into it.
 """
 
 from __future__ import annotations
@@ -63,12 +68,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _cell_of(centres: np.ndarray):
-    @F.arrow_udf(T.IntegerType())
-    def nearest(vectors: pa.Array) -> pa.Array:
-        return pa.array(np.argmax(_unit(matrix(vectors)) @ centres.T, axis=1).astype(np.int32))
+def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``rows`` with the ``cell`` of the nearest centre and the cosine to it."""
+
+    @F.arrow_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("_cosine", T.DoubleType())]))
+    def place(vectors: pa.Array) -> pa.Array:
+        cosines = _unit(matrix(vectors)) @ centres.T
+        cell = np.argmax(cosines, axis=1)
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cosines[np.arange(len(cell)), cell])], ["cell", "_cosine"])
 
-    return nearest
+    return rows.withColumn("_place", place("embedding")).select(*rows.columns, "_place.*")
 
 
 def _centres(rows: DataFrame, cells: int, total: int) -> np.ndarray:
@@ -90,7 +99,7 @@ def _summaries(rows: DataFrame, amenities: tuple[str, ...]) -> list:
     # More ids than IDS_MAX say nothing: such a cell is not ruled out by that dimension.
     sets = [F.collect_set(c).alias(c) for c in filters.ANY_OF.values()]
     known = [F.max(F.array_contains("amenities", a)).alias(f"amenity_{i}") for i, a in enumerate(amenities)]
-    out = sides.groupBy("cell").agg(F.count("*").alias("rows"), *ends, *places, *sets, *known)
+    out = sides.groupBy("cell").agg(F.count("*").alias("rows"), F.min("_cosine").alias("widest"), *ends, *places, *sets, *known)
     short = {c: F.when(F.size(c) <= IDS_MAX, F.col(c)) for c in filters.ANY_OF.values()}
     return out.withColumns(short).orderBy("cell").collect()
 
@@ -109,21 +118,19 @@ def build(listings: DataFrame, limit: int = 10, cells: int | None = None) -> Ind
     if not total:
         return Index(rows.withColumn("cell", F.lit(0)), 0, np.zeros((0, 0)), [], (), ())
     wanted = cells or round(total**0.5)
-    centres = _centres(rows, max(1, min(wanted, total, CELLS_MAX)), total) if min(wanted, total) > 1 else None
-    if centres is None:
-        placed = rows.withColumn("cell", F.lit(0))
+    if min(wanted, total) > 1:
+        centres = _centres(rows, min(wanted, total, CELLS_MAX), total)
     else:
-        placed = rows.withColumn("cell", _cell_of(centres)("embedding"))
+        centres = _unit(np.array([rows.select("embedding").first()[0]], np.float64))
+    placed = _placed(rows, centres)
     path = scratch_path(spark, "cells")
     # A range split keeps a cell in few files and cuts one that many vectors fall into.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed.repartitionByRange(tasks, "cell", "id").write.partitionBy("cell").parquet(path)
     rows = spark.read.parquet(path)
-    if centres is None:
-        centres = _unit(np.array([rows.select("embedding").first()[0]], np.float64))
     amenities = _common_amenities(rows)
     summaries = _summaries(rows, amenities)
-    index = Index(rows, total, centres[[r["cell"] for r in summaries]], summaries, amenities, ())
+    index = Index(rows.drop("_cosine"), total, centres[[r["cell"] for r in summaries]], summaries, amenities, ())
     return index._replace(visits=_measured(index, limit))
 
 
@@ -283,3 +290,88 @@ def _visited_top_k(index: Index, requests: DataFrame, visits: DataFrame, limit:
     sides = asked.select("request_id", "query", "_block", "_number")
     found = search._block_product(vectors, sides, index.vectors, blocks, search._nearest_in(limit), ["request_id"], "id long, distance double")
     return search.best_per(found.withColumn("id", F.col("id").cast(index.rows.schema["id"].dataType)), ["request_id"], limit)
+
+
+# --- Exact pools --------------------------------------------------------------------
+
+# Radians by which a bound is widened, as cosines near one carry few digits of the angle.
+SLACK = 1e-6
+
+
+def _reaching(index: Index, pool: int):
+    """The function of an Arrow pass: the cells a request has to be compared with.
+
+    Without a ``bound`` those are its nearest that hold ``pool`` vectors, with one all that
+    may hold a vector no farther than that.
+    """
+    centres, sizes = index.centres, np.array([r["rows"] for r in index.cells])
+    numbers = np.array([r["cell"] for r in index.cells], np.int32)
+    widest = np.arccos(np.clip([r["widest"] for r in index.cells], -1.0, 1.0))
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            angle = np.arccos(np.clip(_unit(matrix(part.column("query"))) @ centres.T, -1.0, 1.0))
+            chosen = []
+            for row, bound in zip(angle, part.column("bound").to_pylist()):
+                if bound is None:
+                    order = np.argsort(row, kind="stable")
+                    chosen.append(numbers[order[: int(np.searchsorted(np.cumsum(sizes[order]), pool)) + 1]].tolist())
+                else:
+                    chosen.append(numbers[row - widest <= np.arccos(np.clip(1.0 - bound, -1.0, 1.0)) + SLACK].tolist())
+            yield pa.RecordBatch.from_arrays([part.column("request_id"), part.column("query"), pa.array(chosen, pa.list_(pa.int32()))], names=["request_id", "query", "cells"])
+
+    return run
+
+
+def _asked_cells(index: Index, asked: DataFrame, pool: int) -> DataFrame:
+    """``(request_id, query, cells)`` of ``asked`` (request_id, query, bound)."""
+    types = f"request_id {asked.schema['request_id'].dataType.simpleString()}, query {asked.schema['query'].dataType.simpleString()}, cells array<int>"
+    return asked.select("request_id", "query", "bound").mapInArrow(_reaching(index, pool), types)
+
+
+def _pools(index: Index, asked: DataFrame, pool: int) -> DataFrame:
+    """The nearest ``pool`` vectors of the ``cells`` of each request.
+
+    The requests of one cell are cut into blocks, and a cell's vectors into slices.
+    """
+    visits = stable(asked.withColumn("cell", F.explode("cells")).drop("cells"))
+    wanted = visits.groupBy("cell").agg(F.count("*").alias("n"))
+    wanted = wanted.select("cell", F.ceil(F.col("n") / config.QUERY_BLOCK).cast("int").alias("_blocks"))
+    # A cell and a block of its requests share one number; cells are CELLS_MAX at most.
+    block = F.pmod(F.xxhash64("request_id"), F.col("_blocks")).cast("int") * CELLS_MAX + F.col("cell")
+    sides = visits.join(wanted, "cell").select("request_id", "query", block.alias("_block"))
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: b * CELLS_MAX + F.col("cell")))
+    vectors = index.rows.select(F.col("id").cast("long").alias("id"), "embedding", "cell").join(wanted, "cell").select("id", "embedding", every.alias("_block"))
+    largest = max(r["rows"] for r in index.cells)
+    found = search._block_product(vectors, sides, largest, len(index.cells), search._nearest_in(pool), ["request_id"], "id long, distance double")
+    return search.best_per(found, ["request_id"], pool)
+
+
+def nearest(index: Index, queries: DataFrame, pool: int) -> DataFrame:
+    """``(request_id, id, distance, place)``: the exact ``pool`` nearest vectors, filters ignored.
+
+    What ``search.nearest`` returns for queries with a direction, a query without one has no
+    rows; cells that cannot reach into a request's pool are not compared with it.
+    """
+    search.check_arguments(limit=pool)
+    if pool > index.vectors:
+        raise ValueError(f"a pool of {pool} is more than the {index.vectors} vectors of the index")
+    visits, _ = _exact_visits(index, queries, pool)
+    return _pools(index, visits, pool)
+
+
+def _exact_visits(index: Index, queries: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+    """The cells of each request for the first comparison and for the exact one."""
+    asked = stable(queries.select("request_id", "query"))
+    first = stable(_asked_cells(index, asked.withColumn("bound", F.lit(None).cast("double")), pool))
+    bounds = _pools(index, first, pool).groupBy("request_id").agg(F.max("distance").alias("bound"))
+    exact = stable(_asked_cells(index, asked.join(bounds, "request_id"), pool))
+    return exact, first
+
+
+def skipped(index: Index, queries: DataFrame, pool: int) -> DataFrame:
+    """``(request_id, compared, skipped)``: vectors the exact pool of a request looks at, and leaves out."""
+    exact, _ = _exact_visits(index, queries, pool)
+    sizes = F.create_map(*[x for r in index.cells for x in (F.lit(r["cell"]), F.lit(r["rows"]))])
+    compared = F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + F.element_at(sizes, c))
+    return exact.select("request_id", compared.alias("compared"), (F.lit(index.vectors) - compared).alias("skipped"))

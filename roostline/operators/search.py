@@ -359,10 +359,18 @@ def nearest(listings: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
 
 
 def post_filter_top_k(
-    listings: DataFrame, requests: DataFrame, limit: int, pool: int = config.CANDIDATE_POOL
+    listings: DataFrame,
+    requests: DataFrame,
+    limit: int,
+    pool: int = config.CANDIDATE_POOL,
+    pools: DataFrame | None = None,
 ) -> DataFrame:
-    """Nearest ``pool`` listings first, filters afterwards: few may survive."""
-    near = nearest(listings, requests, pool).select("request_id", "id", "distance")
+    """Nearest ``pool`` listings first, filters afterwards: few may survive.
+
+    ``pools`` are the nearest listings of every request where they are known already, as
+    from an index of cells.
+    """
+    near = (nearest(listings, requests, pool) if pools is None else pools).select("request_id", "id", "distance")
     # Only the pools are checked against the filters, not all listings.
     kept = filters.keep_matching(near, listings.drop("embedding"), requests.drop("query"))
     return best_per(kept, ["request_id"], limit)

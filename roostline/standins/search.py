@@ -209,6 +209,13 @@ def post_filter(spark, sf):
     return search.post_filter_top_k(r.listings(spark, sf), r.requests(spark, sf), 5, 50)
 
 
+def post_filter_of_cells(spark, sf):
+    """The same, with the pools from stored cells that leave out what cannot reach into them."""
+    listings, asked = r.listings(spark, sf), r.requests(spark, sf)
+    pools = cells.nearest(cells.build(listings, 5), asked, 50)
+    return search.post_filter_top_k(listings, asked, 5, 50, pools)
+
+
 _NEAR_SQL = f"SELECT q.request_id, CAST(l.id AS BIGINT) AS id, {_DQ} AS distance, {_MATCH_Q} AS ok FROM q, l WHERE l.embedding IS NOT NULL"
 _POST_SQL = (
     "SELECT * FROM (SELECT request_id, id, distance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS INT) AS place "
@@ -406,6 +413,7 @@ QUERIES = {
     "F5_plan_report": (plan, _PLAN_SQL),
     "F7_batch_top_k": (batch, _L + _best(_PAIRS_SQL, "request_id", 5)),
     "F8_post_filter": (post_filter, _L + _POST_SQL),
+    "F8_pools_of_cells": (post_filter_of_cells, _L + _POST_SQL),
     "F9_widening": (widening, _L[:-1] + ", " + _WIDE_SQL),
     "F10_candidate_pool": (
         pool,

@@ -87,6 +87,20 @@ def test_near_listings_are_found_in_few_cells(index, listings, rows, requests, w
     assert plan["everything"]["visited_rows"] < index.vectors / 4
 
 
+def test_exact_pools_skip_far_cells(index, listings, requests):
+    asked = requests.where("exists(query, x -> x <> 0)")
+    assert asked.count() < requests.count()
+    got = cells.nearest(index, requests, 12)
+    plain = search.nearest(listings, asked, 12)
+    show = lambda df: sorted((r["request_id"], r["place"], r["id"], r["distance"]) for r in df.collect())
+    assert show(got) == show(plain)
+    told = cells.skipped(index, asked, 12).agg(F.sum("compared").alias("c"), F.sum("skipped").alias("s"), F.min("compared").alias("least")).first()
+    assert told["c"] + told["s"] == index.vectors * asked.count() and told["least"] >= 12
+    assert told["s"] > 0.5 * (told["c"] + told["s"])
+    with pytest.raises(ValueError, match="more than"):
+        cells.nearest(index, asked, index.vectors + 1)
+
+
 def test_small_and_empty_tables(spark, listings, requests):
     one = listings.where("id = 2")
     assert {r["id"] for r in cells.top_k(cells.build(one), requests, 3).collect()} == {2}
