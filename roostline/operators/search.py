@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roostline import config
@@ -75,6 +75,24 @@ def check_pool(pool: int, bound: int = config.POOL_BOUND) -> int:
     return pool
 
 
+def argument_problems(
+    limit: Column, cap: Column, pool: Column, query: Column, width: int, bound: int = config.POOL_BOUND
+) -> Column:
+    """What ``check_arguments`` and ``check_pool`` would refuse, named, for a table of searches.
+
+    A missing number or vector is refused as well; usable arguments give an empty array.
+    """
+    known = F.size(query) > 0
+    checks = (
+        ("limit", F.coalesce(limit < 1, F.lit(True))),
+        ("cap", F.coalesce(cap < 1, F.lit(True))),
+        ("pool", F.coalesce(~pool.between(1, bound), F.lit(True))),
+        ("query", ~F.coalesce(known, F.lit(False))),
+        ("width", known & (F.size(query) != width)),
+    )
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))
+
+
 def ranked(listings: DataFrame, query: Sequence[float], columns: Sequence[str]) -> DataFrame:
     """Listings with a vector and their distance to ``query``."""
     return listings.where(F.col("embedding").isNotNull()).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,24 +92,55 @@ def respellings(counts: DataFrame) -> DataFrame:
     return joined.where(F.col("spelling") != F.col("canonical")).select("spelling", "canonical")
 
 
+# Spellings that are dealt with inside the rows. Any other is at most one in so many entries,
+# so none of them is a hot key.
+HOT_SPELLINGS = 32
+
+
+def hot_spellings(uses: DataFrame, losers: DataFrame, most: int = HOT_SPELLINGS) -> dict[str, str]:
+    """The ``most`` used spellings of ``uses`` (spelling, uses), each with what replaces it."""
+    summed = uses.groupBy("spelling").agg(F.sum("uses").alias("uses"))
+    top = summed.orderBy(F.desc("uses"), "spelling").limit(most).join(losers, "spelling", "left")
+    # ``most`` rows come to the driver.
+    return {r["spelling"]: r["canonical"] or r["spelling"] for r in top.collect()}
+
+
+def cold_entries(rows: DataFrame, key: str, hot: Mapping[str, str], column: str = "amenities") -> DataFrame:
+    """``(key, spelling)`` of the list entries that no hot spelling covers."""
+    return rows.select(key, F.explode(F.filter(column, lambda a: ~a.isin(*hot)) if hot else column).alias("spelling"))
+
+
 def rewrite_spellings(
-    rows: DataFrame, key: str, losers: DataFrame, column: str = "amenities"
+    rows: DataFrame, key: str, losers: DataFrame, column: str = "amenities", uses: DataFrame | None = None
 ) -> DataFrame:
     """Each list with losing spellings replaced, order kept.
 
-    Only rows that hold a losing spelling travel: their replacements come back as one
-    small map per row and the lists themselves never leave their rows.
+    The hottest spellings are found first, from ``uses`` where they are counted already,
+    and replaced inside their rows. Of the rest only rows that hold a losing spelling
+    travel: their replacements come back as one small map per row and the lists
+    themselves never leave their rows.
     """
+    if uses is None:
+        uses = rows.select(F.explode(column).alias("spelling")).groupBy("spelling").agg(F.count("*").alias("uses"))
+    hot = hot_spellings(uses, losers)
     changes = (
-        rows.select(key, F.explode(column).alias("spelling"))
+        cold_entries(rows, key, hot, column)
         .join(losers, "spelling")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_set(F.struct("spelling", "canonical"))).alias("_swap"))
     )
-    swapped = F.transform(column, lambda a: F.coalesce(F.element_at("_swap", a), a))
+    # The map holds the hot losers alone; a lookup reads it through.
+    inside = [F.lit(x) for pair in hot.items() if pair[0] != pair[1] for x in pair]
+    known = F.create_map(*inside) if inside else None
+
+    def swapped(a: Column) -> Column:
+        found = F.element_at("_swap", a)
+        return F.coalesce(found, a) if known is None else F.coalesce(F.element_at(known, a), found, a)
+
+    touched = F.col("_swap").isNotNull() if known is None else F.lit(True)
     return (
         rows.join(changes, key, "left")
-        .withColumn(column, F.when(F.col("_swap").isNull(), F.col(column)).otherwise(swapped))
+        .withColumn(column, F.when(touched, F.transform(column, swapped)).otherwise(F.col(column)))
         .drop("_swap")
     )
 

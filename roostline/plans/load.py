@@ -157,7 +157,7 @@ def _load(
         "amenity_names", FILE_POSITION
     )
     respelled = vocabulary.rewrite_spellings(
-        listed, "source_listing_id", vocabulary.respellings(spellings)
+        listed, "source_listing_id", vocabulary.respellings(spellings), uses=spellings
     )
     collapsed = mapping.select(F.col("name").alias("property_type"), "collapsed")
     staged = respelled.join(collapsed, "property_type").withColumn("property_type", F.col("collapsed"))

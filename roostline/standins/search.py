@@ -154,6 +154,26 @@ def pool(spark, sf):
     return search.candidates(r.listings(spark, sf), {"min_accommodates": 2}, _query(spark, sf))
 
 
+def guards(spark, sf):
+    """Every customer's search arguments: a vector of full, of shorter and of no length among them."""
+    vectors = r.table(spark, sf, "embeddings").select(F.col("vec_id").alias("c_custkey"), "embedding")
+    asked = r.table(spark, sf, "customer").join(vectors, "c_custkey", "left")
+    width = F.when(F.col("c_custkey") % 6 == 1, 3).when(F.col("c_custkey") % 6 == 2, 0).otherwise(F.size("embedding"))
+    named = search.argument_problems(
+        F.col("c_custkey") % 4, F.col("c_nationkey") % 5 - 1, F.col("c_custkey") % 130, F.slice("embedding", F.lit(1), width), 64
+    )
+    return asked.select("c_custkey", F.array_join(named, ",").alias("problems"))
+
+
+_GUARDS_SQL = """
+WITH a AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 6 WHEN 1 THEN embedding[1:3] WHEN 2 THEN embedding[1:0] ELSE embedding END AS query
+FROM customer LEFT JOIN embeddings ON c_custkey = vec_id)
+SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 4 < 1 THEN 'limit' END, CASE WHEN c_nationkey % 5 - 1 < 1 THEN 'cap' END,
+ CASE WHEN c_custkey % 130 NOT BETWEEN 1 AND 100 THEN 'pool' END, CASE WHEN coalesce(len(query), 0) = 0 THEN 'query' END,
+ CASE WHEN len(query) > 0 AND len(query) <> 64 THEN 'width' END) AS problems FROM a
+"""
+
+
 def batch(spark, sf):
     return search.batch_top_k(r.listings(spark, sf), r.requests(spark, sf), 5)
 
@@ -338,6 +358,47 @@ def relaxed(spark, sf):
     )
 
 
+def _moved_sql(field):
+    """One loosening of a field, as SQL; the near fields go together."""
+    more, less = f"CAST({1 + config.RELAX_STEP} AS DOUBLE)", f"CAST({1 - config.RELAX_STEP} AS DOUBLE)"
+    if field in filters.ANY_OF:
+        return "CAST([] AS INTEGER[])"
+    if field == "amenities":
+        return "CAST([] AS VARCHAR[])"
+    if field in ("instant_bookable", "host_is_superhost"):
+        return "NULL"
+    whole = field in ("min_bedrooms", "min_beds", "max_minimum_nights", "min_reviews")
+    if field.startswith("max_"):
+        return f"CAST(ceil({field} * {more}) AS INTEGER)" if whole else f"{field} * {more}"
+    moved = f"floor({field} * {less})" if whole else f"{field} * {less}"
+    return f"CASE WHEN {moved} > 0 THEN {f'CAST({moved} AS INTEGER)' if whole else moved} END"
+
+
+def _relaxed_sql(rounds):
+    """The rounds written one after another: counts, the worst condition of the thin requests, its loosening."""
+    lists = (*filters.ANY_OF, "amenities")
+    is_set = {f: f"len({f}) > 0" if f in lists else "near_lat IS NOT NULL" if f == "near" else f"{f} IS NOT NULL" for f in filters.FIELDS}
+    order = [f for f in (*filters.BOUNDS, "amenities", "near", *filters.ANY_OF) if f != "min_accommodates"]
+    fallback = "CASE " + " ".join(f"WHEN {is_set[f]} THEN '{f}'" for f in order) + " END"
+    kept = f"near_km * CAST({1 + config.RELAX_STEP} AS DOUBLE) <= {config.MAX_RADIUS_KM}"
+    columns = [f"CASE WHEN picked = '{f}' THEN {_moved_sql(f)} ELSE {f} END AS {f}" for f in order if f != "near"]
+    columns += [f"CASE WHEN picked = 'near' AND NOT {kept} THEN NULL ELSE {c} END AS {c}" for c in ("near_lat", "near_lon")]
+    columns.append(f"CASE WHEN picked = 'near' THEN CASE WHEN {kept} THEN near_km * CAST({1 + config.RELAX_STEP} AS DOUBLE) END ELSE near_km END AS near_km")
+    steps = [f"l AS ({r.LISTINGS_SQL}), f0 AS (SELECT *, 0 AS rounds_used FROM ({r.filter_sets_sql()}))"]
+    for i in range(rounds + 1):
+        steps.append(f"m{i} AS (SELECT f.request_id, count(l.id) AS matches FROM f{i} f LEFT JOIN l ON {r.MATCH_SQL} GROUP BY 1)")
+        if i < rounds:
+            steps += [
+                f"t{i} AS (SELECT f{i}.* FROM f{i} JOIN m{i} USING (request_id) WHERE matches < {config.THIN_RESULT_THRESHOLD})",
+                f"k{i} AS ({_cost_sql('l', f't{i}')})",
+                f"p{i} AS (SELECT request_id, arg_max(field, struct_pack(a := rows, b := field)) AS worst FROM k{i} WHERE field <> 'min_accommodates' GROUP BY 1)",
+                f"q{i} AS (SELECT request_id, coalesce(worst, {fallback}) AS picked FROM t{i} LEFT JOIN p{i} USING (request_id))",
+                f"f{i + 1} AS (SELECT request_id, min_accommodates, {', '.join(columns)}, rounds_used + CASE WHEN picked IS NULL THEN 0 ELSE 1 END AS rounds_used FROM f{i} LEFT JOIN q{i} USING (request_id))",
+            ]
+    shown = "request_id, CAST(rounds_used AS INT) AS rounds_used, matches, min_price, max_price, min_accommodates, min_rating"
+    return f"WITH {', '.join(steps)} SELECT {shown} FROM f{rounds} JOIN m{rounds} USING (request_id)"
+
+
 def unrelaxed(spark, sf):
     return _relaxed(spark, sf, 0).select("request_id", "rounds_used", "matches")
 
@@ -411,6 +472,7 @@ QUERIES = {
     "F3_branch_top_k": (per_branch, _L + _best(_BRANCH_SQL, "request_id, branch", 3)),
     "F4_branch_merge": (merged, _L + _best(f"SELECT request_id, id, distance FROM ({_best(_BRANCH_SQL, 'request_id, branch', 3)})", "request_id", 3)),
     "F5_plan_report": (plan, _PLAN_SQL),
+    "F6_argument_guards": (guards, _GUARDS_SQL),
     "F7_batch_top_k": (batch, _L + _best(_PAIRS_SQL, "request_id", 5)),
     "F8_post_filter": (post_filter, _L + _POST_SQL),
     "F8_pools_of_cells": (post_filter_of_cells, _L + _POST_SQL),
@@ -440,7 +502,7 @@ QUERIES = {
         f"WITH l AS ({r.LISTINGS_SQL}), f AS ({r.filter_sets_sql('customer')}) "
         f"SELECT request_id, count(l.id) AS matches FROM f LEFT JOIN l ON {r.MATCH_SQL} GROUP BY 1 HAVING count(l.id) < 5",
     ),
-    "G3_relaxation": (relaxed, None),
+    "G3_relaxation": (relaxed, _relaxed_sql(config.MAX_RELAXATIONS)),
     "G3_without_relaxation": (
         unrelaxed,
         _L + f"SELECT request_id, CAST(0 AS INT) AS rounds_used, count(l.id) AS matches FROM f LEFT JOIN l ON {r.MATCH_SQL} GROUP BY 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from roostline.errors import LoadError
 from roostline.operators import reconcile, vocabulary
 from roostline.plans.load import load_snapshot
-from roostline.session import scratch_path
+from roostline.session import scratch_path, stable
 from roostline.sources.tables import SnapshotStore
 from roostline.standins import relations as r
 from roostline.standins.ingest import ACCEPTED_REVIEWS_SQL, ACCEPTED_SQL, JUDGED_REVIEWS_SQL, JUDGED_SQL
@@ -50,8 +50,8 @@ def rewrite(spark, sf):
     docs = r.table(spark, sf, "documents").select(
         "doc_id", F.filter(F.split("text", " "), lambda w: w != "").alias("amenities")
     )
-    losers = vocabulary.respellings(_spellings(spark, sf))
-    out = vocabulary.rewrite_spellings(docs, "doc_id", losers)
+    spellings = stable(_spellings(spark, sf))
+    out = vocabulary.rewrite_spellings(docs, "doc_id", vocabulary.respellings(spellings), uses=spellings)
     return out.select("doc_id", F.md5(F.array_join("amenities", " ")).alias("digest"))
 
 

@@ -188,6 +188,24 @@ def test_spellings(spark):
     assert {r["id"]: r["amenities"] for r in out.collect()} == {1: ["TV", "Desk", "Wifi"], 2: ["Desk"], 3: []}
 
 
+def test_a_hot_spelling_stays_in_its_rows(spark):
+    lists = [["WIFI", f"Thing {i % 40}"] if i % 10 else [f"thing {i % 40}", "Wifi", "WIFI"] for i in range(2000)]
+    lists += [["Wifi"]] * 3000 + [["desk", "Desk", "Desk"], []]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, amenities array<string>")
+    names = rows.select(F.explode("amenities").alias("spelling")).withColumn("key", F.lower("spelling"))
+    counts = vocabulary.spelling_counts(names)
+    best = {r["key"]: r["canonical"] for r in vocabulary.canonical_spellings(counts).collect()}
+    losers = vocabulary.respellings(counts)
+    for uses in (counts, None):
+        got = vocabulary.rewrite_spellings(rows, "id", losers, uses=uses)
+        assert {r["id"]: r["amenities"] for r in got.collect()} == {i: [best[a.lower()] for a in names] for i, names in enumerate(lists)}
+    hot = vocabulary.hot_spellings(counts, losers)
+    assert hot["WIFI"] == "Wifi" and hot["Wifi"] == "Wifi" and len(hot) == vocabulary.HOT_SPELLINGS
+    left = [r["count"] for r in vocabulary.cold_entries(rows, "id", hot).groupBy("spelling").count().collect()]
+    assert left and max(left) <= sum(len(x) for x in lists) / vocabulary.HOT_SPELLINGS
+    assert vocabulary.rewrite_spellings(rows.limit(0), "id", losers).isEmpty()
+
+
 def test_rare_types_at_the_threshold(spark):
     rows = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2, "property_type string")
     out = vocabulary.collapse_rare(rows, min_listings=3).groupBy("property_type").count().collect()
