@@ -71,6 +71,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies below ``path``; none if it does not exist."""
+    files, target = _files(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(target)] if files.exists(target) else []
+
+
+def without_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
 @contextmanager
 def working_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh path below the shared folder, removed at the end however the work went."""
@@ -78,8 +90,7 @@ def working_folder(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield path
     finally:
-        files, target = _files(spark, path)
-        files.delete(target, True)
+        without_folder(spark, path)
 
 
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from roostline.operators import cost, documents, evaluation, grounding, search,
 from roostline.session import scratch_path, stored
 from roostline.standins import relations as r
 from roostline.standins import search as s
-from roostline.streaming import live_cost
+from roostline.streaming import live_cost, run_watch
 
 # --- Documents --------------------------------------------------------------------------
 
@@ -290,18 +290,38 @@ _OVERRIDE_SQL = (
 )
 
 
-def live(spark, sf):
-    """The totals again, from a stream over the same file."""
+def _stream(spark, sf):
     source = spark.read.parquet(f"{sf}/conversations.parquet").schema
     stream = spark.readStream.schema(source).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    return stream.selectExpr(*r.columns(r.CALL))
+
+
+def live(spark, sf):
+    """The totals again, from a stream over the same file."""
     root = scratch_path(spark, "live")
-    query = live_cost.start_live_totals(
-        stream.selectExpr(*r.columns(r.CALL)), cost.default_rates(spark), f"{root}/sink", f"{root}/state", until_done=True
-    )
+    query = live_cost.start_live_totals(_stream(spark, sf), cost.default_rates(spark), f"{root}/sink", f"{root}/state", until_done=True)
     query.awaitTermination()
     return _round(live_cost.latest_totals(spark, f"{root}/sink"), "cost_usd")
 
 
+def _watch(spark, sf):
+    """The sink of a watch over the same stream, merged after every batch."""
+    root = scratch_path(spark, "watch")
+    query = run_watch.start(
+        _stream(spark, sf), cost.default_rates(spark), f"{root}/sink", f"{root}/state", ceiling=0.02, compact_every=1, until_done=True
+    )
+    query.awaitTermination()
+    return f"{root}/sink"
+
+
+def watched(spark, sf):
+    return _round(run_watch.totals(spark, _watch(spark, sf)), "cost_usd")
+
+
+def watched_breaches(spark, sf):
+    return _round(run_watch.breaches(spark, _watch(spark, sf)), "spent")
+
+
 # --- Traces -----------------------------------------------------------------------------
 
 
@@ -468,6 +488,8 @@ def _pct(column, p, name):
     return f"round(quantile_cont({column}, {p}), 8) AS {name}"
 
 
+_BREACH_SQL = _P + "SELECT run_id, min(seq) AS seq, round(min_by(spent, seq), 8) AS spent FROM (SELECT run_id, seq, sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq) AS spent FROM p) WHERE spent > 0.02 GROUP BY 1"
+
 QUERIES = {
     "H1_name_scrub": (scrubbed, f"SELECT page_id, md5({s.scrubbed_sql(chr(39) + 'Hosted by Anna. ' + chr(39) + ' || html')}) AS digest FROM pages"),
     "H2_review_excerpts": (excerpts, _EXCERPT_SQL),
@@ -496,11 +518,13 @@ QUERIES = {
     "J6_usage_by_model": (by_model, _P + f"SELECT run_id, model, {_SUMS} FROM p GROUP BY 1, 2"),
     "J7_ceiling_breach": (
         breaches,
-        _P + "SELECT run_id, min(seq) AS seq, round(min_by(spent, seq), 8) AS spent FROM (SELECT run_id, seq, sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq) AS spent FROM p) WHERE spent > 0.02 GROUP BY 1",
+        _BREACH_SQL,
     ),
     "J8_projected_spend": (projected, _PROJECTED_SQL),
     "J9_rate_override": (overridden, _OVERRIDE_SQL),
     "J10_live_totals": (live, _TOTALS_SQL),
+    "J10_watched_totals": (watched, _TOTALS_SQL),
+    "J7_watched_breach": (watched_breaches, _BREACH_SQL),
     "K1_replay": (
         replay,
         _S + "SELECT run_id, step_index, name, args FROM s WHERE run_id = (SELECT run_id FROM s GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 1)",
