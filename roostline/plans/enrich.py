@@ -1,7 +1,7 @@
 """What a loaded version still lacks: document vectors and amenity columns. Specified behaviour.
 
-Each plan publishes a new version made from the current one. Tables it does not change are
-copied, as a version is one folder; that costs what writing them once costs.
+Each plan publishes a new version made from the current one; it writes only the tables it
+changes.
 """
 
 from __future__ import annotations
@@ -34,9 +34,8 @@ def _current(store: SnapshotStore) -> Row:
 
 def _publish(store: SnapshotStore, base: Row, changed: dict[str, DataFrame]) -> None:
     folder = store.begin()
-    for name in tables.SCHEMAS:
-        if name != "data_snapshot":
-            store.write(folder, name, changed.get(name, store.table(name, at=base)))
+    for name, df in changed.items():
+        store.write(folder, name, df)
     store.publish(
         folder,
         snapshot_date=base["snapshot_date"],

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -77,6 +80,43 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(target)] if files.exists(target) else []
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file, whole; False if its name is taken, however many try at once.
+
+    A local file gets its name by a link, which fails on a name in use; HDFS and ABFS do not
+    move a file onto another. Elsewhere (object stores) the file is created with "fail if it
+    exists" and appears as it is closed; S3 needs Hadoop's conditional writes for that.
+    """
+    files, target = _files(spark, path)
+    files.mkdirs(target.getParent())
+    kind = files.getScheme()
+    if kind == "file":
+        name = Path(target.toUri().getPath())
+        draft = name.with_name(f".{name.name}.{uuid.uuid4().hex}")
+        try:
+            draft.write_text(text, encoding="utf-8")
+            os.link(draft, name)
+        except FileExistsError:
+            return False
+        finally:
+            draft.unlink(missing_ok=True)
+        return True
+    moved = kind in ("hdfs", "viewfs", "abfs", "abfss")
+    made = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}") if moved else target
+    try:
+        out = files.create(made, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if moved and not files.rename(made, target):
+            files.delete(made, False)
+            return False
+    except Py4JJavaError as exc:
+        if exc.java_exception.getClass().getSimpleName() in ("FileAlreadyExistsException", "RemoteFileChangedException"):
+            return False
+        raise
+    return True
+
+
 def without_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that is no longer read."""
     files, target = _files(spark, path)

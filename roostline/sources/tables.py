@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
-from datetime import date
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roostline.errors import LoadError
-from roostline.session import exists
+from roostline.session import create_once, exists, subfolders, without_folder
 
 LISTINGS = T.StructType(
     [
@@ -107,29 +108,33 @@ def required_snapshot_date(raw: str | None) -> date:
 class SnapshotStore:
     """Versions of the snapshot tables below one folder.
 
-    Tables go to a folder of their own and become visible by one row appended to
-    ``published`` afterwards. A job that dies earlier leaves the last published version
-    as it was; readers take the newest published row.
+    A version is a small file that names a folder for each table. Tables are written first,
+    each to a folder of its own; the file is created last, whole, and only if no other
+    writer has taken its number. A job that dies earlier, or comes second, changes nothing
+    for readers. Tables that a version does not write are those of the version it was made
+    from, named and not copied, so folders have to stay while a version names them.
     """
 
-    _LOG = "version long, folder string, " + ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in DATA_SNAPSHOT.fields
+    _VERSION = (
+        "version long, folder string, tables map<string,string>, snapshot_date date, city string, "
+        "listing_count long, review_count long, loaded_at timestamp"
     )
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _log(self) -> DataFrame:
-        path = f"{self.root}/published"
-        if not exists(self.spark, path):
-            return self.spark.createDataFrame([], self._LOG)
-        return self.spark.read.schema(self._LOG).parquet(path)
+    def _path(self, version: int) -> str:
+        return f"{self.root}/published/{version:012d}.json"
+
+    def _rows(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self._VERSION).json(self._path(version))
 
     def newest(self) -> Row | None:
-        """The published row of the current version; None before any load."""
-        order = (F.desc("version"), F.asc("loaded_at"), F.asc("folder"))
-        return self._log().orderBy(*order).limit(1).first()
+        """The current version; None before any load."""
+        names = [n.removesuffix(".json") for n in subfolders(self.spark, f"{self.root}/published")]
+        versions = [int(n) for n in names if n.isdigit()]
+        return self._rows(max(versions)).first() if versions else None
 
     def begin(self) -> str:
         """The folder of a new, still invisible version."""
@@ -150,29 +155,24 @@ class SnapshotStore:
     ) -> None:
         """Make a finished version the current one.
 
-        ``base`` is the version it was made from (None: none). If another one was published
-        since, this one stays invisible and the job fails, because its ids and rows are
-        those of an older state. Of two that pass that test at once the earlier row wins,
-        for every reader, and the other fails after its append.
+        ``base`` is the version it was made from (None: none). The new version takes the
+        number after it; if another one has that number, this one stays invisible and the
+        job fails, because its ids and rows are those of an older state.
         """
-        newest = self.newest()
-        if (newest and newest["folder"]) != (base and base["folder"]):
-            raise LoadError("another version was published since this one was begun")
         version = base["version"] + 1 if base else 1
-        row = self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"),
-            F.lit(folder).alias("folder"),
-            F.lit(snapshot_date).cast("date").alias("snapshot_date"),
-            F.lit(city).alias("city"),
-            F.lit(listings).cast("long").alias("listing_count"),
-            F.lit(reviews).cast("long").alias("review_count"),
-            F.current_timestamp().alias("loaded_at"),
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
-        same = self._log().where(F.col("version") == version)
-        first = same.orderBy(F.asc("loaded_at"), F.asc("folder")).limit(1).first()
-        if first["folder"] != folder:
-            raise LoadError(f"another version {version} was published at the same time")
+        written = {t: f"{folder}/{t}" for t in subfolders(self.spark, folder)}
+        says = {
+            "version": version,
+            "folder": folder,
+            "tables": (base["tables"] if base else {}) | written,
+            "snapshot_date": snapshot_date.isoformat(),
+            "city": city,
+            "listing_count": listings,
+            "review_count": reviews,
+            "loaded_at": datetime.now(UTC).isoformat(),
+        }
+        if not create_once(self.spark, self._path(version), json.dumps(says)):
+            raise LoadError("another version was published since this one was begun")
 
     def table(
         self, name: str, columns: Sequence[str] | None = None, at: Row | None = None
@@ -187,9 +187,8 @@ class SnapshotStore:
             empty = self.spark.createDataFrame([], SCHEMAS[name])
             return empty.select(*columns) if columns else empty
         if name == "data_snapshot":
-            one = self._log().where(F.col("folder") == newest["folder"])
-            return conform(one, DATA_SNAPSHOT)
-        return scan(self.spark, f"{newest['folder']}/{name}", columns)
+            return conform(self._rows(newest["version"]), DATA_SNAPSHOT)
+        return scan(self.spark, newest["tables"][name], columns)
 
     def provenance(self) -> DataFrame:
         """Which release the current tables came from: one row."""
@@ -206,3 +205,57 @@ def write_trace(steps: DataFrame, path: str) -> None:
     steps.repartition("run_id", spread).write.partitionBy("run_id").mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).json(path)
+
+
+class PackedTraces:
+    """Steps of many runs in files of bounded size, with an index from run to file.
+
+    The steps of a batch are sorted by run and step before they are cut into files, so a run
+    is a stretch of rows in one file, or in a few if it is long; the index says which and
+    from which row on. A batch is seen once its index is written; writing it again replaces
+    it. A million runs make as many files as their bytes need.
+    """
+
+    MOST_ROWS = 1_000_000
+
+    def __init__(self, spark: SparkSession, root: str, most_rows: int = MOST_ROWS) -> None:
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.most_rows = most_rows
+
+    def write(self, steps: DataFrame, batch: str) -> None:
+        """Add the steps of one batch (``run_id``, ``step_index`` and any other columns)."""
+        into = f"{self.root}/index/batch={batch}"
+        before = self._folders(into) if exists(self.spark, into) else []
+        folder = f"{self.root}/steps/{uuid.uuid4().hex}"
+        ordered = steps.repartitionByRange("run_id", "step_index").sortWithinPartitions("run_id", "step_index")
+        ordered.write.option("maxRecordsPerFile", self.most_rows).parquet(folder)
+        stretches = (
+            self.spark.read.parquet(folder)
+            .groupBy("run_id", F.col("_metadata.file_name").alias("file"))
+            .agg(F.min("_metadata.row_index").alias("first_row"), F.min("step_index").alias("first_step"), F.count("*").alias("steps"))
+            .withColumn("folder", F.lit(folder))
+        )
+        # Sorted, so that a look-up reads one row group of each batch.
+        stretches.repartitionByRange("run_id").sortWithinPartitions("run_id").write.mode("overwrite").parquet(into)
+        for old in before:
+            without_folder(self.spark, old)
+
+    def _folders(self, index: str) -> list[str]:
+        # One folder a batch.
+        return [r["folder"] for r in self.spark.read.parquet(index).select("folder").distinct().collect()]
+
+    def index(self) -> DataFrame:
+        """(run_id, file, first_row, first_step, steps, folder, batch): one row per run and file."""
+        return self.spark.read.parquet(f"{self.root}/index")
+
+    def steps(self) -> DataFrame:
+        """The steps of all batches."""
+        return self.spark.read.parquet(*self._folders(f"{self.root}/index"))
+
+    def replay(self, run_id) -> DataFrame:
+        """The steps of one run in order, from the files that hold it; empty for an unknown run."""
+        held = self.index().where(F.col("run_id") == run_id).select("folder", "file").distinct().collect()
+        files = [f"{r['folder']}/{r['file']}" for r in held]
+        steps = self.spark.read.parquet(*files) if files else self.steps().limit(0)
+        return steps.where(F.col("run_id") == run_id).orderBy("step_index")

@@ -249,18 +249,19 @@ def table_scan(spark, sf):
 
 
 def published_version(spark, sf):
-    """orders published twice as reviews of a store; the second version is what a reader sees."""
+    """orders published twice as reviews of a store, then once more unchanged; a reader sees the second ones."""
     store = SnapshotStore(spark, scratch_path(spark, "store"))
     orders = r.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("int").alias("listing_id"),
         F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderstatus").alias("comments"),
     )
+    said = dict(snapshot_date=date(2026, 1, 2), city="Testville", listings=7)
     for part in (orders.where("comments = 'F'"), orders):
         folder = store.begin()
         store.write(folder, "reviews", part)
-        store.publish(
-            folder, snapshot_date=date(2026, 1, 2), city="Testville", listings=7, reviews=part.count(), base=store.newest()
-        )
+        store.publish(folder, **said, reviews=part.count(), base=store.newest())
+    # A version that writes nothing names the tables of the one before.
+    store.publish(store.begin(), **said, reviews=store.newest()["review_count"], base=store.newest())
     unfinished = store.begin()
     store.write(unfinished, "reviews", orders.limit(0))
     return store
@@ -284,6 +285,35 @@ def trace_sink(spark, sf):
     return back.json(path)
 
 
+_TRACE = ("run_id", "step_index", "kind", "name", "args", "output")
+
+
+def _packed(spark, sf):
+    """All steps as two batches, the first written twice: repeating a batch replaces it."""
+    packed = tables.PackedTraces(spark, scratch_path(spark, "packed"), most_rows=5_000)
+    steps = r.steps(spark, sf).select(*_TRACE)
+    for batch in ("tool_call", "tool_call", "other"):
+        packed.write(steps.where(F.col("kind").eqNullSafe("tool_call") == (batch == "tool_call")), batch)
+    return packed
+
+
+def packed_steps(spark, sf):
+    return _packed(spark, sf).steps().select(*_TRACE)
+
+
+def packed_index(spark, sf):
+    """Per batch and run: its steps and the first of them, as the index has them."""
+    return _packed(spark, sf).index().groupBy("batch", "run_id").agg(
+        F.sum("steps").alias("steps"), F.min("first_step").alias("first_step")
+    )
+
+
+def packed_replay(spark, sf):
+    packed = _packed(spark, sf)
+    busiest = packed.index().groupBy("run_id").agg(F.sum("steps").alias("n")).orderBy(F.desc("n"), "run_id").first()["run_id"]
+    return packed.replay(busiest).select(*_TRACE)
+
+
 def _judged(spark, sf):
     return stored(ingest.parse_listings(spread(r.raw_listings(spark, sf), "file_pos")), "judged")
 
@@ -380,6 +410,17 @@ QUERIES = {
         trace_sink,
         f"SELECT step_index, kind, name, args, output, run_id FROM ({r.STEPS_SQL})",
     ),
+    "A10_packed_steps": (packed_steps, f"SELECT {', '.join(_TRACE)} FROM ({r.STEPS_SQL})"),
+    "A10_packed_index": (
+        packed_index,
+        "SELECT CASE kind WHEN 'tool_call' THEN 'tool_call' ELSE 'other' END AS batch, run_id, count(*) AS steps, "
+        f"min(step_index) AS first_step FROM ({r.STEPS_SQL}) GROUP BY 1, 2",
+    ),
+    "A10_packed_replay": (
+        packed_replay,
+        f"WITH s AS ({r.STEPS_SQL}) SELECT {', '.join(_TRACE)} FROM s "
+        "WHERE run_id = (SELECT run_id FROM s GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 1)",
+    ),
     "B0_accepted_listings": (accepted, ACCEPTED_SQL),
     "B0_rejected_listings": (
         rejected,

@@ -1,4 +1,6 @@
 import gzip
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +214,36 @@ def test_two_writers_on_one_version(spark, tmp_path):
     assert store.newest() == winner and winner["version"] == base["version"] + 1
 
 
+def test_of_many_writers_at_once_one_is_seen(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    say = dict(snapshot_date=date(2026, 1, 2), city="Lockport", listings=0, reviews=0, base=None)
+    folders = [store.begin() for _ in range(8)]
+
+    def won(folder):
+        try:
+            store.publish(folder, **say)
+        except LoadError:
+            return False
+        return True
+
+    with ThreadPoolExecutor(8) as pool:
+        wins = list(pool.map(won, folders))
+    assert wins.count(True) == 1 and store.newest()["folder"] == folders[wins.index(True)]
+    assert [p.name for p in (tmp_path / "s" / "published").iterdir()] == ["000000000001.json"]
+
+
+def test_plans_after_a_load_write_only_what_they_change(spark, tmp_path):
+    store, _ = run(spark, tmp_path, tmp_path / "s")
+    loaded = store.newest()["tables"]
+    embed(spark, store, hashing_embedder())
+    embedded = store.newest()["tables"]
+    assert {t for t in loaded if loaded[t] != embedded[t]} == {"listings"}
+    index_amenities(spark, store, budget=2)
+    indexed = store.newest()["tables"]
+    assert {t for t in loaded if embedded[t] != indexed[t]} == {"listings", "amenities"}
+    assert store.table("reviews").count() == store.newest()["review_count"]
+
+
 @pytest.mark.parametrize("keep", [0, 1, 9])
 def test_review_cap(spark, tmp_path, keep):
     _, report = run(spark, tmp_path, tmp_path / "s", keep=keep)

@@ -13,7 +13,7 @@ from roostline.functions.quantiles import exact_percentiles
 from roostline.functions.running import running_totals
 from roostline.functions.text import without_names
 from roostline.operators import audit, cost, documents, evaluation, reconcile, traces, vocabulary
-from roostline.sources.tables import write_trace
+from roostline.sources.tables import PackedTraces, write_trace
 from roostline.streaming import live_cost
 
 CALLS = (
@@ -133,6 +133,28 @@ def test_trace_files(spark, steps, tmp_path):
     assert sorted(x["step_index"] for x in lines) == list(range(7))
 
 
+def test_packed_traces_find_a_run_in_its_file(spark, tmp_path):
+    data = [(run, i, f"{run}/{i}") for run in range(300) for i in range(run % 7 + 1)] + [(300, i, f"300/{i}") for i in range(2_000)]
+    random.Random(3).shuffle(data)
+    steps = spark.createDataFrame(data, "run_id long, step_index long, name string")
+    packed = PackedTraces(spark, str(tmp_path / "packed"), most_rows=500)
+    packed.write(steps.where("run_id < 290"), "monday")
+    packed.write(steps.where("run_id < 295"), "monday")
+    packed.write(steps.where("run_id >= 295"), "tuesday")
+    assert sorted(tuple(r) for r in packed.steps().collect()) == sorted(data)
+    index = packed.index().collect()
+    assert len({r["run_id"] for r in index}) == 301 and len({r["file"] for r in index}) < 40
+    for r in index[::50]:
+        held = spark.read.parquet(f"{r['folder']}/{r['file']}").select("*", "_metadata.row_index")
+        stretch = held.where(F.col("row_index").between(r["first_row"], r["first_row"] + r["steps"] - 1)).orderBy("row_index").collect()
+        assert [(x["run_id"], x["step_index"]) for x in stretch] == [(r["run_id"], r["first_step"] + i) for i in range(r["steps"])]
+    # A short run is read from one file, or two where a cut falls into it; a long one in order from its own.
+    assert len(packed.replay(13).inputFiles()) <= 2
+    for run in (0, 13, 299, 300):
+        assert [r["name"] for r in packed.replay(run).collect()] == [f"{run}/{i}" for i in range(2_000 if run == 300 else run % 7 + 1)]
+    assert packed.replay(-1).collect() == []
+
+
 @pytest.mark.parametrize("parts, apart", [(None, 1), (7, 1), (16, 1_000_003), (1, 5)])
 def test_running_totals(spark, parts, apart):
     rng = random.Random(1)
