@@ -8,7 +8,9 @@ occurrences are located by sampled suffix positions, and their spans are merged
 what is to be removed. Documents never move: the pass is narrow.
 
 The phrases go to the tasks in blocks of bounded size (``BLOCK_BYTES`` of item text); a
-larger benchmark is searched block after block, each pass adding to the spans so far.
+larger benchmark is searched block after block, each pass adding to the spans so far. The
+driver and the tasks hold one block at a time; between blocks the documents are written
+with their spans, so such a benchmark costs one copy of them per block.
 
 Defined results: null and empty texts have no words and are clean; an item without words
 has no window; an item without id counts hits but is not listed; items are listed once
@@ -19,6 +21,7 @@ null ids are no special case; empty tables give empty or clean results.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +32,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from roostline.llm import batches
 from roostline.llm.fm_index import FMIndex
+from roostline.session import scratch_path, without_folder
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -61,28 +65,25 @@ def phrases_of(texts: pa.Array, names: list, window: int) -> Phrases:
     w = batches.words(texts)
     h = batches.hashes(w)
     alphabet = np.unique(h)
-    symbol = np.searchsorted(alphabet, h) + 1
-    rows: dict[bytes, list] = {}
-    table, lengths = [], []
-    for item, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
-        size = min(window, b - a)
-        for at in range(a, b - size + 1 if size else a):
-            row = np.zeros(window, np.int64)
-            row[:size] = symbol[at : at + size]
-            key = row.tobytes()
-            if key not in rows:
-                rows[key] = []
-                table.append(row)
-                lengths.append(size)
-            if names[item] is not None:
-                rows[key].append(item)
-    lists = list(rows.values())
+    symbol = np.append(np.searchsorted(alphabet, h) + 1, 0)
+    words = np.diff(w.first)
+    size = np.minimum(words, window)
+    count = np.where(size > 0, words - size + 1, 0)
+    item = np.repeat(np.arange(len(words)), count)
+    begin = w.first[item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    place = np.arange(window)
+    inside = place < size[item][:, None]
+    table = symbol[np.where(inside, begin[:, None] + place, len(h))].reshape(-1, window)
+    rows, which = np.unique(table, axis=0, return_inverse=True)
+    named = np.array([n is not None for n in names], bool)[item]
+    pairs = np.unique(which.reshape(-1)[named] * max(1, len(names)) + item[named])
+    window_of, item_list = pairs // max(1, len(names)), pairs % max(1, len(names))
     return Phrases(
         alphabet,
-        np.array(table, np.int64).reshape(len(table), window),
-        np.array(lengths, np.int64),
-        np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64),
-        np.array([i for x in lists for i in x], np.int64),
+        rows.astype(np.int64),
+        (rows > 0).sum(1).astype(np.int64),
+        np.searchsorted(window_of, np.arange(len(rows) + 1)).astype(np.int64),
+        item_list.astype(np.int64),
         [None if n is None else str(n) for n in names],
     )
 
@@ -200,17 +201,15 @@ def _pass(phrases):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The windows of all items, in blocks of about ``block_bytes`` of item text."""
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
+    """The windows of all items, block after block of about ``block_bytes`` of item text."""
     items = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    out = []
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = part.distinct().toArrow()
-        out.append(phrases_of(rows["text"].combine_chunks(), rows["item_id"].to_pylist(), window))
-    return out
+        yield phrases_of(rows["text"].combine_chunks(), rows["item_id"].to_pylist(), window)
 
 
 def _merged(df: DataFrame) -> DataFrame:
@@ -233,11 +232,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     ``start`` and ``end`` of a span are bytes of the text's UTF-8. Several blocks may give
     spans that overlap; ``without_spans`` takes them so.
     """
-    sc = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
     doc = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
     df = documents.select(doc, F.col("text").alias("text"))
+    earlier = shared = None
     for i, block in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
-        made = batches.with_results(df, "text", RESULT, _pass(sc.broadcast(block)))
+        if i:
+            # One block at a time: what was found so far is written, its block and its input go.
+            path = scratch_path(spark, "spans")
+            df.write.parquet(path)
+            shared.destroy()
+            if earlier:
+                without_folder(spark, earlier)
+            df, earlier = spark.read.parquet(path), path
+        shared = spark.sparkContext.broadcast(block)
+        made = batches.with_results(df, "text", RESULT, _pass(shared))
         df = _merged(made) if i else made.select("row.doc", "row.text", F.col("result").alias("found"))
     return df.select(F.col("doc").alias("row"), F.col("found").alias("result"))
 
@@ -261,12 +270,12 @@ def _without(text, spans):
     return pd.Series([_cut(t, s) for t, s in zip(text, spans)])
 
 
-def without_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` with every hit span cut out of ``text``, and ``n_chars`` made to fit.
 
     Texts without a hit stay as they are, null included; text around a span stays.
     """
-    found = contaminated(documents, benchmark, window)
+    found = contaminated(documents, benchmark, window, block_bytes)
     text = F.when(F.col("result.n_hit") > 0, _without(F.col("row.text"), F.col("result.spans"))).otherwise(F.col("row.text"))
     out = found.select("row", F.col("result.n_hit").alias("n_hit"), text.alias("clean"))
     changed = {"text": F.col("clean"), "n_chars": F.when(F.col("n_hit") > 0, F.char_length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in documents.columns else None}

@@ -147,12 +147,22 @@ def train_fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(5)) != 0
 
 
-def labelled(spark, documents: DataFrame, labels: DataFrame, name: str, value: int, most: int, seed: int) -> DataFrame:
+def one_each(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row for each of ``ids``, a table of bounded size; the text of least hash if an id has several.
+
+    However many rows an id has, no more than the number of ids leave the tasks.
+    """
+    rows = documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    about = [c for c in ("n_chars",) if c in documents.columns]
+    least = F.min(F.struct(F.xxhash64("text").alias("_hash"), *about, "text")).alias("least")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", "least.text", *[f"least.{c}" for c in about])
+
+
+def labelled(documents: DataFrame, labels: DataFrame, name: str, value: int, most: int, seed: int) -> DataFrame:
     """At most ``most`` documents of the train fold whose label ``name`` is ``value``.
 
     The ids are drawn by hash, so the draw is the same on every run; ``most`` bounds them,
     which is why they may be sent to every task.
     """
     drawn = labels.where((F.col(name) == value) & train_fold(F.col("doc_id"))).select("doc_id").distinct()
-    ids = drawn.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
-    return documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    return one_each(documents, drawn.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most))

@@ -2,10 +2,11 @@
 
 Every line becomes a 128-bit hash of its key (the line without spaces at its ends, A-Z
 lower-cased). The hashes are range-partitioned and sorted by (hash, document, position)
-and streamed: a task counts the documents of each hash and notes its first occurrence,
-so a hash that fills several partitions adds up from one row per partition. What comes
-back per document is a compressed bitmap of its lines, one bit each; texts move only
-where a caller applies the bitmaps.
+and streamed twice where they lie: first for the hashes a partition begins or ends with,
+which neighbours may share and whose counts are added up; then every task, knowing those,
+counts the documents of its hashes, knows the first occurrence, and passes on the lines
+that go. What comes back per document is a compressed bitmap of its lines, one bit each;
+texts move only where a caller applies the bitmaps.
 
 Defined results: a null or empty text is one empty line; a key shorter than
 ``min_chars`` code points never counts; a document is a distinct (doc_id, text), so
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from roostline.llm import batches
-from roostline.session import stored
+from roostline.session import stable, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -99,14 +100,81 @@ def _stream(runs):
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in held[:6]], names=names)
 
 
-def repeated_hashes(ranged: DataFrame, min_docs: int) -> DataFrame:
-    """Hashes found in ``min_docs`` documents or more, with their first occurrence."""
-    part = ranged.mapInArrow(_stream, "h1 long, h2 long, n_docs long, doc_id long, text_hash long, pos long")
-    return (
-        part.groupBy("h1", "h2")
-        .agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
-        .where(F.col("n_docs") >= min_docs)
-    )
+def _edges(runs):
+    """Of what ``_stream`` says of a partition, its first and its last hash."""
+    first = last = None
+    for found in _stream(runs):
+        if found.num_rows:
+            first, last = found.slice(0, 1) if first is None else first, found.slice(found.num_rows - 1)
+    if first is not None:
+        yield first
+        if any(first.column(k) != last.column(k) for k in ("h1", "h2")):
+            yield last
+
+
+def shared_hashes(ranged: DataFrame) -> dict[tuple[int, int], tuple]:
+    """Per hash that a partition begins or ends with: its documents in all, its first occurrence.
+
+    Only these may be continued in a neighbouring partition. At most two per partition, so
+    they may come to the driver, whatever the number of lines.
+    """
+    found = ranged.mapInArrow(_edges, "h1 long, h2 long, n_docs long, doc_id long, text_hash long, pos long")
+    sums = found.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
+    return {(r["h1"], r["h2"]): (r["n"], tuple(r["first"])) for r in sums.collect()}
+
+
+def _lost(shared, min_docs: int, keep_first: bool):
+    """The lines of a partition that go: those of hashes in ``min_docs`` documents or more.
+
+    A hash that has shown ``min_docs`` documents is decided, and its lines go on at once; only
+    lines of a hash with fewer so far are held until the next batch.
+    """
+
+    def run(runs):
+        held, decided, prev = None, None, None
+        known_sums = shared.value
+        for batch in runs:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            n = batch.num_rows
+            h1, h2, pos, text = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "pos", "text_hash"))
+            ids = batch.column("doc_id")
+            row = np.stack([h1, h2, ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), text, pos])
+            differs = np.ones((6, n), bool)
+            differs[:, 1:] = row[:, 1:] != row[:, :-1]
+            if prev is not None and held is None:
+                differs[:, 0] = row[:, 0] != prev
+            same_line = ~differs.any(0)  # of a document whose row is repeated
+            new_key = differs[:2].any(0)
+            new_key[0] = True
+            new_doc = differs[:5].any(0) | new_key
+            starts = np.flatnonzero(new_key)
+            gone = np.add.reduceat(new_doc.astype(np.int64), starts) >= min_docs
+            first = np.zeros(n, bool)
+            first[starts] = True
+            if decided == (h1[0], h2[0]):
+                gone[0], first[0] = True, False
+            for g in {0, len(starts) - 1}:
+                at = starts[g]
+                if (key := (h1[at], h2[at])) in known_sums:
+                    total, (doc, of_text, of_pos) = known_sums[key]
+                    gone[g] = total >= min_docs
+                    inside = slice(at, starts[g + 1] if g + 1 < len(starts) else n)
+                    is_doc = row[2, inside] == (doc is not None)
+                    first[inside] = is_doc & (row[3, inside] == (doc or 0)) & (text[inside] == of_text) & (pos[inside] == of_pos)
+            last = (h1[-1], h2[-1])
+            wait = not gone[-1] and last not in known_sums
+            held = batch.slice(starts[-1]) if wait else None
+            decided, prev = (last if gone[-1] else None), row[:, -1]
+            mask = np.repeat(gone, np.diff(np.append(starts, n))) & ~same_line
+            if keep_first:
+                mask &= ~first
+            if mask.any():
+                yield batch.filter(pa.array(mask)).select(["doc_id", "text_hash", "pos"])
+
+    return run
 
 
 def _bitmaps(runs):
@@ -129,10 +197,10 @@ def keep_bitmaps(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     ``keep`` is a zlib-compressed bitmap, one bit a line from the first, 1 to keep; lines
     past its end stay. With ``keep_first`` the first occurrence of a line survives.
     """
-    lines = stored(line_hashes(documents, min_chars), "lines")
-    lost = lines.join(repeated_hashes(by_range(lines), min_docs), ["h1", "h2"])
-    if keep_first:
-        lost = lost.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
+    # The ranges are kept as they are cut: both passes over them are narrow.
+    ranged = stable(by_range(stored(line_hashes(documents, min_chars), "lines")))
+    shared = documents.sparkSession.sparkContext.broadcast(shared_hashes(ranged))
+    lost = ranged.mapInArrow(_lost(shared, min_docs, keep_first), "doc_id long, text_hash long, pos int")
     return (
         lost.groupBy("doc_id", "text_hash")
         .agg(F.collect_list("pos").alias("drop"))

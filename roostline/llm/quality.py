@@ -108,7 +108,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST, seed: int =
         return float(share or 0.0)
     samples = []
     for value in (0, 1):
-        drawn = features.labelled(documents.sparkSession, documents, labels, "quality", value, most, seed)
+        drawn = features.labelled(documents, labels, "quality", value, most, seed)
         samples.append(features.Sample(features.table(drawn, BITS, ()).select("result").toArrow()))
     if not samples[0].n or not samples[1].n:
         return float(share)

@@ -86,9 +86,10 @@ def train(documents: DataFrame, labels: DataFrame, most_positive: int = MOST_POS
     if not share:
         return None
     docs = documents.select("doc_id", "text")
-    positive = features.labelled(docs.sparkSession, docs, labels, "toxic", 1, most_positive, seed)
-    ids = docs.where(features.train_fold(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(most_unlabelled)
-    unlabelled = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    positive = features.labelled(docs, labels, "toxic", 1, most_positive, seed)
+    every = docs.where(features.train_fold(F.col("doc_id"))).select("doc_id").distinct()
+    ids = every.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(most_unlabelled)
+    unlabelled = features.one_each(docs, ids)
     p, u = (features.Sample(features.table(d).select("result").toArrow()) for d in (positive, unlabelled))
     if not p.n or not u.n:
         return None
