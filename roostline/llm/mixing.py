@@ -29,6 +29,7 @@ from roostline.session import stored
 WEIGHTS = (5, 2, 1)
 MOST = 3
 CHUNK_ROWS = 20_000
+BLOCKS = 20  # blocks of equal rows that make a chunk
 FAN_IN = 1_000
 EPS = 1e-9
 
@@ -39,14 +40,19 @@ def sized(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), words.alias("size"))
 
 
-def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, n_docs, source_size, target): shares of all words by weight.
+def grouped(rows: DataFrame) -> DataFrame:
+    """Equal rows of ``sized`` as one, with their number ``n``."""
+    return rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n"))
+
+
+def targets(groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(source, n_docs, source_size, target) of ``grouped`` rows: shares of all words by weight.
 
     No target is above ``most`` times its source; the excess goes to the others by weight
     until none is above. In the order of room per weight a source is full exactly if its
     room is below the share it would get with all before it full. One row a source.
     """
-    sums = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    sums = groups.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     ranked = sums.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")))
     room = (F.col("source_size") * most).cast("double")
@@ -106,8 +112,13 @@ def _evened(size: np.ndarray, wanted: np.ndarray, p: np.ndarray, held: int) -> n
 
 def _round(last: bool, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        # Equal rows came as one entry of bounded number; from here on each is its own.
+        n = rows["n"].to_numpy()
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows = rows.iloc[np.repeat(np.arange(len(rows)), n)]
+        rows = rows.assign(nth=rows["nth"].to_numpy() + offset, n=1)
         # Large documents first, so that what is left at the end is small.
-        rows = rows.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable", na_position="last")
+        rows = rows.sort_values(["size", "doc_id", "text_hash", "nth"], ascending=[False, True, True, True], kind="stable", na_position="last")
         source = rows["source"].iloc[0]
         name = zlib.crc32(source.encode()) if isinstance(source, str) else 0
         rng = np.random.default_rng([seed, name, int(rows["chunk"].iloc[0]), len(rows)])
@@ -120,16 +131,23 @@ def _round(last: bool, seed: int):
 
 
 def copies(rows: DataFrame, seed: int = 17, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """``rows`` (``sized``) with source_size, target and ``copies``, how often each is taken."""
-    rows = stored(rows, "sized")
-    goal = stored(targets(rows), "targets")
+    """``rows`` (``sized``) with source_size, target and ``copies``, how often each is taken.
+
+    Equal rows are numbered by ``nth`` from 0. They are dealt over the chunks in blocks of
+    bounded size, so that a row repeated any number of times is not one chunk.
+    """
+    groups = stored(grouped(rows), "sized")
+    goal = stored(targets(groups), "targets")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = rows.alias("r").join(goal.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    block = max(1, chunk_rows // BLOCKS)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("nth")
+    blocks = groups.select("*", first).withColumn("n", F.least(F.col("n") - F.col("nth"), F.lit(block)))
+    joined = blocks.alias("r").join(goal.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     open_ = joined.select(
-        "r.doc_id", "r.source", "r.text_hash", "r.size", "t.source_size", "t.target",
+        "r.doc_id", "r.source", "r.text_hash", "r.size", "t.source_size", "t.target", "r.nth", "r.n",
         F.floor(times + EPS).cast("long").alias("whole"),
         F.greatest(times - F.floor(times + EPS), F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64("r.doc_id", "r.text_hash"), F.floor(F.col("t.n_docs") / chunk_rows) + 1).cast("long").alias("chunk"),
+        F.pmod(F.xxhash64("r.doc_id", "r.text_hash", "r.nth"), F.floor(F.col("t.n_docs") / chunk_rows) + 1).cast("long").alias("chunk"),
     )
     chunks = int((goal.agg(F.max("n_docs")).first()[0] or 0) // chunk_rows + 1)
     done = []
@@ -146,19 +164,20 @@ def copies(rows: DataFrame, seed: int = 17, chunk_rows: int = CHUNK_ROWS, fan_in
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "text_hash", "size", "nth", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
     """``documents`` with each row repeated as often as the mix takes it, maybe never.
 
-    Rows meet their counts by (doc_id, source, text); equal rows by their number.
+    Rows meet their counts by (doc_id, source, text); those equal in these by their number,
+    in the order of a hash of the whole row.
     """
     keys = ("doc_id", "source", "text_hash")
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     own = documents.select(row, "doc_id", "source", F.xxhash64("text").alias("text_hash"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    a, b = own.withColumn("nth", nth).alias("a"), copies(sized(documents)).select(*keys, "copies").withColumn("nth", nth).alias("b")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row"))) - 1
+    a, b = own.withColumn("nth", nth).alias("a"), copies(sized(documents)).select(*keys, "nth", "copies").alias("b")
     same = F.col("a.nth") == F.col("b.nth")
     for k in keys:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))

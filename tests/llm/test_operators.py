@@ -62,7 +62,6 @@ def test_decontamination_is_that_of_brute_force(spark, block_bytes):
     for r in got:
         n, hit, items = brute_hits(r.row.text, BENCHMARK)
         assert (r.result.n_words, r.result.n_hit, r.result["items"]) == (n, hit, items)
-    for _ in (1,):
     clean = {r.doc_id: r for r in decontaminate.without_spans(documents(spark), bench, block_bytes=block_bytes).collect()}
     assert words(clean[13].text) == words(prose(3, 40)) and clean[13].n_chars == len(clean[13].text)
     assert clean[4].text == prose(1, 6000) and clean[1].text is None and clean[10].text == ""
@@ -241,6 +240,35 @@ def test_mixing_meets_its_targets(spark):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in mixing.copies(mixing.sized(docs)).collect())
 
 
+def test_a_row_repeated_often_is_dealt_over_the_chunks(spark, monkeypatch):
+    longest = spark.sparkContext.accumulator(0)
+    inner = mixing._round
+
+    def watched(last, seed):
+        run = inner(last, seed)
+
+        def counting(rows):
+            out = run(rows)
+            longest.add(int(len(out) > 400))
+            return out
+
+        return counting
+
+    monkeypatch.setattr(mixing, "_round", watched)
+    data = [(1, "the same words again", "en", "s1", 1, 1, 0.1, 1, "x", "y")] * 2000
+    data += [(i, prose(i, 3 + i % 20), "en", "s1" if i % 2 else "s2", 1, 1, 0.1, 1, "x", "y") for i in range(2, 2000)]
+    got = mixing.copies(mixing.sized(documents(spark, data)), chunk_rows=100, fan_in=8).collect()
+    assert longest.value == 0 and len(got) == len(data)
+    same = [r for r in got if r.doc_id == 1]
+    assert sorted(r.nth for r in same) == list(range(2000)) and max(r.copies for r in same) - min(r.copies for r in same) <= 1
+    for source in ("s1", "s2"):
+        rows_ = [r for r in got if r.source == source]
+        assert rows_[0].source_size == sum(r["size"] for r in rows_)
+        assert abs(sum(r.copies * r["size"] for r in rows_) - rows_[0].target) <= 60
+    out = mixing.mixed(documents(spark, data)).groupBy("doc_id").count().where("doc_id = 1").first()
+    assert out["count"] == sum(r.copies for r in mixing.copies(mixing.sized(documents(spark, data))).where("doc_id = 1").collect())
+
+
 PAGE = (
     "<html><head><title>t</title><script>var t='</p>';</script></head><body><header>Site name</header><nav><a>Home</a></nav>{}"
     "<footer>&copy; all of it</footer></body></html>"
