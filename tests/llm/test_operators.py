@@ -321,6 +321,61 @@ def test_pages_without_articles_lose_only_what_a_share_of_the_host_has(spark, mo
     assert got[70] == got[71] == "the same page under two ids without any article"
 
 
+def test_repeated_runs_and_equal_blocks_are_those_of_brute_force():
+    rng = np.random.default_rng(4)
+    for run in (2, 3, 5):
+        blocks = [[int(x) for x in rng.integers(2, 5, rng.integers(1, 9))] for _ in range(60)]
+        owner = [int(x) for x in np.sort(rng.integers(0, 12, 60))]
+        tokens = np.array([t for b in blocks for t in (1, *b, 0)])
+        page = np.array([p for b, p in zip(blocks, owner) for _ in range(len(b) + 2)])
+        want, whole = collections.defaultdict(set), collections.defaultdict(set)
+        for b, p in zip(blocks, owner):
+            whole[tuple(b)].add(p)
+            for i in range(len(b) - run + 1):
+                want[tuple(b[i : i + run])].add(p)
+            if len(b) < run:
+                want[(1, *b, 0)].add(p)
+        start, number, count = html_text.repeated(tokens, page, run)
+        text = lambda i: tuple(tokens[i : i + run]) if tokens[i] != 1 else tuple(tokens[i : i + 1 + list(tokens[i:]).index(0)])
+        assert {text(i): count[n] for i, n in zip(start, number)} == {k: len(v) for k, v in want.items()}
+        assert len({(text(i), n) for i, n in zip(start, number)}) == len(want)
+        start, number, count = html_text.equal_blocks(tokens, page, fm_index.suffix_order(tokens))
+        block = lambda i: tuple(tokens[i + 1 : i + list(tokens[i:]).index(0)])
+        assert len(start) == 60 and {block(i): count[n] for i, n in zip(start, number)} == {k: len(v) for k, v in whole.items()}
+
+
+@pytest.mark.parametrize("part_tokens", [html_text.PART_TOKENS, 150])
+def test_blocks_of_most_articles_of_a_host_are_furniture(spark, monkeypatch, part_tokens):
+    monkeypatch.setattr(html_text.covered_runs, "__defaults__", (html_text.RUN, html_text.PAGES, part_tokens))
+    line, shared = "Subscribe to our newsletter today", prose(81, 60)
+    # A sign-up line on all pages of a host, a passage on four of twelve; eight near copies of one story on another host.
+    text = lambda i: f"<article><p>{prose(900 + i, 30)}</p><p>{line}</p>" + f"<p>{shared}</p>" * (i < 4) + "</article>"
+    data = [(i, f"http://h/{i}", PAGE.format(text(i)), "x") for i in range(12)]
+    copy = lambda i: f"<article><p>{prose(950, 50)}</p><p>{prose(951, 50)}</p><p>end {i}</p></article>"
+    data += [(20 + i, f"http://c/{i}", PAGE.format(copy(i)), "x") for i in range(8)]
+    # Four pages are too few for a verdict, and equal pages are one.
+    data += [(40 + i, f"http://f/{i % 4}", PAGE.format(text(20 + i % 4)), "x") for i in range(40)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    for i in range(12):
+        assert got[i] == prose(900 + i, 30) + ("\n\n" + shared) * (i < 4)
+    for i in range(8):
+        assert got[20 + i] == f"{prose(950, 50)}\n\n{prose(951, 50)}\n\nend {i}"
+    for i in range(40):
+        assert got[40 + i] == f"{prose(920 + i % 4, 30)}\n\n{line}"
+
+
+def test_marked_inline_elements_leave_their_block_and_end_with_it():
+    a = lambda inner: "\n\n".join(article_text(f"<article>{inner}</article>"))
+    assert a("<p>Intro <span class='ad'>Buy now</span> outro</p>") == "Intro outro"
+    assert a("<p>kept words <span class='ad'>x<p>next</p>") == "kept words\n\nnext"
+    assert a("a <span hidden>s</span>b <a class='share'>t</a><label>u</label> c<span style='display:none'>v</span>") == "a b c"
+    assert a("<span class=ad><p>x</p>y<span>z</span>w</span> t<p>one<p>two") == "t\n\none\n\ntwo"
+    assert a("<p>in<b>side</b> <i class=ad>x <b>y</b></i>it</p>") == "inside it"
+    assert a("<ul><li class=ad>x<li>y</ul><p class=ad>q<p>r") == "y\n\nr"
+    assert a("<div class=ad><p>x<p>y</div>z") == "z"
+
+
 def article_text(page):
     return [t for z, t in html_text.blocks(page) if z == html_text.ARTICLE]
 
