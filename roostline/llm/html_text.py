@@ -330,10 +330,10 @@ def _runs(run: int):
         return pa.table(
             {
                 "host": pa.array([rows["host"][0].as_py()] * (n + m + rest), pa.string()),
-                "article": pa.array([True] * m + [False] * (n + rest)),
+                "article": pa.array([True] * m + [False] * (n + rest), pa.bool_()),
                 "key": pa.array(np.concatenate([np.array(names, np.int64), key.view(np.int64)])),
                 "pages": pa.array(np.concatenate([held[klasses[told]], count[number[one]], np.zeros(rest, np.int64)]).astype(np.int64)),
-                "here": pa.array(np.concatenate([np.zeros(m + n, bool), here[asks]])),
+                "here": pa.array(np.concatenate([np.zeros(m + n, bool), here[asks]]), pa.bool_()),
                 "text_key": pa.array(none + rows["text_key"].take(pa.array(page[start[asks]])).to_pylist(), pa.int64()),
                 "block": pa.array(none + block[start[asks]].tolist(), pa.int32()),
                 "word": pa.array(none + place[start[asks]].tolist(), pa.int32()),
@@ -397,7 +397,8 @@ def article_text(found: list[tuple[int, str]], common) -> str:
     """The blocks of the article without those that are ``common`` on the host, unless they are most of it."""
     article = [t for z, t in found if z == ARTICLE]
     if common is not None and len(common):
-        kept = [t for t in article if key_of(t.encode()) not in set(common)]
+        gone = set(common)
+        kept = [t for t in article if key_of(t.encode()) not in gone]
         size = lambda texts: sum(t.count(" ") + 1 for t in texts)
         if 2 * size(kept) >= size(article):
             article = kept

@@ -355,6 +355,8 @@ def test_blocks_of_most_articles_of_a_host_are_furniture(spark, monkeypatch, par
     data += [(20 + i, f"http://c/{i}", PAGE.format(copy(i)), "x") for i in range(8)]
     # Four pages are too few for a verdict, and equal pages are one.
     data += [(40 + i, f"http://f/{i % 4}", PAGE.format(text(20 + i % 4)), "x") for i in range(40)]
+    # A host without anything to tell.
+    data += [(100 + i, f"http://n/{i}", PAGE.format(f"<article>{prose(990 + i, 9)}</article>").replace("&copy; all of it", "").replace("Site name", "").replace("Home", ""), "x") for i in range(6)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, host string")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
     for i in range(12):
