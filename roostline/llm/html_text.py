@@ -188,13 +188,13 @@ PARSED = StructType(
         StructField("packed", BinaryType()),
     ]
 )
-CODEC = "zstd"
+CODEC, LEVEL = "zstd", 6
 
 
 def packed(found: list[tuple[int, str]]) -> tuple[int, bytes]:
-    """A hash of blocks, and the blocks compressed. No block holds a line break."""
+    """A hash of blocks, and the blocks compressed behind their size. No block holds a line break."""
     raw = "\n".join(f"{zone}{text}" for zone, text in found).encode("utf-8", "replace")
-    return key_of(raw), len(raw).to_bytes(8, "little") + pa.Codec(CODEC).compress(raw, asbytes=True)
+    return key_of(raw), len(raw).to_bytes(8, "little") + pa.Codec(CODEC, LEVEL).compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes) -> list[tuple[int, str]]:
@@ -203,23 +203,28 @@ def unpacked(data: bytes) -> list[tuple[int, str]]:
     return [(int(line[0]), line[1:]) for line in raw.split("\n")] if raw else []
 
 
+def settled(found: list[tuple[int, str]]) -> bool:
+    """Whether a page has an article, or nothing that could stand for one."""
+    zones = {zone for zone, _ in found}
+    return ARTICLE in zones or OUTSIDE not in zones
+
+
 def key_of(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
 def _parse(parts):
     for part in parts:
-        host, key, settled, tokens, data = [], [], [], [], []
+        host, key, done, tokens, data = [], [], [], [], []
         for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
             found = blocks(page)
-            zones = {z for z, _ in found}
             hashed, bytes_ = packed(found)
             host.append(host_of(url))
             key.append(hashed)
-            settled.append(ARTICLE in zones or OUTSIDE not in zones)
+            done.append(settled(found))
             tokens.append(sum(t.count(" ") + 3 for _, t in found))
             data.append(bytes_)
-        yield part, [host, key, settled, tokens, data]
+        yield part, [host, key, done, tokens, data]
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, run: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,10 +271,9 @@ def equal_blocks(tokens: np.ndarray, page: np.ndarray, order: np.ndarray) -> tup
     return start, number, _pages_of(number, page[start])
 
 
-def _stream(rows: pa.Table):
+def _stream(pages: list[list[tuple[int, str]]]):
     """Tokens of the blocks of a part: START, words as numbers, 0; the page, block, place and zone of each;
     the blocks' texts with the start of each; and a hash of each number."""
-    pages = [unpacked(p) for p in rows["packed"].to_pylist()]
     texts = [t for found in pages for _, t in found]
     split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     coded = split.values.dictionary_encode()
@@ -298,10 +302,11 @@ def _runs(run: int):
     """Per part: runs and blocks that are settled here, and those to be counted over the whole host."""
 
     def work(rows: pa.Table) -> pa.Table:
-        tokens, page, block, place, zone, texts, first, hashed = _stream(rows)
+        pages = [unpacked(p) for p in rows["packed"].to_pylist()]
+        tokens, page, block, place, zone, texts, first, hashed = _stream(pages)
         order = suffix_order(tokens)
         several = bool(rows["parts"][0].as_py() > 1)
-        open_ = ~np.array(rows["settled"].to_pylist(), bool)
+        open_ = np.array([not settled(found) for found in pages], bool)
         outside = zone[order] != ARTICLE if open_.any() or rows["asked"][0].as_py() else np.zeros(len(order), bool)
         start, number, count = repeated(tokens, page, run, order[outside])
         here = count[number] >= rows["least"][0].as_py()
@@ -325,6 +330,7 @@ def _runs(run: int):
         inside[klass[zone[begin] == ARTICLE]] = True
         told = np.flatnonzero((held[klasses] >= 1 if several else held[klasses] >= rows["least_article"][0].as_py()) & (inside | several))
         names = [key_of(texts[i].encode()) for i in np.searchsorted(first, begin[example[told]])]
+        names_of = {i: packed(pages[i])[0] for i in np.unique(page[start[asks]])}
         n, m, rest = len(one), len(told), len(asks)
         none = [None] * (n + m)
         return pa.table(
@@ -334,7 +340,7 @@ def _runs(run: int):
                 "key": pa.array(np.concatenate([np.array(names, np.int64), key.view(np.int64)])),
                 "pages": pa.array(np.concatenate([held[klasses[told]], count[number[one]], np.zeros(rest, np.int64)]).astype(np.int64)),
                 "here": pa.array(np.concatenate([np.zeros(m + n, bool), here[asks]]), pa.bool_()),
-                "text_key": pa.array(none + rows["text_key"].take(pa.array(page[start[asks]])).to_pylist(), pa.int64()),
+                "text_key": pa.array(none + [names_of[i] for i in page[start[asks]]], pa.int64()),
                 "block": pa.array(none + block[start[asks]].tolist(), pa.int32()),
                 "word": pa.array(none + place[start[asks]].tolist(), pa.int32()),
             }
@@ -358,9 +364,10 @@ def covered_runs(parsed: DataFrame, run: int = RUN, pages: int = PAGES, part_tok
         .where((F.col("n") >= ARTICLE_PAGES) | (F.col("n") >= pages) & F.col("asked")).drop("n"),
         "hosts",
     )
-    # The packed pages are joined with the sizes after copies are gone, and dealt once.
-    rows = parsed.where("tokens > 0").select("host", "text_key", "settled", "packed").join(sizes.select("host"), "host", "left_semi")
-    dealt = rows.dropDuplicates(["host", "text_key"]).join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")))
+    # Copies go before the shuffle already: a part's set of packed pages is made by the tasks that read them.
+    rows = parsed.where("tokens > 0").select("host", "text_key", "packed").join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")))
+    figures = [F.first(c).alias(c) for c in ("parts", "least", "least_article", "asked")]
+    dealt = rows.groupBy("host", "part").agg(F.collect_set("packed").alias("packed"), *figures).withColumn("packed", F.explode("packed"))
     found = stored(dealt.groupBy("host", "part").applyInArrow(_runs(run), FOUND), "runs")
     asked = found.where("block is not null")
     counted = found.where("block is null").groupBy("host", "article", "key").agg(F.sum("pages").alias("pages")).join(sizes, "host")
@@ -421,8 +428,8 @@ def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     def article(data: pd.Series, common: pd.Series) -> pd.Series:
         return pd.Series([article_text(unpacked(d), c) for d, c in zip(data, common)])
 
-    settled = parsed.where("settled").join(furniture, "host", "left")
-    return settled.select("page_id", "url", "host", article("packed", "common").alias("text")).union(
+    ready = parsed.where("settled").join(furniture, "host", "left")
+    return ready.select("page_id", "url", "host", article("packed", "common").alias("text")).union(
         open_.select("a.page_id", "a.url", "a.host", left("a.packed", "c.covered").alias("text"))
     )
 
