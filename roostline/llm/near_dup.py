@@ -251,19 +251,27 @@ def _cell_links(least: float):
 def unsettled_links(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b): links between components, in the buckets whose nodes are in several.
 
-    ``members`` are (key, n, node). A bucket of more than ``CELL`` nodes is cut into chunks,
-    and every pair of chunks is a cell.
+    ``members`` are (key, node). The nodes of a bucket's largest component need no comparison
+    with each other. The others are cut into chunks of ``CELL``; each chunk meets every chunk
+    of the largest component and of the others, so a bucket with few others has few cells.
     """
-    told = members.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    several = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = told.join(several, "key", "left_semi").join(sets, "node")
-    chunks = F.floor((F.col("n") - 1) / CELL) + 1
-    own = F.pmod(F.xxhash64("node"), chunks)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("other")
-    cells = rows.select("key", "node", "root", "shingles", own.alias("own"), other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "shingles"
+    told = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    held = told.groupBy("key", "root").agg(F.count("*").alias("c"))
+    largest = held.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("n")).where("most.c < n")
+    chunks = lambda c: F.ceil(c / F.lit(CELL)).cast("bigint")
+    cut = largest.select("key", F.col("most.root").alias("major"), chunks(F.col("n") - F.col("most.c")).alias("few"), chunks(F.col("most.c")).alias("many"))
+    rows = told.join(cut, "key")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("many")).otherwise(F.col("few")))
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), c - 1)
+    # (i, j): j below ``many`` is a chunk of the largest component, beyond it one of the others.
+    with_major = F.transform(upto(F.col("many")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    with_others = F.transform(
+        upto(F.col("few")), lambda o: F.struct(F.least("own", o).alias("i"), (F.greatest("own", o) + F.col("many")).alias("j"))
     )
-    return cells.groupBy("key", "i", "j").applyInArrow(_cell_links(least), "a binary, b binary")
+    of_major = F.transform(upto(F.col("few")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    cells = F.when(F.col("root") == F.col("major"), of_major).otherwise(F.concat(with_major, with_others))
+    placed = rows.withColumn("own", own).select("key", "node", "root", F.explode(cells).alias("cell"))
+    return placed.select("key", "cell.i", "cell.j", "node", "root").join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cell_links(least), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,7 +301,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
     bands = distinct.select("node", F.explode("bands").alias("key"))
     found = stored(buckets(bands), "buckets")
-    members = stored(bands.join(found.where("n > 2").select("key", "n", "pivot"), "key"), "members")
+    members = stored(bands.join(found.where("n > 2").select("key", "pivot"), "key"), "members")
     two = found.where("n = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b"))
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     pairs = stored(two.union(star).distinct(), "pairs")

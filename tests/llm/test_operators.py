@@ -118,7 +118,9 @@ def test_few_rows_are_learned_from_however_often_an_id_is_repeated(spark):
     assert drawn.collect() == drawn.collect()
 
 
-def test_near_duplicates_are_the_components_of_all_similar_pairs(spark):
+@pytest.mark.parametrize("cell", [near_dup.CELL, 2])
+def test_near_duplicates_are_the_components_of_all_similar_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_dup, "CELL", cell)
     base = prose(70, 60).split()
     extra = [(200 + i, " ".join([*base[: 60 - i], *prose(300 + i, i).split()]), "en", "s", 1, 1, 0.1, 1, "x", "y") for i in range(30)]
     data = rows() + extra
@@ -395,7 +397,42 @@ def test_wrappers_and_class_names_do_not_drop_articles():
     assert [t for z, t in both if z == html_text.OUTSIDE] == ["plain text", "one comment"]
 
 
-def test_nearest_neighbours_reach_the_recall(spark):
+@pytest.mark.parametrize("cell", [500, 3])
+def test_cells_link_what_several_components_of_a_bucket_have_in_common(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_dup, "CELL", cell)
+    # Chains 0-9, 10-14, 15 and 16-18 of sets that grow by one; the whole row is one component in the end.
+    name = lambda i: bytes([i])
+    sets = spark.createDataFrame([(name(i), np.arange(i, i + 40, dtype=np.uint64).tobytes()) for i in range(19)], "node binary, shingles binary")
+    members = spark.createDataFrame([(k, name(i)) for k in (1, 2) for i in range(19) if k == 1 or i < 10], "key long, node binary")
+    root = lambda i: 0 if i < 10 else 10 if i < 15 else 15 if i < 16 else 16
+    roots = spark.createDataFrame([(name(i), name(root(i))) for i in range(19)], "node binary, root binary")
+    found = near_dup.unsettled_links(members, roots, sets, 0.9).collect()
+    similar = {(a, b) for a in range(19) for b in range(a + 1, 19) if (40 - (b - a)) / (40 + (b - a)) >= 0.9}
+    pairs = {tuple(sorted((r.a[0], r.b[0]))) for r in found}
+    assert pairs <= similar and {tuple(sorted((root(a), root(b)))) for a, b in pairs} >= {(0, 10), (10, 15), (15, 16)}
+
+
+def test_closest_are_those_of_exact_distances_with_ties_and_repeated_ids():
+    rng = np.random.default_rng(8)
+    for scale in (1.0, 1e-9, 1e6, 1e200):
+        rows = np.round(rng.normal(size=(300, 6)), 1) * scale
+        rows[200:260] = rows[:60] + 1e-12 * scale
+        ids, queries = rng.integers(0, 120, 300), rows[:9].copy()
+        allowed = rng.random((9, 300)) < 0.7
+        allowed[0], allowed[1, 5:] = False, False
+        with np.errstate(over="ignore"):
+            exact = nearest.distances(queries, rows)
+            got = nearest.closest(queries, rows, ids, allowed, 10)
+        for i, (at, d) in enumerate(got):
+            least = {}
+            for j in np.flatnonzero(allowed[i] & np.isfinite(exact[i])):
+                least[ids[j]] = min(exact[i, j], least.get(ids[j], np.inf))
+            assert list(zip(d, ids[at])) == sorted((v, k) for k, v in least.items())[:10]
+
+
+@pytest.mark.parametrize("hot", [nearest.HOT_ROWS, 5])
+def test_nearest_neighbours_reach_the_recall(spark, monkeypatch, hot):
+    monkeypatch.setattr(nearest, "HOT_ROWS", hot)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(1200, 16)).astype(np.float32)
     v[50:80] = v[0]
