@@ -166,72 +166,85 @@ def probes(queries: DataFrame, h: Hashing) -> DataFrame:
     return queries.mapInArrow(run, "tbl int, query_id long, key long")
 
 
-def best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` least distances, ties to the smaller id; inf is no candidate."""
-    at = np.flatnonzero(np.isfinite(d))
-    if len(at) > k:
-        at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-    return at[np.lexsort((ids[at], d[at]))][:k]
+def closest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places in ``rows`` of the ``k`` nearest ``allowed`` ids and their exact squared distances.
+
+    A matrix product tells all distances but for its rounding; what may be among the ``k``
+    nearest within that error is measured exactly. An id on several rows counts once, at its
+    least distance; ties go to the smaller id.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.einsum("ij,ij->i", queries, queries)[:, None] + np.einsum("ij,ij->i", rows, rows)[None, :]
+        rough = norms - 2 * (queries @ rows.T)
+    error = 8 * np.finfo(np.float64).eps * (rows.shape[1] + 8) * norms
+    out = []
+    for i in range(len(queries)):
+        at = np.flatnonzero(allowed[i])
+        if np.isfinite(rough[i, at]).all() and len(at) > k:
+            low, high, many = rough[i, at] - error[i, at], rough[i, at] + error[i, at], k
+            while many < len(at):
+                first = np.argpartition(high, many - 1)[:many]
+                if len(np.unique(ids[at[first]])) >= k:
+                    at = at[low <= high[first].max()]
+                    break
+                many *= 2
+        exact = distances(queries[i : i + 1], rows[at])[0]
+        real = np.isfinite(exact)
+        at, exact = at[real], exact[real]
+        by = np.lexsort((exact, ids[at]))
+        by = by[np.concatenate([[True], ids[at][by][1:] != ids[at][by][:-1]])] if len(by) else by
+        by = by[np.lexsort((ids[at][by], exact[by]))][:k]
+        out.append((at[by], exact[by]))
+    return out
+
+
+def _found(names: np.ndarray, ids: np.ndarray, results: list[list[tuple[np.ndarray, np.ndarray]]]) -> pa.Table:
+    flat = [x for block in results for x in block]
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return pa.table(
+        {
+            "query_id": np.repeat(names[: len(flat)].astype(np.int64), [len(at) for at, _ in flat]),
+            "vec_id": join([ids[at] for at, _ in flat], np.int64),
+            "score": np.sqrt(join([d for _, d in flat], np.float64)),
+        }
+    )
 
 
 def _visit(k: int, width: int):
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if index.num_rows and asked.num_rows:
-            key, ids = index["key"].to_numpy(), index["vec_id"].to_numpy()
-            order = np.argsort(key, kind="stable")
-            key, ids, rows = key[order], ids[order], _matrix(index["vector"], width)[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            stop, cell = np.append(start[1:], len(key)), key[start]
-            names, queries, seen = asked["query_id"].to_numpy(), _matrix(asked["vector"], width), asked["keys"].combine_chunks()
-            for a in range(0, len(names), QUERY_BLOCK):
-                part = seen.slice(a, QUERY_BLOCK)
-                want = part.flatten().to_numpy()
-                who = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
-                at = np.minimum(np.searchsorted(cell, want), len(cell) - 1)
-                hit = cell[at] == want
-                at, who = at[hit], who[hit]
-                by = np.argsort(at, kind="stable")
-                at, who = at[by], who[by]
-                d = np.full((len(part), len(key)), np.inf)
-                edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
-                for x, y in zip(edge, [*edge[1:], len(at)]):
-                    c, q = at[x], np.unique(who[x:y])
-                    for s in range(start[c], stop[c], 512):
-                        e = min(s + 512, stop[c])
-                        d[q, s:e] = distances(queries[a + q], rows[s:e]) if e - s > 0 else d[q, s:e]
-                for i in range(len(part)):
-                    d[i, ids == names[a + i]] = np.inf
-                    found = best(d[i], ids, k)
-                    out[0].append(np.full(len(found), names[a + i], np.int64))
-                    out[1].append(ids[found])
-                    out[2].append(np.sqrt(d[i, found]))
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"query_id": join(out[0], np.int64), "vec_id": join(out[1], np.int64), "score": join(out[2], np.float64)})
+        if not index.num_rows or not asked.num_rows:
+            return _found(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        key, ids = index["key"].to_numpy(), index["vec_id"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, ids, rows = key[order], ids[order], _matrix(index["vector"], width)[order]
+        cell, of = np.unique(key, return_inverse=True)
+        names, queries, seen = asked["query_id"].to_numpy(), _matrix(asked["vector"], width), asked["keys"].combine_chunks()
+        results = []
+        for a in range(0, len(names), QUERY_BLOCK):
+            part = seen.slice(a, QUERY_BLOCK)
+            want = part.flatten().to_numpy()
+            who = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(cell, want), len(cell) - 1)
+            hit = cell[at] == want
+            visits = np.zeros((len(part), len(cell)), bool)
+            visits[who[hit], at[hit]] = True
+            # Only the rows of cells that some query of the block visits.
+            near = np.flatnonzero(visits.any(0)[of])
+            allowed = visits[:, of[near]] & (ids[near] != names[a : a + len(part), None])
+            results.append([(near[x], d) for x, d in closest(queries[a : a + len(part)], rows[near], ids[near], allowed, k)])
+        return _found(names, ids, results)
 
     return run
 
 
 def _compare(k: int, width: int):
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if index.num_rows and asked.num_rows:
-            ids, rows = index["vec_id"].to_numpy(), _matrix(index["vector"], width)
-            names, queries = asked["query_id"].to_numpy(), _matrix(asked["vector"], width)
-            for a in range(0, len(names), QUERY_BLOCK):
-                part = queries[a : a + QUERY_BLOCK]
-                d = np.concatenate([distances(part, rows[s : s + 512]) for s in range(0, len(rows), 512)], 1)
-                for i in range(len(part)):
-                    d[i, ids == names[a + i]] = np.inf
-                    # An id may stand on several rows; its least distance counts.
-                    near = np.lexsort((d[i], ids))
-                    near = near[np.concatenate([[True], ids[near][1:] != ids[near][:-1]])]
-                    found = near[best(d[i, near], ids[near], k)]
-                    out[0].append(np.full(len(found), names[a + i], np.int64))
-                    out[1].append(ids[found])
-                    out[2].append(np.sqrt(d[i, found]))
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"query_id": join(out[0], np.int64), "vec_id": join(out[1], np.int64), "score": join(out[2], np.float64)})
+        if not index.num_rows or not asked.num_rows:
+            return _found(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        ids, rows = index["vec_id"].to_numpy(), _matrix(index["vector"], width)
+        names, queries = asked["query_id"].to_numpy(), _matrix(asked["vector"], width)
+        blocks = range(0, len(names), QUERY_BLOCK)
+        return _found(names, ids, [closest(queries[a : a + QUERY_BLOCK], rows, ids, ids != names[a : a + QUERY_BLOCK, None], k) for a in blocks])
 
     return run
 
