@@ -292,7 +292,8 @@ _OVERRIDE_SQL = (
 
 def _stream(spark, sf):
     source = spark.read.parquet(f"{sf}/conversations.parquet").schema
-    stream = spark.readStream.schema(source).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    # The table is one file or a folder of parts; a pattern reads either.
+    stream = spark.readStream.schema(source).parquet(f"{sf}/conversations.parque[t]")
     return stream.selectExpr(*r.columns(r.CALL))
 
 

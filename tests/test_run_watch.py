@@ -8,6 +8,7 @@ from test_records import CALLS
 
 from roostline.operators import cost
 from roostline.session import subfolders
+from roostline.standins import answers
 from roostline.streaming import run_watch
 
 BATCHES, RUNS = 7, 9
@@ -73,3 +74,17 @@ def test_finished_runs_leave_the_state(spark, calls, source, tmp_path):
 def test_batches_have_to_be_merged(spark, calls):
     with pytest.raises(ValueError, match="merged"):
         run_watch.start(calls, cost.default_rates(spark), "sink", "state", compact_every=0)
+
+
+def test_registered_streams_read_a_folder_of_parts_like_one_file(spark, tmp_path):
+    rows = [(run, turn, "user", "x" * (10 + run + turn)) for run in range(4) for turn in range(3)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (tmp_path / "folder").mkdir()
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    (tmp_path / "file").mkdir()
+    table.toPandas().to_parquet(tmp_path / "file" / "conversations.parquet", index=False)
+    for sf in ("folder", "file"):
+        want = sorted(answers.totals(spark, str(tmp_path / sf)).collect())
+        assert want and sorted(answers.live(spark, str(tmp_path / sf)).collect()) == want
+        got = answers.watched(spark, str(tmp_path / sf)).select(*answers.totals(spark, str(tmp_path / sf)).columns)
+        assert sorted(got.collect()) == want
