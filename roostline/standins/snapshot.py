@@ -166,9 +166,14 @@ def cascaded(spark, sf):
     return reconcile.cascade(reviews, r.listings(spark, sf, vectors=False)).select("o_orderkey", "listing_id")
 
 
+# Rows of one gzip part: a part is written and read by one task.
+_PART_ROWS = 200_000
+
+
 def _write_csv(df, path):
-    # One gzip part in file order, as a snapshot arrives.
-    ordered = df.orderBy("file_pos").drop("file_pos").coalesce(1)
+    # Gzip parts in file order, as a snapshot arrives: one, or several of a bounded size.
+    parts = max(1, -(-df.count() // _PART_ROWS))
+    ordered = df.repartitionByRange(parts, "file_pos").sortWithinPartitions("file_pos").drop("file_pos")
     ordered.write.option("header", True).option("escape", '"').option("compression", "gzip").option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)

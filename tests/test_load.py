@@ -15,7 +15,9 @@ from roostline.plans.enrich import embed, index_amenities
 from roostline.plans.load import load_snapshot
 from roostline.session import shared_folder
 from roostline.sources import tables
+from roostline.sources.snapshot_csv import read_snapshot_csv
 from roostline.sources.tables import SnapshotStore
+from roostline.standins import snapshot
 
 STORED = [n for n in range(ROWS) if not refused(n)]
 
@@ -348,3 +350,12 @@ def test_several_parts_keep_file_order(spark, tmp_path):
 def test_gzip_is_what_it_says(tmp_path):
     path = write_csv(tmp_path / "l.csv.gz", HEADER, [berth(1)])
     assert gzip.open(path, "rt").readline().startswith("id,")
+
+
+def test_snapshot_files_are_written_in_parts_that_keep_the_order(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(snapshot, "_PART_ROWS", 100)
+    rows = spark.range(950).select(F.col("id").alias("file_pos"), F.col("id").cast("string").alias("a")).repartition(7, "a")
+    path = snapshot._write_csv(rows, str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("*.csv.gz"))) > 5
+    back = read_snapshot_csv(spark, path, ("a",)).orderBy("file_pos").collect()
+    assert [int(r["a"]) for r in back] == list(range(950))
