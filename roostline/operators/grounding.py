@@ -14,7 +14,7 @@ from roostline import config
 from roostline.functions.rules import DECIMAL
 from roostline.functions.text import stripped
 from roostline.operators import filters
-from roostline.session import stored
+from roostline.session import spread, stored
 
 NAME_FIELDS = ("neighbourhoods", "room_types", "property_types", "amenities")
 _NUMBERS = ("min_price", "max_price", "min_bathrooms", "min_rating", "min_location_score")
@@ -63,6 +63,8 @@ def decode(responses: DataFrame) -> DataFrame:
 
     ``object`` bodies go on to validation; every other outcome is final.
     """
+    # Taking a body apart weighs far more than its bytes: few files are spread over more tasks.
+    responses = spread(responses, "request_id", parts=len(responses.inputFiles()))
     json = F.try_parse_json("body")
     shape = F.schema_of_variant(json)
     stop = F.col("stop_reason")

@@ -152,3 +152,10 @@ def test_bodies_to_ranked_listings(spark, run, names):
     assert {r["request_id"] for r in out} == {"a"} and [r["place"] for r in sorted(out, key=lambda r: r["place"])] == [1, 2, 3]
     places = {r["id"]: r["neighbourhood_id"] for r in listings.collect()}
     assert all(places[r["id"]] in (1, 2) for r in out)
+
+
+def test_bodies_of_one_file_are_taken_apart_by_many_tasks(spark, tmp_path):
+    rows = [(f"r{i}", 1, '{"semantic_query": "x"}', "end_turn") for i in range(200)]
+    spark.createDataFrame(rows, "request_id string, attempt int, body string, stop_reason string").coalesce(1).write.parquet(str(tmp_path / "b"))
+    decoded = grounding.decode(spark.read.parquet(str(tmp_path / "b")))
+    assert decoded.select(F.spark_partition_id()).distinct().count() > 1
