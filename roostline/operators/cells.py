@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roostline import config
-from roostline.functions.vectors import matrix
+from roostline.functions.vectors import distances, matrix
 from roostline.operators import counting, filters, search
 from roostline.session import scratch_path, stable
 
@@ -276,15 +276,31 @@ def top_k(index: Index, requests: DataFrame, limit: int) -> DataFrame:
     return found.join(full, "request_id", "left_semi").unionByName(search.batch_top_k(index.rows.drop("cell"), rest, limit))
 
 
+def _as_bits(cells: int):
+    """The function from a list of cells to its bits, 64 in a number."""
+    words = -(-cells // 64)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def bits(lists: pa.Array) -> pa.Array:
+        flags = np.zeros((len(lists), words * 64), bool)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flags[np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy()] = True
+        values = np.packbits(flags, axis=1, bitorder="little").view("<i8").ravel()
+        return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, words, dtype=np.int32), pa.array(values))
+
+    return bits
+
+
 def _visited_top_k(index: Index, requests: DataFrame, visits: DataFrame, limit: int) -> DataFrame:
     asked, blocks = search._in_blocks(requests.join(visits, "request_id"), ["request_id"])
-    probes = filters._request_side(asked.drop("query")).withColumn("cell", F.explode("cells"))
-    every = F.lit(True)
-    for _, holds in filters._pair_terms():
-        every = every & holds
-    # Cells that no request visits are not read where the probes are few enough to be sent.
-    met = filters._listing_side(index.rows.drop("embedding")).alias("l").join(probes.alias("f"), (F.col("l.cell") == F.col("f.cell")) & every)
-    wanted = met.groupBy(F.col("l.cell").alias("_cell"), F.col("l.id").alias("_id"), F.col("f._block").alias("_block")).agg(F.collect_list("f._number").alias("_wanted"))
+    top = max(r["cell"] for r in index.cells) + 1
+    probes = asked.withColumn("_visits", _as_bits(top)("cells")).drop("query", "cells")
+    # Pairs come from the keys of the filters; a row a request and cell would be far more rows
+    # than there are keys. Whether a cell is visited is one bit.
+    word = F.get(F.col("f._visits"), (F.col("l.cell") / 64).cast("int"))
+    visited = F.getbit(word, (F.col("l.cell") % 64).cast("int")) == 1
+    met = filters.match(index.rows.drop("embedding"), probes, ("id", "cell"), ("_block", "_number"), 256 + top // 8, visited)
+    wanted = met.groupBy(F.col("cell").alias("_cell"), F.col("id").alias("_id"), "_block").agg(F.collect_list("_number").alias("_wanted"))
     vectors = index.rows.select(F.col("id").cast("long").alias("id"), "embedding", "cell")
     vectors = vectors.join(wanted, (F.col("cell") == F.col("_cell")) & (F.col("id") == F.col("_id"))).select("id", "embedding", "_block", "_wanted")
     sides = asked.select("request_id", "query", "_block", "_number")
@@ -318,32 +334,114 @@ def _reaching(index: Index, pool: int):
                     chosen.append(numbers[order[: int(np.searchsorted(np.cumsum(sizes[order]), pool)) + 1]].tolist())
                 else:
                     chosen.append(numbers[row - widest <= np.arccos(np.clip(1.0 - bound, -1.0, 1.0)) + SLACK].tolist())
-            yield pa.RecordBatch.from_arrays([part.column("request_id"), part.column("query"), pa.array(chosen, pa.list_(pa.int32()))], names=["request_id", "query", "cells"])
+            columns = [part.column("request_id"), part.column("query"), part.column("bound"), pa.array(chosen, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["request_id", "query", "bound", "cells"])
 
     return run
 
 
 def _asked_cells(index: Index, asked: DataFrame, pool: int) -> DataFrame:
-    """``(request_id, query, cells)`` of ``asked`` (request_id, query, bound)."""
-    types = f"request_id {asked.schema['request_id'].dataType.simpleString()}, query {asked.schema['query'].dataType.simpleString()}, cells array<int>"
+    """``(request_id, query, bound, cells)`` of ``asked`` (request_id, query, bound)."""
+    types = f"request_id {asked.schema['request_id'].dataType.simpleString()}, query {asked.schema['query'].dataType.simpleString()}, bound double, cells array<int>"
     return asked.select("request_id", "query", "bound").mapInArrow(_reaching(index, pool), types)
 
 
+def _parts(index: Index) -> tuple[Column, Column, int]:
+    """The part of a ``cell`` and the pieces of a ``_part``, and how many parts there are.
+
+    A part is a run of cells with a slice of vectors at most; a cell that has more is a part of
+    its own, in pieces.
+    """
+    part_of, pieces, held = [0] * (max(r["cell"] for r in index.cells) + 1), [], 0
+    for r in index.cells:
+        if not pieces or held + r["rows"] > config.LISTING_SLICE:
+            pieces.append(1)
+            held = 0
+        held += r["rows"]
+        part_of[r["cell"]] = len(pieces) - 1
+        pieces[-1] = -(-held // config.LISTING_SLICE)
+    listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+    return listed(part_of), listed(pieces), len(pieces)
+
+
+def _nearest_by_cell(pool: int):
+    """The nearest ``pool`` vectors of each request of a group, in the cells it names.
+
+    Requests are compared cell by cell with those that name the cell, and nothing farther than
+    a request's ``bound`` is kept.
+    """
+
+    def group(part: pa.Table, asked: pa.Table) -> pa.Table:
+        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        if part.num_rows and asked.num_rows:
+            units = _unit(matrix(asked.column("query").combine_chunks()))
+            bound = asked.column("bound").to_numpy().astype(float)
+            # The same distance may be rounded otherwise in a product of another shape.
+            bound = np.where(np.isnan(bound), np.inf, bound + 2 * 10.0**-config.DISTANCE_DECIMALS)
+            lists = asked.column("cells").combine_chunks()
+            names = lists.flatten().to_numpy()
+            by_cell = np.argsort(names, kind="stable")
+            names, askers = names[by_cell], np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[by_cell]
+            part = part.sort_by("cell").combine_chunks()
+            cells, ids = part.column("cell").to_numpy(), part.column("id").to_numpy()
+            for start in _starts(cells):
+                stop = min(np.searchsorted(cells, cells[start], "right"), start + config.DISTANCE_TILE)
+                sel = askers[np.searchsorted(names, cells[start]) : np.searchsorted(names, cells[start], "right")]
+                if not len(sel):
+                    continue
+                rows = matrix(part.column("embedding").slice(start, stop - start).combine_chunks())
+                far = distances(_unit(rows) @ units[sel].T)
+                far[np.isnan(far)] = np.inf
+                if len(far) >= pool:
+                    bound[sel] = np.minimum(bound[sel], np.partition(far, pool - 1, axis=0)[pool - 1])
+                row, request = np.nonzero(far <= bound[sel])
+                kept.append((sel[request], far[row, request], ids[start:stop][row]))
+        request, distance, ids = (np.concatenate(c) for c in zip(*kept))
+        order = np.lexsort((ids, distance, request))
+        request, distance, ids = request[order], distance[order], ids[order]
+        first = np.arange(len(request)) - np.searchsorted(request, request) < pool
+        distance = np.where(np.isinf(distance), np.nan, distance)
+        named = asked.column("request_id").combine_chunks().take(pa.array(request[first]))
+        return pa.table({"request_id": named, "id": pa.array(ids[first], pa.int64()), "distance": pa.array(distance[first])})
+
+    return group
+
+
+def _starts(cells: np.ndarray) -> Iterator[int]:
+    """Where each tile of each run of equal ``cells`` begins."""
+    for first in np.unique(cells, return_index=True)[1]:
+        yield from range(int(first), int(np.searchsorted(cells, cells[first], "right")), config.DISTANCE_TILE)
+
+
 def _pools(index: Index, asked: DataFrame, pool: int) -> DataFrame:
-    """The nearest ``pool`` vectors of the ``cells`` of each request.
+    """The nearest ``pool`` vectors of the ``cells`` of each request, none beyond its ``bound``.
 
-    The requests of one cell are cut into blocks, and a cell's vectors into slices.
+    Runs of cells meet blocks of requests. A request is sent once to each run it names a cell
+    of, and to every piece of a cell that is cut.
     """
-    visits = stable(asked.withColumn("cell", F.explode("cells")).drop("cells"))
-    wanted = visits.groupBy("cell").agg(F.count("*").alias("n"))
-    wanted = wanted.select("cell", F.ceil(F.col("n") / config.QUERY_BLOCK).cast("int").alias("_blocks"))
-    # A cell and a block of its requests share one number; cells are CELLS_MAX at most.
-    block = F.pmod(F.xxhash64("request_id"), F.col("_blocks")).cast("int") * CELLS_MAX + F.col("cell")
-    sides = visits.join(wanted, "cell").select("request_id", "query", block.alias("_block"))
-    every = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: b * CELLS_MAX + F.col("cell")))
-    vectors = index.rows.select(F.col("id").cast("long").alias("id"), "embedding", "cell").join(wanted, "cell").select("id", "embedding", every.alias("_block"))
-    largest = max(r["rows"] for r in index.cells)
-    found = search._block_product(vectors, sides, largest, len(index.cells), search._nearest_in(pool), ["request_id"], "id long, distance double")
+    part_of, pieces, parts = _parts(index)
+    blocks = max(1, -(-asked.count() // config.QUERY_BLOCK))
+    part = lambda cell: F.get(part_of, cell)
+    sides = (
+        asked.withColumn("_block", F.pmod(F.xxhash64("request_id"), F.lit(blocks)).cast("int"))
+        .withColumn("_part", F.explode(F.array_distinct(F.transform("cells", part))))
+        .withColumn("cells", F.filter("cells", lambda c: part(c) == F.col("_part")))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.get(pieces, F.col("_part")) - 1)))
+    )
+    vectors = (
+        index.rows.select(F.col("id").cast("long").alias("id"), "embedding", "cell")
+        .withColumn("_part", part(F.col("cell")))
+        .withColumn("_piece", F.pmod(F.xxhash64("id"), F.get(pieces, F.col("_part"))).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    )
+    placed = (F.col("_part") + F.col("_piece") * parts).alias("_slice")
+    left = vectors.select("id", "embedding", "cell", "_block", placed)
+    right = sides.select("request_id", "query", "bound", "cells", "_block", placed)
+    # Both sides may stem from the same rows; new columns tell them apart.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    kind = asked.schema["request_id"].dataType.simpleString()
+    met = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
+    found = met.applyInArrow(_nearest_by_cell(pool), f"request_id {kind}, id long, distance double")
     return search.best_per(found, ["request_id"], pool)
 
 

@@ -203,7 +203,15 @@ def _in_blocks(requests: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int
     # A block holds about QUERY_BLOCK rows, so this window is small.
     order = Window.partitionBy("_block").orderBy(*keys)
     out = held.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    return out.withColumn("_number", F.row_number().over(order) - 1), blocks
+    # Lists of these numbers are most of what moves, and nearly always small ones. A request
+    # that is repeated very often makes a larger block.
+    most = out.groupBy("_block").count().agg(F.max("count")).first()[0] or 0
+    number = (F.row_number().over(order) - 1).cast("short" if most < 2**15 else "int")
+    return out.withColumn("_number", number), blocks
+
+
+def _with_vector(listings: DataFrame) -> DataFrame:
+    return listings.where(F.col("embedding").isNotNull())
 
 
 def _block_product(
@@ -301,7 +309,7 @@ def _no_later(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa
 
 def _every_vector(listings: DataFrame, blocks: int) -> DataFrame:
     """Every listing with a vector, for each block of requests."""
-    found = listings.where(F.col("embedding").isNotNull())
+    found = _with_vector(listings)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     return found.select(F.col("id").cast("long").alias("id"), "embedding", every.alias("_block"))
 
@@ -312,16 +320,17 @@ def _ranked_matches(
     """The nearest ``limit`` matching listings per ``(request_id, *carry)``, ranked.
 
     The filters run without vectors and leave, for each listing and block of requests, the
-    numbers of the requests it matches. Vectors join once per listing and block.
+    numbers of the requests it matches. Vectors join once per listing and block. Listings
+    without a vector are never ranked, so they are not matched either.
     """
     keys = ["request_id", *carry]
+    listings = _with_vector(listings)
     asked, blocks = _in_blocks(requests, keys)
     met = filters.match(listings.drop("embedding"), asked.drop("query"), ("id",), ("_block", "_number"))
     # At most a block of numbers in each list.
     wanted = met.groupBy(F.col("id").alias("_id"), "_block").agg(F.collect_list("_number").alias("_wanted"))
     vectors = (
-        listings.where(F.col("embedding").isNotNull())
-        .select(F.col("id").cast("long").alias("id"), "embedding")
+        listings.select(F.col("id").cast("long").alias("id"), "embedding")
         .join(wanted, F.col("id") == F.col("_id"))
         .select("id", "embedding", "_block", "_wanted")
     )
@@ -364,7 +373,7 @@ def nearest(listings: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     found = _block_product(
         _every_vector(listings, blocks),
         asked.drop("_number"),
-        listings.count(),
+        _with_vector(listings).count(),
         blocks,
         _nearest_in(pool),
         ["request_id"],
@@ -426,7 +435,7 @@ def closer_or_equal(listings: DataFrame, marks: DataFrame) -> DataFrame:
     found = _block_product(
         _every_vector(listings, blocks),
         asked.drop("_number"),
-        listings.count(),
+        _with_vector(listings).count(),
         blocks,
         _no_later,
         ["request_id"],

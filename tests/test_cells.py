@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_filters import COLUMNS, make_listings, make_requests, matching
@@ -107,3 +108,21 @@ def test_small_and_empty_tables(spark, listings, requests):
     assert cells.top_k(cells.build(listings.limit(0)), requests, 3).isEmpty()
     with pytest.raises(ValueError, match="limit"):
         cells.top_k(cells.build(one), requests, 0)
+
+
+def test_pools_of_parts_and_pieces_are_exact(monkeypatch, index, listings, requests):
+    show = lambda df: sorted((r["request_id"], r["place"], r["id"], r["distance"]) for r in df.collect())
+    want = show(search.nearest(listings, requests.where("exists(query, x -> x <> 0)"), 20))
+    monkeypatch.setattr(cells.config, "QUERY_BLOCK", 2)
+    # Cells in several parts, and the larger ones in pieces.
+    monkeypatch.setattr(cells.config, "LISTING_SLICE", 20)
+    monkeypatch.setattr(cells.config, "DISTANCE_TILE", 7)
+    assert show(cells.nearest(index, requests, 20)) == want
+
+
+def test_nothing_beyond_a_known_bound_leaves_a_group():
+    part = pa.table({"id": pa.array(range(40), pa.int64()), "embedding": [[1.0, i / 10] for i in range(40)], "cell": pa.array([0] * 20 + [1] * 20, pa.int32())})
+    asked = pa.table({"request_id": ["a", "b"], "query": [[1.0, 0.0]] * 2, "bound": pa.array([0.005, None], pa.float64()), "cells": pa.array([[0, 1], [1]], pa.list_(pa.int32()))})
+    got = cells._nearest_by_cell(5)(part, asked).to_pydict()
+    assert [i for r, i in zip(got["request_id"], got["id"]) if r == "a"] == [0, 1]
+    assert [i for r, i in zip(got["request_id"], got["id"]) if r == "b"] == [20, 21, 22, 23, 24]

@@ -212,3 +212,13 @@ def test_details_and_reviews(spark, listings):
         "id long, listing_id int, date string, comments string",
     )
     assert [r["comments"] for r in search.get_reviews(reviews, [5], 1).collect()] == ["Thanks to [name], it was fine"]
+
+
+def test_listings_without_a_vector_are_not_matched(monkeypatch, listings, requests):
+    met = []
+    match = search.filters.match
+    monkeypatch.setattr(search.filters, "match", lambda rows, *more: met.append(rows.count()) or match(rows, *more))
+    bare = listings.withColumn("id", F.col("id") + 10_000_000).withColumn("embedding", F.lit(None).cast(listings.schema["embedding"].dataType))
+    want = sorted(search.batch_top_k(listings, requests, 5).collect())
+    assert sorted(search.batch_top_k(listings.unionByName(bare), requests, 5).collect()) == want
+    assert met[1] == met[0] < listings.unionByName(bare).count()
