@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from roostline import config
 from roostline.functions.text import without_names
 from roostline.functions.vectors import distance_to, distances, matrix
-from roostline.operators import filters
+from roostline.operators import counting, filters
 from roostline.operators.reconcile import newest_children
 from roostline.session import stable
 
@@ -251,49 +251,76 @@ def _block_product(
     )
 
 
-def _tiles(part: pa.Table, asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(ids, distances)`` of a group, some listings at a time; pairs not wanted are NaN.
+# Cosines that differ by no more than this may be equal as distances.
+_SLACK = 2 * 10.0**-config.DISTANCE_DECIMALS
 
-    A vector without a direction is infinitely far from everything.
+
+def _tiles(part: pa.Table, asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """``(ids, cosines, wanted)`` of a group, some listings at a time; all pairs are wanted without the last.
+
+    A vector without a direction has cosine NaN. Wanted are those of a list of request numbers
+    a listing, or, of requests with filters, those that match.
     """
     if not part.num_rows or not asked.num_rows:
         return
+    matched = counting.matcher(asked) if "amenities" in asked.column_names else None
+    listed = "_wanted" in part.column_names
+    number_at = np.argsort(asked.column("_number").to_numpy()) if listed else None
     units = matrix(asked.column("query").combine_chunks())
     with np.errstate(invalid="ignore", divide="ignore"):
         units = units / np.linalg.norm(units, axis=1, keepdims=True)
         for start in range(0, part.num_rows, config.DISTANCE_TILE):
             tile = part.slice(start, config.DISTANCE_TILE).combine_chunks()
             rows = matrix(tile.column("embedding").combine_chunks())
-            far = distances((rows @ units.T) / np.linalg.norm(rows, axis=1, keepdims=True))
-            far[np.isnan(far)] = np.inf
-            if "_wanted" in tile.column_names:
+            cosines = rows @ units.T
+            cosines /= np.linalg.norm(rows, axis=1, keepdims=True)
+            wanted = matched(tile) if matched else None
+            if listed:
                 lists = tile.column("_wanted").combine_chunks()
                 lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                number_at = np.argsort(asked.column("_number").to_numpy())
-                keep = np.zeros(far.shape, dtype=bool)
-                keep[np.repeat(np.arange(len(lengths)), lengths), number_at[lists.flatten().to_numpy()]] = True
-                far[~keep] = np.nan
-            yield tile.column("id").to_numpy(), far
+                wanted = np.zeros(cosines.shape, dtype=bool)
+                wanted[np.repeat(np.arange(len(lengths)), lengths), number_at[lists.flatten().to_numpy()]] = True
+            yield tile.column("id").to_numpy(), cosines, wanted
+
+
+def _far(cosines: np.ndarray) -> np.ndarray:
+    """Distances; what has no direction is infinitely far from everything."""
+    far = distances(cosines)
+    far[np.isnan(far)] = np.inf
+    return far
 
 
 def _nearest_in(limit: int) -> Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]:
     """The ``limit`` nearest listings of each request of a group, ties by id."""
 
-    def found(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
-        bound = np.full(asked.num_rows, np.inf)
-        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
-        for ids, far in _tiles(part, asked):
-            if len(far) >= limit:
-                # NaN sorts last: fewer wanted pairs than the limit leave the bound as it is.
-                bound = np.fmin(bound, np.partition(far, limit - 1, axis=0)[limit - 1])
-            row, request = np.nonzero(far <= bound)
-            kept.append((request, far[row, request], ids[row]))
+    def best(kept: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         request, distance, ids = (np.concatenate(c) for c in zip(*kept))
         order = np.lexsort((ids, distance, request))
         request, distance, ids = request[order], distance[order], ids[order]
-        first = np.arange(len(request)) - np.searchsorted(request, request) < limit
+        place = np.arange(len(request)) - np.searchsorted(request, request)
+        return tuple(c[place < limit] for c in (request, distance, ids))
+
+    def found(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        # What is below a request's bound is not among its nearest.
+        bound = np.full(asked.num_rows, -np.inf)
+        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for tile, (ids, cosines, wanted) in enumerate(_tiles(part, asked), 1):
+            if tile == 1 and len(ids) >= limit:
+                away = np.where(np.isnan(cosines) if wanted is None else np.isnan(cosines) | ~wanted, np.inf, -cosines)
+                bound = -np.partition(away, limit - 1, axis=0)[limit - 1] - _SLACK
+            close = ~(cosines < bound)
+            row, request = np.nonzero(close if wanted is None else close & wanted)
+            kept.append((request, _far(cosines[row, request]), ids[row]))
+            if tile & (tile - 1) == 0:
+                # After 1, 2, 4, ... tiles the bounds are taken from what was found.
+                kept = [best(kept)]
+                request, distance, _ = kept[0]
+                last = np.searchsorted(request, np.arange(asked.num_rows)) + limit - 1
+                full = np.searchsorted(request, np.arange(asked.num_rows), side="right") > last
+                bound[full] = np.fmax(bound[full], 1 - distance[last[full]] - _SLACK)
+        request, distance, ids = best(kept)
         distance = np.where(np.isinf(distance), np.nan, distance)
-        return request[first], {"id": pa.array(ids[first], pa.int64()), "distance": pa.array(distance[first])}
+        return request, {"id": pa.array(ids, pa.int64()), "distance": pa.array(distance)}
 
     return found
 
@@ -302,8 +329,14 @@ def _no_later(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa
     """How many listings of a group rank no later than each request's mark."""
     cut, cut_id = (asked.column(c).to_numpy() for c in ("distance", "id"))
     count = np.zeros(asked.num_rows, np.int64)
-    for ids, far in _tiles(part, asked):
-        count += ((far < cut) | ((far == cut) & (ids[:, None] <= cut_id))).sum(axis=0)
+    for ids, cosines, _ in _tiles(part, asked):
+        closer = cosines > 1 - cut + _SLACK
+        count += closer.sum(axis=0)
+        # Only those about as far as the mark are compared exactly.
+        row, request = np.nonzero((cosines > 1 - cut - _SLACK) & ~closer)
+        far = _far(cosines[row, request])
+        before = (far < cut[request]) | ((far == cut[request]) & (ids[row] <= cut_id[request]))
+        count += np.bincount(request[before], minlength=len(count))
     return np.arange(asked.num_rows), {"position": pa.array(count)}
 
 
@@ -319,22 +352,18 @@ def _ranked_matches(
 ) -> DataFrame:
     """The nearest ``limit`` matching listings per ``(request_id, *carry)``, ranked.
 
-    The filters run without vectors and leave, for each listing and block of requests, the
-    numbers of the requests it matches. Vectors join once per listing and block. Listings
-    without a vector are never ranked, so they are not matched either.
+    A listing with a vector goes to the blocks of requests that some filter of theirs leaves
+    open to it, by the loosest filter of the block. Inside a group every filter is checked with
+    bitmaps beside the distances, so that no pair of a request and a listing leaves it that
+    is not among the request's nearest there.
     """
     keys = ["request_id", *carry]
-    listings = _with_vector(listings)
+    listings = _with_vector(listings).where(F.col("id").isNotNull())
     asked, blocks = _in_blocks(requests, keys)
-    met = filters.match(listings.drop("embedding"), asked.drop("query"), ("id",), ("_block", "_number"))
-    # At most a block of numbers in each list.
-    wanted = met.groupBy(F.col("id").alias("_id"), "_block").agg(F.collect_list("_number").alias("_wanted"))
-    vectors = (
-        listings.select(F.col("id").cast("long").alias("id"), "embedding")
-        .join(wanted, F.col("id") == F.col("_id"))
-        .select("id", "embedding", "_block", "_wanted")
-    )
-    sides = asked.select(*keys, "query", "_block", "_number")
+    told = ("embedding", *counting.LISTING_COLUMNS)
+    met = filters.match(listings.select("id", *told), filters.loosest(asked, "_block"), ("id", *told))
+    vectors = met.select(F.col("id").cast("long").alias("id"), *told, F.col("request_id").alias("_block"))
+    sides = filters._request_side(asked).select(*keys, "query", "_block", *counting.FILTER_COLUMNS)
     found = _block_product(
         vectors, sides, listings.count(), blocks, _nearest_in(limit), keys, "id long, distance double"
     )

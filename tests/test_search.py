@@ -222,3 +222,48 @@ def test_listings_without_a_vector_are_not_matched(monkeypatch, listings, reques
     want = sorted(search.batch_top_k(listings, requests, 5).collect())
     assert sorted(search.batch_top_k(listings.unionByName(bare), requests, 5).collect()) == want
     assert met[1] == met[0] < listings.unionByName(bare).count()
+
+
+def test_no_pair_of_a_request_and_a_listing_is_shuffled(monkeypatch, listings, requests):
+    met = []
+    match = search.filters.match
+    monkeypatch.setattr(search.filters, "match", lambda rows, sets, *more: met.append(match(rows, sets, *more)) or met[-1])
+    plan = search.batch_top_k(listings, requests, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    # All requests are one block: each listing with a vector meets it once.
+    assert met[0].count() == listings.where("embedding IS NOT NULL").count()
+
+
+def test_a_block_meets_only_what_some_filter_of_its_leaves_open(spark, listings, rows):
+    vectors = spark.createDataFrame([("a", row(1)[-1]), ("b", row(7)[-1])], "request_id string, query array<float>")
+    given = {
+        "a": {"neighbourhood_ids": [3], "max_price": 90.0, "min_accommodates": 2},
+        "b": {"neighbourhood_ids": [4, 3], "max_price": 200.0, "min_accommodates": 4, "min_rating": 4.0},
+    }
+    sets = filters.filter_sets(spark, given).join(vectors, "request_id").withColumn("block", F.lit(0))
+    one = filters.loosest(sets, "block").first()
+    assert (sorted(one["neighbourhood_ids"]), one["max_price"], one["min_accommodates"], one["min_rating"]) == ([3, 4], 200.0, 2, None)
+    out = search.batch_top_k(listings, sets.drop("block"), 10)
+    keep = {
+        "a": lambda r: r[3] == 3 and r[8] <= 90 and r[9] >= 2,
+        "b": lambda r: r[3] in (3, 4) and r[8] <= 200 and r[9] >= 4 and r[14] is not None and np.float32(r[14]) >= 4,
+    }
+    for name in keep:
+        assert ids(out, name) == exact(rows, name, 10, keep[name]) != [], name
+    too_many = sets.withColumn("neighbourhood_ids", F.sequence(F.lit(1), F.lit(filters._NAMED_VALUES + 1)))
+    assert filters.loosest(too_many, "block").first()["neighbourhood_ids"] == []
+
+
+def test_equal_and_missing_directions_keep_their_order(monkeypatch, spark, rows, tmp_path):
+    """Many equal vectors and some of length zero: ties go by id, zeros come last."""
+    schema, same = SCHEMA, row(1)[-1]
+    flat = [(*r[:-1], same if r[0] % 3 else [0.0] * 8) for r in rows[:120]]
+    path = str(tmp_path / "flat")
+    spark.createDataFrame(flat, schema).write.parquet(path)
+    sets = filters.filter_sets(spark, {"a": {}}).join(spark.createDataFrame([("a", same)], "request_id string, query array<float>"), "request_id")
+    monkeypatch.setattr(config, "DISTANCE_TILE", 16)
+    order = sorted(r[0] for r in flat if r[0] % 3) + sorted(r[0] for r in flat if not r[0] % 3)
+    for limit in (10, 90):
+        found = search.batch_top_k(spark.read.parquet(path), sets, limit)
+        assert ids(found, "a") == order[:limit], limit
+        assert ids(search.nearest(spark.read.parquet(path), sets, limit), "a") == order[:limit], limit
