@@ -118,8 +118,8 @@ def words(col: Column) -> Parsed:
     return Parsed(F.nullif(stripped(col), F.lit("")), lambda v: F.coalesce(has_nul(v), F.lit(False)))
 
 
-def name_list(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """``rows`` with a JSON list of strings as ``array<struct<name, key>>`` in ``out``.
+def listed_strings(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with a JSON list of strings as ``array<string>`` in ``out``.
 
     NULL where the text is refused: no JSON, no list, an entry that is no string, or a
     NUL byte. Each step is a column of its own, so that the text is parsed once.
@@ -129,7 +129,11 @@ def name_list(rows: DataFrame, column: str, out: str) -> DataFrame:
     strings = F.try_variant_get("_json", "$", "array<string>")
     is_list = F.schema_of_variant("_json").isin("ARRAY<STRING>", "ARRAY<VOID>")
     listed = F.when(is_list, strings).when(text == "", F.array().cast("array<string>"))
-    steps = steps.withColumn("_strings", listed)
-    usable = ~F.exists("_strings", lambda s: s.isNull() | has_nul(s))
-    steps = steps.withColumn("_strings", F.when(usable, F.col("_strings")))
-    return distinct_names(steps, "_strings", out).drop("_json", "_strings")
+    steps = steps.withColumn(out, listed)
+    usable = ~F.exists(out, lambda s: s.isNull() | has_nul(s))
+    return steps.withColumn(out, F.when(usable, F.col(out))).drop("_json")
+
+
+def name_list(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with a JSON list of strings as ``array<struct<name, key>>`` in ``out``, NULL where it is refused."""
+    return distinct_names(listed_strings(rows, column, "_strings"), "_strings", out).drop("_strings")

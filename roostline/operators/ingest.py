@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from roostline import config
 from roostline.functions import rules
 from roostline.functions.rules import Parsed
+from roostline.functions.text import distinct_names
 from roostline.sources.snapshot_csv import FILE_POSITION
 
 REJECTED_FIELD = "rejected_field"
 READABLE_ID = "readable_id"
 
-_Rule = tuple[str, str | None, Parsed]
+_Rule = tuple[str, str | None, Parsed]  # a value of None is read by a step of its own
 
 
 def _listing_rules() -> Sequence[_Rule]:
@@ -84,7 +85,7 @@ def _listing_rules() -> Sequence[_Rule]:
         ),
         ("instant_bookable", "instant_bookable", rules.flag(c("instant_bookable"))),
         ("host_is_superhost", "host_is_superhost", rules.flag(c("host_is_superhost"))),
-        ("amenities", "amenity_names", Parsed(c("_amenity_names"), lambda v: v.isNull())),
+        ("amenities", "amenity_names", Parsed(None, lambda v: v.isNull())),
     )
 
 
@@ -111,15 +112,26 @@ LISTING_TYPES = {
 }
 
 
-def _judge(raw: DataFrame, ruleset: Sequence[_Rule], id_rule: Parsed) -> DataFrame:
+def _judge(
+    raw: DataFrame,
+    ruleset: Sequence[_Rule],
+    id_rule: Parsed,
+    between: Sequence[Callable[[DataFrame], DataFrame]] = (),
+) -> DataFrame:
+    """Values, with a step of ``between`` after each share of them, then verdicts.
+
+    Spark does not compile list functions together with their neighbours, so such steps cut the
+    work into several methods. All rules in one go beyond 8,000 bytes, which the JVM interprets.
+    """
     carried = [name for name in (FILE_POSITION, "bad_encoding") if name in raw.columns]
     # Values first, each in a column of its own; the verdicts then read those columns.
     kept = {field: out for field, out, _ in ruleset if out}
     steps = raw.withColumn("_id", id_rule.value)
     steps = steps.withColumns({out: rule.value for _, out, rule in ruleset if out and out[0] == "_"})
-    steps = steps.withColumns(
-        {f"_v_{out}": rule.value for _, out, rule in ruleset if out and out[0] != "_"}
-    )
+    values = [(f"_v_{out}", rule.value) for _, out, rule in ruleset if out and out[0] != "_" and rule.value is not None]
+    share = -(-len(values) // max(1, len(between)))
+    for i, step in enumerate(between or (lambda steps: steps,)):
+        steps = step(steps.withColumns(dict(values[i * share : (i + 1) * share])))
     where = lambda out: F.col(out if out[0] == "_" else f"_v_{out}")
     # The first rule that refuses names the rejection.
     reason = F.coalesce(
@@ -140,8 +152,11 @@ def parse_listings(raw: DataFrame) -> DataFrame:
     result before splitting it: a filter on the verdict would otherwise be moved below
     the parsing and parse every row a second time.
     """
-    named = rules.name_list(raw, "amenities", "_amenity_names")
-    return _judge(named, _listing_rules(), rules.whole_number(F.col("id")))
+    between = (
+        lambda steps: rules.listed_strings(steps, "amenities", "_strings"),
+        lambda steps: distinct_names(steps, "_strings", "_v_amenity_names"),
+    )
+    return _judge(raw, _listing_rules(), rules.whole_number(F.col("id")), between)
 
 
 def parse_reviews(raw: DataFrame) -> DataFrame:

@@ -156,3 +156,17 @@ def test_no_personal_column_survives(spark):
 def test_missing_columns():
     assert missing_columns(["a", "b", "x"], ["b", "c", "a"]) == ["c"]
     assert missing_columns(None, ["b", "a"]) == ["a", "b"]
+
+
+def test_no_compiled_method_of_the_listing_rules_is_too_large(spark):
+    """The JVM interprets a method beyond 8,000 bytes, at several times the cost."""
+    huge = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    names = config.LISTING_SOURCE_COLUMNS
+    raw = spark.createDataFrame([("1",) * len(names)], ", ".join(f"{c} string" for c in names))
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        stages = ingest.parse_listings(raw.localCheckpoint())._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", huge)
+    assert len(sizes) >= 3 and 0 < max(sizes) < 8000
