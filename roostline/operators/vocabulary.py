@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roostline import config
 from roostline.errors import GroundingError
@@ -117,8 +121,9 @@ def rewrite_spellings(
 
     The hottest spellings are found first, from ``uses`` where they are counted already,
     and replaced inside their rows. Of the rest only rows that hold a losing spelling
-    travel: their replacements come back as one small map per row and the lists
-    themselves never leave their rows.
+    travel: their replacements come back as one small list per row and the lists
+    themselves never leave their rows. Entries are looked up in hash tables, a batch of
+    rows at a time, so that a long list costs no more per entry than a short one.
     """
     if uses is None:
         uses = rows.select(F.explode(column).alias("spelling")).groupBy("spelling").agg(F.count("*").alias("uses"))
@@ -127,24 +132,41 @@ def rewrite_spellings(
         cold_entries(rows, key, hot, column)
         .join(losers, "spelling")
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_set(F.struct("spelling", "canonical"))).alias("_swap"))
+        .agg(F.collect_set(F.struct("spelling", "canonical")).alias("_swap"))
     )
-    # The map holds the hot losers alone; a lookup reads it through.
-    inside = [F.lit(x) for pair in hot.items() if pair[0] != pair[1] for x in pair]
-    known = F.create_map(*inside) if inside else None
-
-    def swapped(a: Column) -> Column:
-        found = F.element_at("_swap", a)
-        return F.coalesce(found, a) if known is None else F.coalesce(F.element_at(known, a), found, a)
-
-    touched = F.col("_swap").isNotNull() if known is None else F.lit(True)
+    known = {spelling: canonical for spelling, canonical in hot.items() if spelling != canonical}
+    touched = F.lit(True) if known else F.col("_swap").isNotNull()
     return (
         rows.join(changes, key, "left")
-        .withColumn(column, F.when(touched, F.transform(column, swapped)).otherwise(F.col(column)))
+        .withColumn(column, F.coalesce(_swapped_by(known)(F.when(touched, F.col(column)), "_swap"), F.col(column)))
         .drop("_swap")
     )
 
 
+def _swapped_by(known: Mapping[str, str]) -> Callable[[Column, str], Column]:
+    """Lists with each entry replaced as ``known`` or the row's ``(spelling, canonical)`` pairs say."""
+
+    def looked_up(entries: pa.Array, table: Mapping[str, str]) -> pa.Array:
+        places = pc.index_in(entries, value_set=pa.array(table.keys(), entries.type))
+        return pa.array(table.values(), entries.type).take(places)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def swapped(lists: pa.Array, swaps: pa.Array) -> pa.Array:
+        entries = lists.flatten()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        # A spelling has one canonical form, so the pairs of a batch are one table. It is for the
+        # rows that were given pairs.
+        spelling, canonical = swaps.flatten().flatten()
+        pairs = dict(zip(spelling.to_pylist(), canonical.to_pylist()))
+        given = pa.array(np.repeat(swaps.is_valid().to_numpy(zero_copy_only=False), sizes))
+        own = pc.if_else(given, looked_up(entries, pairs), pa.scalar(None, entries.type))
+        out = pc.coalesce(looked_up(entries, known), own, entries)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.ListArray.from_arrays(offsets, out, mask=lists.is_null())
+
+    return swapped
+
+
 def encode_dimension(rows: DataFrame, dimension: DataFrame, column: str, id_column: str) -> DataFrame:
     """Replace a text dimension by the id the lookup table gives it."""
     lookup = dimension.select(F.col("name").alias(column), F.col("id").alias(id_column))

@@ -228,6 +228,21 @@ def test_a_hot_spelling_stays_in_its_rows(spark):
     assert vocabulary.rewrite_spellings(rows.limit(0), "id", losers).isEmpty()
 
 
+def test_long_lists_are_rewritten_without_a_scan_per_entry(spark):
+    names = [f"Thing {i}" for i in range(300)]
+    counts = spark.createDataFrame([(n.lower(), s, u) for n in names for s, u in ((n, 3), (n.upper(), 1))], "key string, spelling string, uses long")
+    losers = vocabulary.respellings(counts)
+    lists = [(1, [n.upper() for n in names] * 3), (2, None), (3, [None, "THING 299", "desk"]), (None, ["THING 299"]), (4, ["desk"])]
+    rows = spark.createDataFrame(lists, "id int, amenities array<string>").coalesce(1)
+    out = vocabulary.rewrite_spellings(rows, "id", losers, uses=counts)
+    got = {r["id"]: r["amenities"] for r in out.collect()}
+    # A row without a key meets no replacement but the hot ones.
+    assert "THING 299" not in vocabulary.hot_spellings(counts, losers)
+    assert got == {1: names * 3, 2: None, 3: [None, "Thing 299", "desk"], None: ["THING 299"], 4: ["desk"]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "element_at" not in plan and "transform(" not in plan
+
+
 def test_rare_types_at_the_threshold(spark):
     rows = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2, "property_type string")
     out = vocabulary.collapse_rare(rows, min_listings=3).groupBy("property_type").count().collect()
