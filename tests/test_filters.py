@@ -10,7 +10,7 @@ from roostline import config
 from roostline.errors import InvalidFilterError, UnknownFieldError
 from roostline.functions import geometry
 from roostline.functions.geometry import box_around
-from roostline.operators import counting, filters, relax
+from roostline.operators import counting, filters, pairs, relax
 
 COLUMNS = (
     "id int, source_listing_id long, neighbourhood_id int, room_type_id smallint, property_type_id smallint, latitude double, "
@@ -349,3 +349,55 @@ def test_loosening_clears_instead_of_zeroing(spark):
     assert loosen("min_reviews")["min_reviews"] == 17
     assert loosen("max_minimum_nights")["max_minimum_nights"] == 4
     assert loosen("near")["near"] is None
+
+
+def pairs_of(frame):
+    return sorted(tuple(str(v) for v in row) for row in frame.collect())
+
+
+def test_many_filter_sets_are_matched_without_a_join(monkeypatch, spark, listings, rows):
+    monkeypatch.setattr(counting, "BLOCK_FILTERS", 50)
+    monkeypatch.setattr(pairs, "CHUNK_FILTERS", 7)
+    monkeypatch.setattr(pairs, "PAIRS_AT_ONCE", 500)
+    given = make_requests(100, seed=8)
+    sets = filters.canonical(filters.filter_sets(spark, given)).withColumn("more", F.length("request_id"))
+    found = filters.match(listings, sets)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Cartesian" not in plan
+    want = [(name, row) for name, asked in given.items() for row in rows if row["id"] in matching(rows, asked)]
+    assert pairs_of(found) == sorted((name, str(row["id"])) for name, row in want)
+    wide = filters.match(listings, sets, ("id", "price_gbp", "amenities"), ("more",))
+    assert wide.columns == ["request_id", "more", "id", "price_gbp", "amenities"]
+    assert pairs_of(wide) == sorted(
+        (name, str(len(name)), *(str(row[c]) for c in ("id", "price_gbp", "amenities"))) for name, row in want
+    )
+
+
+def test_bitmaps_and_join_agree_on_odd_rows(monkeypatch, spark):
+    nan, inf = math.nan, math.inf
+    rng = random.Random(4)
+    number = lambda *more: rng.choice([None, nan, inf, -inf, 0.0, -0.0, 2.5, 4.0, *more])
+    whole = lambda: rng.choice([None, 0, 1, 2, 3])
+    names = lambda: rng.choice([None, [], [None], ["a"], ["a", "a", None], ["b", "a"], ["b", ""]])
+    ids = lambda: rng.choice([None, [], [0], [1, 1, None], [None], [2, 3]])
+    flag = lambda: rng.choice([None, True, False])
+    odd = [
+        (rng.choice([None, i, i // 2]), i, whole(), whole(), whole(), number(51.0, 90.0, 95.0), number(-181.0, 0.5), number(), whole(), whole(), whole(),
+         number(), whole(), number(), number(), whole(), flag(), flag(), names())
+        for i in range(120)
+    ]
+    seldom = lambda make: make() if rng.random() < 0.2 else None
+    near = lambda: (rng.choice([None, 51.0, 89.9]), rng.choice([None, 0.0]), rng.choice([None, 10.0, 190.0]))
+    asked = [
+        (rng.choice([None, "x", f"r{i}"]), *(seldom(ids) for _ in filters.ANY_OF), seldom(number), seldom(number), seldom(whole), seldom(whole), seldom(whole),
+         seldom(number), seldom(whole), seldom(number), seldom(number), seldom(whole), seldom(flag), seldom(flag), seldom(names), seldom(near))
+        for i in range(200)
+    ]
+    listings = spark.createDataFrame(odd, COLUMNS)
+    sets = spark.createDataFrame(asked, filters.FILTER_SETS)
+    for some in (sets, filters.canonical(sets)):
+        found = {}
+        for most in (64, 1000):
+            monkeypatch.setattr(filters, "JOINED_SETS", most)
+            found[most] = pairs_of(filters.match(listings, some, ("id", "source_listing_id")))
+        assert len(found[64]) > 1000 and found[64] == found[1000]
