@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
+import re
+import shutil
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import UTC, date, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roostline.errors import LoadError
-from roostline.session import create_once, exists, subfolders, without_folder
+from roostline.session import create_once, exists, local_path, local_working_folder, setting, subfolders, without_folder
 
 LISTINGS = T.StructType(
     [
@@ -199,12 +204,86 @@ def write_trace(steps: DataFrame, path: str) -> None:
     """Run steps as JSON lines, one folder per run, made anew if the job is repeated.
 
     A folder holds one file, or one per million steps of a longer run, so that no task
-    writes a run of any length alone.
+    writes a run of any length alone. On a local file system the tasks write the files
+    themselves: Hadoop starts four processes there for each file it creates.
     """
+    folder = local_path(steps.sparkSession, path)
     spread = F.floor(F.col("step_index") / 1_000_000)
-    steps.repartition("run_id", spread).write.partitionBy("run_id").mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).json(path)
+    apart = steps.repartition("run_id", spread)
+    if folder is None:
+        apart.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+        return
+    rest = [c for c in steps.columns if c != "run_id"]
+    lines = apart.select(F.col("run_id").cast("string").alias("run"), F.to_json(F.struct(*rest)).alias("line"))
+    with local_working_folder(folder) as drafts:
+        # One row a task: the folder of the attempt that succeeded.
+        done = lines.sortWithinPartitions("run").mapInArrow(_run_files(drafts), "folder string").collect()
+        _publish_runs([r["folder"] for r in done], folder)
+
+
+def _run_folder(run: str | None) -> str:
+    """The folder name that Spark gives a run."""
+    if not run:
+        return "run_id=__HIVE_DEFAULT_PARTITION__"
+    return "run_id=" + re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", run)
+
+
+def _run_files(drafts: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of an Arrow pass over (run, line), sorted by run: a file for each run, in a folder of the attempt."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = uuid.uuid4().hex
+        out, last = None, None
+        try:
+            for batch in batches:
+                runs, lines = (c.to_pylist() for c in batch.columns)
+                at = 0
+                for run, rows in itertools.groupby(runs):
+                    stop = at + len(list(rows))
+                    into = f"{drafts}/{name}/{_run_folder(run)}"
+                    if into != last:
+                        if out:
+                            out.close()
+                        os.makedirs(into, exist_ok=True)
+                        # A run without a name and one whose name is empty share a folder.
+                        out, last = open(f"{into}/part-{name}.json", "a", encoding="utf-8", newline=""), into
+                    out.write("\n".join(lines[at:stop]) + "\n")
+                    at = stop
+        finally:
+            if out:
+                out.close()
+        if out:
+            yield pa.RecordBatch.from_pydict({"folder": [f"{drafts}/{name}"]})
+
+    return write
+
+
+def _publish_runs(drafts: Sequence[str], folder: str) -> None:
+    """Give the runs of all ``drafts`` their place below ``folder``, instead of what was there."""
+    placed = set()
+    for draft in drafts:
+        for run in os.listdir(draft):
+            into = f"{folder}/{run}"
+            if run not in placed:
+                placed.add(run)
+                try:
+                    os.rename(f"{draft}/{run}", into)  # fails on a folder with files
+                    continue
+                except OSError:
+                    shutil.rmtree(into)
+                    os.rename(f"{draft}/{run}", into)
+            else:
+                for file in os.listdir(f"{draft}/{run}"):
+                    os.rename(f"{draft}/{run}/{file}", f"{into}/{file}")
+
+
+def read_trace(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The steps of all runs that ``write_trace`` wrote.
+
+    The folders are listed by a few tasks for each core: by default it would be 10,000 tasks.
+    """
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", 8 * spark.sparkContext.defaultParallelism):
+        return spark.read.schema(schema).json(path)
 
 
 class PackedTraces:

@@ -281,8 +281,7 @@ def trace_sink(spark, sf):
     path = scratch_path(spark, "trace")
     steps = r.steps(spark, sf).select("run_id", "step_index", "kind", "name", "args", "output")
     tables.write_trace(steps, path)
-    back = spark.read.schema("step_index long, kind string, name string, args string, output string, run_id long")
-    return back.json(path)
+    return tables.read_trace(spark, path, "step_index long, kind string, name string, args string, output string, run_id long")
 
 
 _TRACE = ("run_id", "step_index", "kind", "name", "args", "output")

@@ -13,7 +13,7 @@ from roostline.functions.quantiles import exact_percentiles
 from roostline.functions.running import running_totals
 from roostline.functions.text import without_names
 from roostline.operators import audit, cost, documents, evaluation, reconcile, traces, vocabulary
-from roostline.sources.tables import PackedTraces, write_trace
+from roostline.sources.tables import PackedTraces, read_trace, write_trace
 from roostline.streaming import live_cost
 
 CALLS = (
@@ -133,6 +133,43 @@ def test_trace_files(spark, steps, tmp_path):
     assert sorted(x["step_index"] for x in lines) == list(range(7))
 
 
+def test_trace_files_are_those_of_spark_without_its_cost_per_file(spark, tmp_path):
+    names = ["a", "b/c=d", 'q"[x]^', "é \\ {y", "", None]
+    data = [(n, i, f"{n} \n{i}" if i else None) for n in names for i in range(3)]
+    steps = spark.createDataFrame(data, "run_id string, step_index long, output string")
+    ours, theirs = tmp_path / "ours", tmp_path / "theirs"
+    write_trace(steps, str(ours))
+    steps.write.partitionBy("run_id").json(str(theirs))
+
+    def held(folder):
+        return {d.name: sorted(x for f in d.glob("part-*.json") for x in f.read_text().splitlines()) for d in folder.glob("run_id=*")}
+
+    assert held(ours) == held(theirs) and len(held(ours)) == 5
+    # Hadoop's local file system writes a sum beside each file, by processes of its own.
+    assert not list(ours.rglob("*.crc")) and not list(ours.glob(".*"))
+    # A run is made anew, the others stay.
+    write_trace(steps.where("run_id = 'a' AND step_index = 1"), str(ours))
+    assert held(ours) == held(theirs) | {"run_id=a": held(theirs)["run_id=a"][1:2]}
+    back = read_trace(spark, str(ours), "step_index long, output string, run_id string")
+    assert back.count() == 3 * 6 - 2 and back.where("run_id IS NULL").count() == 6
+
+
+def test_a_long_run_has_a_file_for_each_million_steps(spark, tmp_path):
+    steps = spark.createDataFrame([(run, i * 1_000_000) for run in (1, 2) for i in range(5)], "run_id long, step_index long")
+    for _ in range(2):
+        write_trace(steps, str(tmp_path / "runs"))
+        back = read_trace(spark, str(tmp_path / "runs"), "step_index long, run_id long")
+        assert sorted(tuple(r) for r in back.collect()) == sorted((s, r) for r, s in steps.collect())
+
+
+def test_a_failed_trace_changes_nothing(spark, steps, tmp_path):
+    write_trace(steps, str(tmp_path))
+    before = sorted(p for p in tmp_path.rglob("*"))
+    with pytest.raises(Exception, match="no such output"):
+        write_trace(steps.withColumn("output", F.when(F.col("step_index") < 6, "x").otherwise(F.raise_error(F.lit("no such output")))), str(tmp_path))
+    assert sorted(p for p in tmp_path.rglob("*")) == before
+
+
 def test_packed_traces_find_a_run_in_its_file(spark, tmp_path):
     data = [(run, i, f"{run}/{i}") for run in range(300) for i in range(run % 7 + 1)] + [(300, i, f"300/{i}") for i in range(2_000)]
     random.Random(3).shuffle(data)
