@@ -97,7 +97,7 @@ def _summaries(rows: DataFrame, amenities: tuple[str, ...]) -> list:
         ends += [F.min(value).alias(f"low_{column}"), F.max(value).alias(f"high_{column}")]
     places = [f(f"_{c}").alias(f"{n}_{c}") for c in ("latitude", "longitude") for n, f in (("low", F.min), ("high", F.max))]
     # More ids than IDS_MAX say nothing: such a cell is not ruled out by that dimension.
-    sets = [F.collect_set(c).alias(c) for c in filters.ANY_OF.values()]
+    sets = [F.collect_set(f"_{c}").alias(c) for c in filters.ANY_OF.values()]
     known = [F.max(F.array_contains("amenities", a)).alias(f"amenity_{i}") for i, a in enumerate(amenities)]
     out = sides.groupBy("cell").agg(F.count("*").alias("rows"), F.min("_cosine").alias("widest"), *ends, *places, *sets, *known)
     short = {c: F.when(F.size(c) <= IDS_MAX, F.col(c)) for c in filters.ANY_OF.values()}
@@ -173,7 +173,9 @@ def visit_share(index: Index, wanted: float) -> float:
 
 def _possible(index: Index, part: pa.RecordBatch) -> np.ndarray:
     """Requests by cells: whether some listing of the cell may match, as far as its summary tells."""
-    ends = {c: np.array([r[c] if r[c] is not None else np.nan for r in index.cells], float) for c in index.cells[0].__fields__ if c.startswith(("low_", "high_"))}
+    # NaN is the greatest number of a column, and stands for an end that no listing of the cell has.
+    end = lambda value: np.nan if value is None else np.inf if value != value else value
+    ends = {c: np.array([end(r[c]) for r in index.cells], float) for c in index.cells[0].__fields__ if c.startswith(("low_", "high_"))}
     column = lambda name: part.column(part.schema.get_field_index(name))
     ok = np.ones((part.num_rows, len(index.cells)), bool)
     for field, (name, compare) in filters.BOUNDS.items():
@@ -185,10 +187,14 @@ def _possible(index: Index, part: pa.RecordBatch) -> np.ndarray:
     for axis, low, high in (("latitude", "_south", "_north"), ("longitude", "_west", "_east")):
         ok &= (ends[f"high_{axis}"] >= column(low).to_numpy()[:, None]) & (ends[f"low_{axis}"] <= column(high).to_numpy()[:, None])
     for field, name in filters.ANY_OF.items():
-        held = [None if r[name] is None else set(r[name]) for r in index.cells]
+        place = {value: k for k, value in enumerate(dict.fromkeys(v for r in index.cells for v in r[name] or ()))}
+        holds = np.zeros((len(place) + 1, len(index.cells)), bool)  # the last row: an id that no cell is known for
+        for k, r in enumerate(index.cells):
+            holds[[place[v] for v in r[name] or ()], k] = True
+        holds[:, [r[name] is None for r in index.cells]] = True
         for i, ids in enumerate(column(field).to_pylist()):
             if ids:
-                ok[i] &= [h is None or not h.isdisjoint(ids) for h in held]
+                ok[i] &= holds[[place.get(v, -1) for v in ids]].any(axis=0)
     has = {a: np.array([bool(r[f"amenity_{k}"]) for r in index.cells]) for k, a in enumerate(index.amenities)}
     for i, names in enumerate(column("amenities").to_pylist()):
         for name in names or ():
@@ -215,9 +221,11 @@ def _visits(index: Index):
                 run_ = np.cumsum(sizes[order])
                 total = int(run_[-1]) if len(order) else 0
                 stop = int(np.searchsorted(run_, share[i] * everything - 1e-9)) + 1
-                chosen.append(numbers[order[:stop]])
+                chosen.append(numbers[order[:stop]].astype(np.int32))
                 left.append((len(order), total, int(run_[min(stop, len(order)) - 1]) if len(order) else 0))
-            columns = [part.column("request_id"), pa.array([c.tolist() for c in chosen], pa.list_(pa.int32())), *(pa.array([x[j] for x in left], pa.int64()) for j in range(3))]
+            ends = np.cumsum([0, *map(len, chosen)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*chosen, np.zeros(0, np.int32)])))
+            columns = [part.column("request_id"), lists, *(pa.array([x[j] for x in left], pa.int64()) for j in range(3))]
             yield pa.RecordBatch.from_arrays(columns, names=["request_id", "cells", "possible_cells", "possible_rows", "visited_rows"])
 
     return run
@@ -269,26 +277,62 @@ def top_k(index: Index, requests: DataFrame, limit: int) -> DataFrame:
     requests = stable(filters.canonical(requests))
     if not index.vectors:
         return search.batch_top_k(index.rows.drop("cell"), requests, limit)
-    visits = stable(plan(index, requests, limit).select("request_id", "cells"))
-    found = stable(_visited_top_k(index, requests, visits, limit))
+    visits = stable(plan(index, requests, limit).select("request_id", "cells", (F.col("visited_rows") < F.col("possible_rows")).alias("cut")))
+    found = stable(_visited_top_k(index, requests, visits.drop("cut"), limit))
     full = found.where(F.col("place") == limit).select("request_id")
-    rest = requests.join(full, "request_id", "left_anti")
-    return found.join(full, "request_id", "left_semi").unionByName(search.batch_top_k(index.rows.drop("cell"), rest, limit))
+    # Who visited every cell that may hold a match has them all.
+    again = visits.where("cut").select("request_id").distinct().join(full, "request_id", "left_anti")
+    if again.isEmpty():
+        return found
+    rest = requests.join(again, "request_id", "left_semi")
+    return found.join(again, "request_id", "left_anti").unionByName(search.batch_top_k(index.rows.drop("cell"), rest, limit))
 
 
 def _visited_top_k(index: Index, requests: DataFrame, visits: DataFrame, limit: int) -> DataFrame:
+    """The nearest ``limit`` matching listings in the cells that each request visits.
+
+    Runs of cells meet blocks of requests, as for exact pools. Filters are checked with
+    bitmaps inside a group, so that no pair of a request and a listing leaves it that is not
+    among the request's nearest there.
+    """
+    spark = requests.sparkSession
     asked, blocks = search._in_blocks(requests.join(visits, "request_id"), ["request_id"])
-    probes = filters._request_side(asked.drop("query")).withColumn("cell", F.explode("cells"))
-    every = F.lit(True)
-    for _, holds in filters._pair_terms():
-        every = every & holds
-    # Cells that no request visits are not read where the probes are few enough to be sent.
-    met = filters._listing_side(index.rows.drop("embedding")).alias("l").join(probes.alias("f"), (F.col("l.cell") == F.col("f.cell")) & every)
-    wanted = met.groupBy(F.col("l.cell").alias("_cell"), F.col("l.id").alias("_id"), F.col("f._block").alias("_block")).agg(F.collect_list("f._number").alias("_wanted"))
-    vectors = index.rows.select(F.col("id").cast("long").alias("id"), "embedding", "cell")
-    vectors = vectors.join(wanted, (F.col("cell") == F.col("_cell")) & (F.col("id") == F.col("_id"))).select("id", "embedding", "_block", "_wanted")
-    sides = asked.select("request_id", "query", "_block", "_number")
-    found = search._block_product(vectors, sides, index.vectors, blocks, search._nearest_in(limit), ["request_id"], "id long, distance double")
+    # A few groups for each core, each as large as its bounds allow.
+    share = -(-index.vectors * blocks // (8 * spark.sparkContext.defaultParallelism))
+    part_of, pieces, parts = _parts(index, min(config.LISTING_SLICE, max(config.DISTANCE_TILE, share)))
+    part = lambda cell: F.get(part_of, cell)
+    named = stable(asked.select("_block", F.explode("cells").alias("_cell")).distinct())
+    met = [r["_cell"] for r in named.select("_cell").distinct().collect()]
+    # Cells that no request visits are not read, and a listing is sent to the blocks that visit its cell.
+    rows = index.rows.where(F.col("id").isNotNull())
+    rows = rows if len(met) == len(index.cells) else rows.where(F.col("cell").isin(met))
+    named = F.broadcast(named) if blocks * len(met) <= config.BROADCAST_MAX_ROWS else named
+    vectors = (
+        rows.select(F.col("id").cast("long").alias("id"), "embedding", "cell", *counting.LISTING_COLUMNS)
+        .join(named, F.col("cell") == F.col("_cell"))
+        .withColumn("_part", part(F.col("cell")))
+        .withColumn("_piece", F.pmod(F.xxhash64("id"), F.get(pieces, F.col("_part"))).cast("int"))
+    )
+    sides = (
+        filters._request_side(asked)
+        .withColumn("_part", F.explode(F.array_distinct(F.transform("cells", part))))
+        .withColumn("cells", F.filter("cells", lambda c: part(c) == F.col("_part")))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.get(pieces, F.col("_part")) - 1)))
+    )
+    placed = (F.col("_part") + F.col("_piece") * parts).alias("_slice")
+    left = vectors.select("id", "embedding", "cell", *counting.LISTING_COLUMNS, "_block", placed)
+    right = sides.select("request_id", "query", "cells", "_block", *counting.FILTER_COLUMNS, placed)
+    # Both sides may stem from the same rows; new columns tell them apart.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    kind = requests.schema["request_id"].dataType.simpleString()
+    grouped = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
+    nearest_in = search.nearest_matching(limit)
+
+    def group(part: pa.Table, asked: pa.Table) -> pa.Table:
+        request, columns = nearest_in(part, asked)
+        return pa.table({"request_id": asked.column("request_id").combine_chunks().take(pa.array(request))} | columns)
+
+    found = grouped.applyInArrow(group, f"request_id {kind}, id long, distance double")
     return search.best_per(found.withColumn("id", F.col("id").cast(index.rows.schema["id"].dataType)), ["request_id"], limit)
 
 
@@ -330,20 +374,20 @@ def _asked_cells(index: Index, asked: DataFrame, pool: int) -> DataFrame:
     return asked.select("request_id", "query", "bound").mapInArrow(_reaching(index, pool), types)
 
 
-def _parts(index: Index) -> tuple[Column, Column, int]:
+def _parts(index: Index, most: int) -> tuple[Column, Column, int]:
     """The part of a ``cell`` and the pieces of a ``_part``, and how many parts there are.
 
-    A part is a run of cells with a slice of vectors at most; a cell that has more is a part of
-    its own, in pieces.
+    A part is a run of cells with ``most`` vectors; a cell that has more is a part of its own, in
+    pieces.
     """
     part_of, pieces, held = [0] * (max(r["cell"] for r in index.cells) + 1), [], 0
     for r in index.cells:
-        if not pieces or held + r["rows"] > config.LISTING_SLICE:
+        if not pieces or held + r["rows"] > most:
             pieces.append(1)
             held = 0
         held += r["rows"]
         part_of[r["cell"]] = len(pieces) - 1
-        pieces[-1] = -(-held // config.LISTING_SLICE)
+        pieces[-1] = -(-held // most)
     listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
     return listed(part_of), listed(pieces), len(pieces)
 
@@ -403,7 +447,7 @@ def _pools(index: Index, asked: DataFrame, pool: int) -> DataFrame:
     Runs of cells meet blocks of requests. A request is sent once to each run it names a cell
     of, and to every piece of a cell that is cut.
     """
-    part_of, pieces, parts = _parts(index)
+    part_of, pieces, parts = _parts(index, config.LISTING_SLICE)
     blocks = max(1, -(-asked.count() // config.QUERY_BLOCK))
     part = lambda cell: F.get(part_of, cell)
     sides = (

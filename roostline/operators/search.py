@@ -230,8 +230,10 @@ def _block_product(
     rows on either side, and the plan is the same for any number of requests. ``found``
     returns which request each of its rows belongs to, and the columns of ``result``.
     """
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(-(-listings // config.LISTING_SLICE), -(-2 * tasks // blocks))
+    spark = vectors.sparkSession
+    # Small groups only where there are too few for the cores.
+    groups = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    slices = max(-(-listings // config.LISTING_SLICE), -(-groups // blocks))
     left = vectors.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
     right = requests.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     # Both sides may stem from the same requests; new columns tell them apart.
@@ -255,32 +257,28 @@ def _block_product(
 _SLACK = 2 * 10.0**-config.DISTANCE_DECIMALS
 
 
-def _tiles(part: pa.Table, asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """``(ids, cosines, wanted)`` of a group, some listings at a time; all pairs are wanted without the last.
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length one; NaN where there is no direction."""
+    rows = matrix(vectors.combine_chunks())
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
 
-    A vector without a direction has cosine NaN. Wanted are those of a list of request numbers
-    a listing, or, of requests with filters, those that match.
+def _tiles(part: pa.Table, asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(ids, cosines)`` of a group, some listings at a time.
+
+    A vector without a direction has cosine NaN.
     """
     if not part.num_rows or not asked.num_rows:
         return
-    matched = counting.matcher(asked) if "amenities" in asked.column_names else None
-    listed = "_wanted" in part.column_names
-    number_at = np.argsort(asked.column("_number").to_numpy()) if listed else None
-    units = matrix(asked.column("query").combine_chunks())
+    units = _units(asked.column("query"))
     with np.errstate(invalid="ignore", divide="ignore"):
-        units = units / np.linalg.norm(units, axis=1, keepdims=True)
         for start in range(0, part.num_rows, config.DISTANCE_TILE):
             tile = part.slice(start, config.DISTANCE_TILE).combine_chunks()
             rows = matrix(tile.column("embedding").combine_chunks())
             cosines = rows @ units.T
             cosines /= np.linalg.norm(rows, axis=1, keepdims=True)
-            wanted = matched(tile) if matched else None
-            if listed:
-                lists = tile.column("_wanted").combine_chunks()
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                wanted = np.zeros(cosines.shape, dtype=bool)
-                wanted[np.repeat(np.arange(len(lengths)), lengths), number_at[lists.flatten().to_numpy()]] = True
-            yield tile.column("id").to_numpy(), cosines, wanted
+            yield tile.column("id").to_numpy(), cosines
 
 
 def _far(cosines: np.ndarray) -> np.ndarray:
@@ -290,46 +288,132 @@ def _far(cosines: np.ndarray) -> np.ndarray:
     return far
 
 
-def _nearest_in(limit: int) -> Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]:
-    """The ``limit`` nearest listings of each request of a group, ties by id."""
+def _best(kept: list[tuple[np.ndarray, ...]], limit: int) -> tuple[np.ndarray, ...]:
+    """The nearest ``limit`` of each request, ties by id."""
+    request, distance, ids = (np.concatenate(c) for c in zip(*kept))
+    order = np.lexsort((ids, distance, request))
+    request, distance, ids = request[order], distance[order], ids[order]
+    first = np.arange(len(request)) - np.searchsorted(request, request) < limit
+    return request[first], distance[first], ids[first]
+
+
+def _bounded(bound: np.ndarray, best: tuple[np.ndarray, ...], limit: int) -> np.ndarray:
+    """The cosine below which nothing is among a request's nearest, from the nearest so far."""
+    request, distance, _ = best
+    last = np.searchsorted(request, np.arange(len(bound))) + limit - 1
+    full = np.searchsorted(request, np.arange(len(bound)), side="right") > last
+    bound[full] = np.fmax(bound[full], 1 - distance[last[full]] - _SLACK)
+    return bound
+
 
-    def best(kept: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        request, distance, ids = (np.concatenate(c) for c in zip(*kept))
-        order = np.lexsort((ids, distance, request))
-        request, distance, ids = request[order], distance[order], ids[order]
-        place = np.arange(len(request)) - np.searchsorted(request, request)
-        return tuple(c[place < limit] for c in (request, distance, ids))
+def _told(best: tuple[np.ndarray, ...]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    request, distance, ids = best
+    distance = np.where(np.isinf(distance), np.nan, distance)
+    return request, {"id": pa.array(ids, pa.int64()), "distance": pa.array(distance)}
+
+
+_NONE = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+
+def _nearest_in(limit: int) -> Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]:
+    """The ``limit`` nearest listings of each request of a group, filters ignored."""
 
     def found(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
         # What is below a request's bound is not among its nearest.
-        bound = np.full(asked.num_rows, -np.inf)
-        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
-        for tile, (ids, cosines, wanted) in enumerate(_tiles(part, asked), 1):
+        bound, kept = np.full(asked.num_rows, -np.inf), [_NONE]
+        for tile, (ids, cosines) in enumerate(_tiles(part, asked), 1):
             if tile == 1 and len(ids) >= limit:
-                away = np.where(np.isnan(cosines) if wanted is None else np.isnan(cosines) | ~wanted, np.inf, -cosines)
+                away = np.where(np.isnan(cosines), np.inf, -cosines)
                 bound = -np.partition(away, limit - 1, axis=0)[limit - 1] - _SLACK
-            close = ~(cosines < bound)
-            row, request = np.nonzero(close if wanted is None else close & wanted)
+            row, request = np.nonzero(~(cosines < bound))
             kept.append((request, _far(cosines[row, request]), ids[row]))
             if tile & (tile - 1) == 0:
                 # After 1, 2, 4, ... tiles the bounds are taken from what was found.
-                kept = [best(kept)]
-                request, distance, _ = kept[0]
-                last = np.searchsorted(request, np.arange(asked.num_rows)) + limit - 1
-                full = np.searchsorted(request, np.arange(asked.num_rows), side="right") > last
-                bound[full] = np.fmax(bound[full], 1 - distance[last[full]] - _SLACK)
-        request, distance, ids = best(kept)
-        distance = np.where(np.isinf(distance), np.nan, distance)
-        return request, {"id": pa.array(ids, pa.int64()), "distance": pa.array(distance)}
+                kept = [_best(kept, limit)]
+                bound = _bounded(bound, kept[0], limit)
+        return _told(_best(kept, limit))
+
+    return found
+
+
+# Pairs kept of a group before they are cut to the nearest of each request, and pairs whose
+# distance is computed at once.
+_KEPT = 1 << 20
+_EXACT = 1 << 14
+
+
+def nearest_matching(limit: int) -> Callable[[pa.Table, pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]:
+    """The ``limit`` nearest listings of each request of a group that match its filters.
+
+    Requests with ``cells`` are compared with the listings of those. Matches come from bitmaps
+    of the whole group. Single precision tells which pairs cannot be among the nearest; the
+    others get their distance in double precision.
+    """
+
+    def found(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        kept = [_NONE]
+        if part.num_rows and asked.num_rows:
+            part, place, visited = _visited(part, asked)
+            ids, matches, units = part.column("id").to_numpy(), counting.packed_matcher(asked)(part), _units(asked.column("query"))
+            single, rounding = units.astype(np.float32), (units.shape[1] + 4) * 2.0**-23
+            # What is below a request's bound is not among its nearest.
+            bound, pending = np.full(asked.num_rows, -np.inf), 0
+            for tile, (start, stop) in enumerate(_runs(place, visited.mean() > 0.5), 1):
+                inside = visited[:, place[start] : place[stop - 1] + 1]
+                sel = np.flatnonzero(inside.any(axis=1))
+                if not len(sel):
+                    continue
+                rows = _units(part.column("embedding").slice(start, stop - start))
+                close = ~(single[sel] @ rows.astype(np.float32).T < (bound[sel, None] - rounding).astype(np.float32))
+                bits = np.unpackbits(matches[sel, start // 8 : -(-stop // 8)], axis=1)
+                close &= bits[:, start % 8 : start % 8 + stop - start].view(bool)
+                if inside.shape[1] > 1:
+                    close &= inside[sel][:, place[start:stop] - place[start]]
+                request, row = np.divmod(np.flatnonzero(close), stop - start)
+                request = sel[request]
+                cosines = np.empty(len(row))
+                for at in range(0, len(row), _EXACT):
+                    these = slice(at, at + _EXACT)
+                    cosines[these] = np.einsum("ij,ij->i", units[request[these]], rows[row[these]])
+                kept.append((request, _far(cosines), ids[start:stop][row]))
+                pending += len(row)
+                if tile & (tile - 1) == 0 or pending > _KEPT:
+                    kept, pending = [_best(kept, limit)], 0
+                    bound = _bounded(bound, kept[0], limit)
+        return _told(_best(kept, limit))
 
     return found
 
 
+def _visited(part: pa.Table, asked: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Listings in the order of their cells, the number of each one's cell, and which request visits which of these."""
+    if "cells" not in asked.column_names:
+        return part.combine_chunks(), np.zeros(part.num_rows, np.int64), np.ones((asked.num_rows, 1), bool)
+    part = part.sort_by("cell").combine_chunks()
+    names, place = np.unique(part.column("cell").to_numpy(), return_inverse=True)
+    lists = asked.column("cells").combine_chunks()
+    named, who = lists.flatten().to_numpy(), np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    at = np.minimum(np.searchsorted(names, named), len(names) - 1)
+    here = names[at] == named
+    visited = np.zeros((asked.num_rows, len(names)), bool)
+    visited[who[here], at[here]] = True
+    return part, place, visited
+
+
+def _runs(place: np.ndarray, joined: bool) -> Iterator[tuple[int, int]]:
+    """Start and end of tiles of rows sorted by ``place``: across cells if ``joined``, else within them."""
+    start = 0
+    for end in [len(place)] if joined else [*(np.flatnonzero(np.diff(place)) + 1), len(place)]:
+        for at in range(start, end, config.DISTANCE_TILE):
+            yield at, min(end, at + config.DISTANCE_TILE)
+        start = end
+
+
 def _no_later(part: pa.Table, asked: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
     """How many listings of a group rank no later than each request's mark."""
     cut, cut_id = (asked.column(c).to_numpy() for c in ("distance", "id"))
     count = np.zeros(asked.num_rows, np.int64)
-    for ids, cosines, _ in _tiles(part, asked):
+    for ids, cosines in _tiles(part, asked):
         closer = cosines > 1 - cut + _SLACK
         count += closer.sum(axis=0)
         # Only those about as far as the mark are compared exactly.
@@ -365,7 +449,7 @@ def _ranked_matches(
     vectors = met.select(F.col("id").cast("long").alias("id"), *told, F.col("request_id").alias("_block"))
     sides = filters._request_side(asked).select(*keys, "query", "_block", *counting.FILTER_COLUMNS)
     found = _block_product(
-        vectors, sides, listings.count(), blocks, _nearest_in(limit), keys, "id long, distance double"
+        vectors, sides, listings.count(), blocks, nearest_matching(limit), keys, "id long, distance double"
     )
     return best_per(found.withColumn("id", F.col("id").cast(listings.schema["id"].dataType)), keys, limit)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_filters import COLUMNS, make_listings, make_requests, matching
 
-from roostline.operators import cells, evaluation, filters, search
+from roostline.operators import cells, counting, evaluation, filters, search
 
 WIDTH, GROUPS = 16, 25
 
@@ -126,3 +126,56 @@ def test_nothing_beyond_a_known_bound_leaves_a_group():
     got = cells._nearest_by_cell(5)(part, asked).to_pydict()
     assert [i for r, i in zip(got["request_id"], got["id"]) if r == "a"] == [0, 1]
     assert [i for r, i in zip(got["request_id"], got["id"]) if r == "b"] == [20, 21, 22, 23, 24]
+
+
+def test_visited_cells_in_parts_and_pieces(monkeypatch, index, requests):
+    show = lambda df: sorted((r["request_id"], r["place"], r["id"], r["distance"]) for r in df.where("NOT isnan(distance)").collect())
+    want = show(cells.top_k(index, requests, 5))
+    for name, value in (("QUERY_BLOCK", 2), ("LISTING_SLICE", 20), ("DISTANCE_TILE", 7)):
+        monkeypatch.setattr(cells.config, name, value)
+    assert show(cells.top_k(index, requests, 5)) == want
+
+
+def test_who_visited_all_that_can_match_is_not_searched_again(monkeypatch, index, listings, requests):
+    few = requests.where("request_id IN ('few', 'none')")
+    want = sorted((r["request_id"], r["id"], r["distance"]) for r in search.batch_top_k(listings, few, 50).where("NOT isnan(distance)").collect())
+    assert 0 < len(want) < 50
+    monkeypatch.setattr(cells, "_wanted_share", lambda index, requests, limit: requests.select("request_id", F.lit(1.0).alias("share")))
+    monkeypatch.setattr(search, "batch_top_k", lambda *a: pytest.fail("searched again"))
+    got = cells.top_k(index, few, 50)
+    assert sorted((r["request_id"], r["id"], r["distance"]) for r in got.collect()) == want
+
+
+def test_no_row_for_a_pair_leaves_a_group(index, requests):
+    visits = cells.plan(index, requests, 5).select("request_id", "cells")
+    plan = cells._visited_top_k(index, requests, visits, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_cells_of_odd_values_are_not_ruled_out(spark):
+    sides = [(i, 1.0 if i < 20 else -1.0, float("nan") if i < 20 else 10.0, None if i < 20 else 3) for i in range(40)]
+    held = {r["id"]: r for r in make_listings(40)}
+    rows = [tuple({**r, "price_gbp": p, "neighbourhood_id": n}.values()) + ([x, 0.01 * i],) for (i, x, p, n), r in zip(sides, held.values())]
+    index = cells.build(spark.createDataFrame(rows, COLUMNS + ", embedding array<float>"), 5, cells=2)
+    wanted = {"price": {"min_price": 100.0}, "place": {"neighbourhood_ids": [0]}}
+    sets = filters.canonical(filters.filter_sets(spark, wanted)).withColumn("query", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+    exact = search.batch_top_k(index.rows.drop("cell"), sets, 30)
+    assert exact.groupBy("request_id").count().where("count = 20").count() == 2
+    show = lambda df: sorted((r["request_id"], r["place"], r["id"]) for r in df.collect())
+    assert show(cells.top_k(index, sets, 30)) == show(exact)
+
+
+def test_single_precision_loses_no_neighbour():
+    rng = np.random.default_rng(3)
+    near = np.array([1.0, 0.0]) + 1e-4 * rng.normal(size=(3000, 2))
+    part = pa.table({"id": pa.array(range(3000), pa.int64()), "embedding": near.tolist(), "cell": pa.array(np.arange(3000) % 7, pa.int32())})
+    names = {c: pa.nulls(3000, pa.list_(pa.string()) if c == "amenities" else pa.float64()) for c in counting.LISTING_COLUMNS}
+    none = {c: pa.nulls(2, pa.list_(pa.string())) for c in counting.FILTER_COLUMNS if not c.startswith("_")}
+    edges = {c: pa.array([0.0, 0.0]) for c in counting.FILTER_COLUMNS if c.startswith("_")}
+    asked = pa.table({"request_id": ["a", "b"], "query": [[1.0, 0.0], [1.0, 1e-4]], **none, **edges})
+    part = pa.table({**{c: part.column(c) for c in part.column_names}, **names})
+    request, told = search.nearest_matching(40)(part, asked)
+    for i, query in enumerate(((1.0, 0.0), (1.0, 1e-4))):
+        far = np.round(1 - near @ query / np.linalg.norm(near, axis=1) / np.linalg.norm(query), 9) + 0.0
+        want = sorted(zip(far.tolist(), range(3000)))[:40]
+        assert [j for r, j in zip(request, told["id"].to_pylist()) if r == i] == [j for _, j in want]
