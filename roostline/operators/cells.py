@@ -5,8 +5,8 @@ Beside each cell stand the least and greatest value of every filter column, the
 dimensions and which common amenities occur in it. A table of requests first drops the
 cells no listing of which can match, then visits the nearest of the others, and filters
 and compares only the listings in those. How many listings have to be visited is measured
-when the index is built, by how many a request wants of how many match; few matches mean
-that all cells left are visited, which is exact. A request that still finds fewer than it
+when the index is built, by how many a request wants of how many match in the cells left;
+few matches mean that all cells left are visited, which is exact. A request that still finds fewer than it
 wants is searched exactly. Specified behaviour: what is found satisfies every condition
 and carries its true distance; only the membership of the top is approximate.
 
@@ -83,6 +83,8 @@ def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 def _centres(rows: DataFrame, cells: int, total: int) -> np.ndarray:
     """Unit centres of at most ``cells`` clusters, fitted on about FIT_PER_CELL vectors each."""
     some = rows if total <= cells * FIT_PER_CELL else rows.where(F.pmod(F.xxhash64("id"), F.lit(total)) < cells * FIT_PER_CELL)
+    # Each round reads them, so all cores take part however few files they come from.
+    some = some.select("embedding").repartition(rows.sparkSession.sparkContext.defaultParallelism)
     points = stable(some.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")))
     model = KMeans(k=cells, seed=SEED, maxIter=ROUNDS, distanceMeasure="cosine").fit(points)
     return _unit(np.array(model.clusterCenters()))
@@ -203,8 +205,12 @@ def _possible(index: Index, part: pa.RecordBatch) -> np.ndarray:
     return ok
 
 
-def _visits(index: Index):
-    """The function of an Arrow pass: the cells each request visits, nearest first."""
+def _visits(index: Index, limit: int = 10):
+    """The function of an Arrow pass: the cells each request visits, nearest first.
+
+    Without a ``share`` it follows from the ``matches`` of the request: of the listings in
+    the cells its filters leave, as many of the nearest as hold ``limit`` matches on average.
+    """
     centres, sizes = index.centres, np.array([r["rows"] for r in index.cells])
     numbers = np.array([r["cell"] for r in index.cells])
     small, everything = index._replace(rows=None), index.vectors
@@ -213,14 +219,16 @@ def _visits(index: Index):
         for part in parts:
             ok = _possible(small, part)
             near = np.nan_to_num(_unit(matrix(part.column("query"))) @ centres.T, nan=-2.0)
-            share = part.column("share").to_numpy(zero_copy_only=False)
+            share = part.column("share").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            matches = part.column("matches").to_numpy(zero_copy_only=False) if "matches" in part.schema.names else None
             chosen, left = [], []
             for i in range(part.num_rows):
                 order = np.argsort(-near[i], kind="stable")
                 order = order[ok[i][order]]
                 run_ = np.cumsum(sizes[order])
                 total = int(run_[-1]) if len(order) else 0
-                stop = int(np.searchsorted(run_, share[i] * everything - 1e-9)) + 1
+                visited = visit_share(small, limit * total / matches[i] / everything) if share[i] != share[i] else share[i]
+                stop = int(np.searchsorted(run_, visited * everything - 1e-9)) + 1
                 chosen.append(numbers[order[:stop]].astype(np.int32))
                 left.append((len(order), total, int(run_[min(stop, len(order)) - 1]) if len(order) else 0))
             ends = np.cumsum([0, *map(len, chosen)])
@@ -235,24 +243,22 @@ VISITS = "request_id string, cells array<int>, possible_cells long, possible_row
 
 
 def _wanted_share(index: Index, requests: DataFrame, limit: int) -> DataFrame:
-    """``(request_id, share)``: listings a request visits, as a part of all of them.
+    """``(request_id, share, matches)``: listings a request visits, as a part of all of them.
 
-    They are taken from the cells its filters leave, so a filter that rules cells out buys
-    visits to others. The number of matches is estimated on a sample of the listings; where too few match
-    there, everything possible is visited.
+    The number of matches is estimated on a sample of the listings; where too few match
+    there, everything possible is visited. The other shares are NULL: they depend on the cells
+    a request's filters leave.
     """
     sample = index.rows.drop("embedding", "cell")
     if index.vectors > SAMPLE:
         sample = sample.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(index.vectors)) < SAMPLE)
-    sample = stable(sample)
+    # A few rows for a task for each core: every task tells a number for each filter.
+    sample = stable(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism))
     drawn = max(1, sample.count())
-    counted = counting.count_per_request(sample, requests.drop("query"))
+    counted = counting.count_per_request(sample, requests.drop("query"), spread_out=True)
     least = SAMPLE_LEAST if drawn < index.vectors else 0
-    matches = F.col("matches") * (index.vectors / drawn)
-    share, wanted = F.lit(1.0), F.lit(limit) / matches
-    for upto, visited in reversed(index.visits):
-        share = F.when(wanted <= upto * (index.vectors / matches), F.lit(visited)).otherwise(share)
-    return counted.select("request_id", F.when(F.col("matches") > least, share).otherwise(F.lit(1.0)).alias("share"))
+    enough = F.col("matches") > least
+    return counted.select("request_id", F.when(~enough, F.lit(1.0)).alias("share"), (F.col("matches") * (index.vectors / drawn)).alias("matches"))
 
 
 def plan(index: Index, requests: DataFrame, limit: int) -> DataFrame:
@@ -260,8 +266,8 @@ def plan(index: Index, requests: DataFrame, limit: int) -> DataFrame:
     shares = _wanted_share(index, requests, limit)
     asked = filters._request_side(requests).join(shares, "request_id")
     edges = ["_south", "_north", "_west", "_east"]
-    asked = asked.select("request_id", "query", "share", *filters.ANY_OF, *filters.BOUNDS, "amenities", *edges)
-    return asked.mapInArrow(_visits(index), VISITS)
+    asked = asked.select("request_id", "query", "share", "matches", *filters.ANY_OF, *filters.BOUNDS, "amenities", *edges)
+    return asked.mapInArrow(_visits(index, limit), VISITS)
 
 
 # --- Search -------------------------------------------------------------------------

@@ -140,7 +140,7 @@ def test_who_visited_all_that_can_match_is_not_searched_again(monkeypatch, index
     few = requests.where("request_id IN ('few', 'none')")
     want = sorted((r["request_id"], r["id"], r["distance"]) for r in search.batch_top_k(listings, few, 50).where("NOT isnan(distance)").collect())
     assert 0 < len(want) < 50
-    monkeypatch.setattr(cells, "_wanted_share", lambda index, requests, limit: requests.select("request_id", F.lit(1.0).alias("share")))
+    monkeypatch.setattr(cells, "_wanted_share", lambda index, requests, limit: requests.select("request_id", F.lit(1.0).alias("share"), F.lit(1.0).alias("matches")))
     monkeypatch.setattr(search, "batch_top_k", lambda *a: pytest.fail("searched again"))
     got = cells.top_k(index, few, 50)
     assert sorted((r["request_id"], r["id"], r["distance"]) for r in got.collect()) == want
@@ -179,3 +179,15 @@ def test_single_precision_loses_no_neighbour():
         far = np.round(1 - near @ query / np.linalg.norm(near, axis=1) / np.linalg.norm(query), 9) + 0.0
         want = sorted(zip(far.tolist(), range(3000)))[:40]
         assert [j for r, j in zip(request, told["id"].to_pylist()) if r == i] == [j for _, j in want]
+
+
+def test_filters_that_rule_out_no_cell_visit_more(spark, index):
+    # A fifth of every cell matches, so the nearest five matches are among the nearest 25.
+    wanted = {"all": {}, "fifth": {"min_reviews": 40}}
+    near = index.rows.first()["embedding"]
+    sets = filters.canonical(filters.filter_sets(spark, wanted)).withColumn("query", F.array(*map(F.lit, near)).cast("array<float>"))
+    plan = {r["request_id"]: r for r in cells.plan(index, sets, 5).collect()}
+    matches = index.rows.where("number_of_reviews >= 40").count()
+    assert plan["fifth"]["possible_rows"] == index.vectors > 3 * matches > 0
+    asked = cells.visit_share(index, 5 / matches) * index.vectors
+    assert plan["fifth"]["visited_rows"] >= asked - 1e-6 and plan["all"]["visited_rows"] <= plan["fifth"]["visited_rows"]
